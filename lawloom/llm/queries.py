@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawloom.llm.bpe import encode_corpus
+from lawloom.llm.chunks import split_oversized
 from lawloom.llm.components import assign_splits, linked_groups
 from lawloom.llm.lawid import canonical_law_udf
+from lawloom.llm.quality import classified, text_statistics
 from lawloom.llm.sql import ORACLE
 from lawloom.llm.topn import top_n_per_group
 
+TOKENIZER = os.environ.get("LAWLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
 
 
@@ -51,11 +56,54 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(_question_groups(spark, sf_dir), SHARES).select(F.col("record").alias("question_id"), "group_id", "split")
 
 
+def _article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(origin, law_id, chapter_no, section_no, article_no, text) of every article of both law tables."""
+    tree = _table(spark, sf_dir, "law_tree").select(F.col("id").alias("law_id"), F.posexplode("content").alias("chapter_no", "x"))
+    tree = tree.select("law_id", "chapter_no", F.posexplode("x.content_Chapter").alias("section_no", "x"))
+    tree = tree.select("law_id", "chapter_no", "section_no", F.posexplode("x.content_Section").alias("article_no", "x"))
+    tree = tree.select(F.lit("law_tree").alias("origin"), "law_id", "chapter_no", "section_no", "article_no", F.col("x.content_Article").alias("text"))
+    flat = _table(spark, sf_dir, "law_flat").select(F.col("id").alias("law_id"), F.posexplode("articles").alias("article_no", "x"))
+    return tree.unionByName(flat.select(F.lit("law_flat").alias("origin"), "law_id", F.lit(-1).alias("chapter_no"), F.lit(-1).alias("section_no"), "article_no", F.col("x.text").alias("text")))
+
+
+PLACE = ["origin", "law_id", "chapter_no", "section_no", "article_no"]
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered pieces of every article text of more than 1,200 characters."""
+    return split_oversized(_article_texts(spark, sf_dir), PLACE, "text").distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the article texts that had to be cut."""
+    return split_oversized(_article_texts(spark, sf_dir), PLACE, "text").where(F.col("piece_no") == 0).select(*PLACE).distinct()
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_corpus(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and shares, its kind, and the rule that decided."""
+    return classified(text_statistics(_table(spark, sf_dir, "documents"))).distinct()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a text that isn't prose."""
+    return classified(text_statistics(_table(spark, sf_dir, "documents"))).where(~F.col("kind").isin("prose", "blank")).select("doc_id", "kind").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
+    "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 

@@ -7,7 +7,18 @@ select question_id, article_db_id, score, rank from (
     where question_id is not null and article_db_id is not null and score is not null and not isnan(score) group by all))
 where rank <= 10"""
 
+_P7 = """
+select distinct origin, law_id, chapter_no, section_no, article_no from (
+  select 'law_tree' as origin, id as law_id, c as chapter_no, s as section_no, (i - 1)::int as article_no, y.content_Section[i].content_Article as t from (
+    select id, c, (h - 1)::int as s, x.content_Chapter[h] as y, unnest(range(1, len(x.content_Chapter[h].content_Section) + 1)) as i from (
+      select id, (j - 1)::int as c, content[j] as x, unnest(range(1, len(content[j].content_Chapter) + 1)) as h from (
+        select id, content, unnest(range(1, len(content) + 1)) as j from law_tree)))
+  union all
+  select 'law_flat', id, -1, -1, (i - 1)::int, articles[i].text from (select id, articles, unnest(range(1, len(articles) + 1)) as i from law_flat))
+where length(t) > 1200"""
+
 ORACLE = {
     "p1_found": f"select question_id, article_db_id from ({_P1})",
     "p1_ranked": f"select question_id, article_db_id, score, rank::int as rank from ({_P1})",
+    "p7_found": _P7,
 }
