@@ -1,5 +1,5 @@
 """Plan-level helpers: sessions, lineage cuts, size-checked broadcasts."""
 
-from lawloom.plans.stage import broadcast_if_small, shared_dir, staged
+from lawloom.plans.stage import broadcast_if_small, shared_dir, spread_out, staged
 
-__all__ = ["broadcast_if_small", "shared_dir", "staged"]
+__all__ = ["broadcast_if_small", "shared_dir", "spread_out", "staged"]

@@ -49,3 +49,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df, with a broadcast hint only if a count proves it has at most max_rows rows; otherwise df as it is (shuffle join)."""
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if its scan has fewer partitions than the cluster has cores; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
