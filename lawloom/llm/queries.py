@@ -12,6 +12,8 @@ from lawloom.llm.bpe import encode_corpus
 from lawloom.llm.chunks import split_oversized
 from lawloom.llm.components import assign_splits, linked_groups
 from lawloom.llm.lawid import canonical_law_udf
+from lawloom.llm.leaks import leaked_spans
+from lawloom.llm.overlaps import split_overlaps
 from lawloom.llm.quality import classified, text_statistics
 from lawloom.llm.sql import ORACLE
 from lawloom.llm.topn import top_n_per_group
@@ -56,6 +58,42 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(_question_groups(spark, sf_dir), SHARES).select(F.col("record").alias("question_id"), "group_id", "split")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("split_name") == "train", "train").when(F.col("split_name").isin("valid", "test"), "eval")
+    columns = [F.col("question_id").alias("record"), side.alias("side"), F.col("split_name").alias("split"), F.col("source")]
+    main = _table(spark, sf_dir, "question_main").select(*columns, F.col("text"), F.lit("question_main").alias("origin"))
+    legacy = _table(spark, sf_dir, "question_legacy").select(*columns, F.col("question").alias("text"), F.lit("question_legacy").alias("origin"))
+    return split_overlaps(main.unionByName(legacy))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and an evaluation question that are equal or near."""
+    a, b = F.col("train_record"), F.col("eval_record")
+    return _overlaps(spark, sf_dir).where(a != b).select(F.least(a, b).alias("question_a"), F.greatest(a, b).alias("question_b")).distinct()
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by evaluation split and by the tables and sources of both sides."""
+    found = _overlaps(spark, sf_dir).where(F.col("train_record") != F.col("eval_record"))
+    keys = ["eval_split", "eval_origin", "eval_source", "train_origin", "train_source"]
+    pairs = found.groupBy(*keys, "train_record", "eval_record").agg(F.lit(1).alias("one"))
+    return pairs.groupBy(*keys).agg(F.count("one").alias("pairs"), F.countDistinct("eval_record").alias("eval_questions"), F.countDistinct("train_record").alias("train_questions"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark_item"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which they hold at least 13 words in a row."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans to remove from each document, by item."""
+    return _leaks(spark, sf_dir).distinct()
+
+
 def _article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(origin, law_id, chapter_no, section_no, article_no, text) of every article of both law tables."""
     tree = _table(spark, sf_dir, "law_tree").select(F.col("id").alias("law_id"), F.posexplode("content").alias("chapter_no", "x"))
@@ -99,9 +137,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_ranked": p1_ranked,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_spans": p9_spans,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
