@@ -13,6 +13,7 @@ from lawloom.llm.chunks import split_oversized
 from lawloom.llm.components import assign_splits, linked_groups
 from lawloom.llm.lawid import canonical_law_udf
 from lawloom.llm.leaks import leaked_spans
+from lawloom.llm.neighbours import IndexOptions, similar_vectors
 from lawloom.llm.overlaps import split_overlaps
 from lawloom.llm.quality import classified, text_statistics
 from lawloom.llm.sql import ORACLE
@@ -58,6 +59,18 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(_question_groups(spark, sf_dir), SHARES).select(F.col("record").alias("question_id"), "group_id", "split")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of similarity 0.8 or more of which either is among the other's ten most similar."""
+    near = similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", least=0.8)
+    return near.select(F.least("vec_a", "vec_b").alias("vec_a"), F.greatest("vec_a", "vec_b").alias("vec_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 100, whatever their similarity."""
+    options = IndexOptions(probe_share=0.4)
+    return similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", options=options, wanted=lambda key: key % 100 == 0)
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("split_name") == "train", "train").when(F.col("split_name").isin("valid", "test"), "eval")
     columns = [F.col("question_id").alias("record"), side.alias("side"), F.col("split_name").alias("split"), F.col("source")]
@@ -137,6 +150,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_ranked": p1_ranked,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_found": p7_found,
