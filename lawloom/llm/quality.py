@@ -24,7 +24,7 @@ THRESHOLDS = {
     "single_letter_share": 0.4,
     "mean_word_length": 14.0,
     "coded_word_share": 0.4,
-    "top_word_share": 0.3,
+    "distinct_word_share": 0.08,
     "common_share": 0.03,
     "cell_line_share": 0.55,
     "short_line_share": 0.6,
@@ -53,6 +53,11 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _chars(text: Column, pattern: str) -> Column:
+    """Characters in runs of the pattern; unlike a count of matches it makes no array of them."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
@@ -61,47 +66,50 @@ def _where_share(items: Column, test) -> Column:
     return _share(F.size(F.filter(items, test)), F.size(items))
 
 
+def _computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with the columns, each computed once: an explode of one row keeps the optimiser from copying expressions into every use."""
+    kept = [F.col(c) for c in rows.columns if c not in columns]
+    return rows.select(F.inline(F.array(F.struct(*kept, *[c.alias(n) for n, c in columns.items()]))))
+
+
 def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of documents: key, counts and shares of its whole text.
 
     Null, empty and blank texts have counts and shares of 0. Characters are code points; letters count their combining
     marks. All statistics are built-in expressions over one scan of two columns, without a shuffle; a text is never cut.
     """
-    base = documents.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    base = base.withColumn("lines", F.filter(F.split("t", r"\r\n|[\n\r\u0085  ]"), lambda x: x.rlike(r"(?U)\S")))
-    base = base.withColumn("words", F.filter(F.split("t", r"(?U)[\s​﻿]+"), lambda x: x != ""))
-    base = base.withColumn("bare", F.regexp_extract_all(folded(F.col("t")), F.lit(LETTER_RUN), 0))
-    base = base.withColumn("tally", F.array_sort("bare"))
-    n_words, n_bare, visible = F.size("words"), F.size("bare"), _count(F.col("t"), r"(?U)\S")
-    widest = F.array_max(F.transform("lines", lambda x: F.length(F.rtrim(x))))
-    cells = F.transform("lines", _cells)
-    usual = F.element_at(F.array_sort("cells"), (F.floor(F.size("cells") * 0.6) + 1).cast("int"))
-    out = base.withColumn("cells", cells).select(
-        "k",
-        F.length("t").alias("n_chars"),
-        n_words.alias("n_words"),
-        F.size("lines").alias("n_lines"),
-        _share(F.aggregate("words", F.lit(0), lambda a, x: a + F.length(x)), n_words).alias("mean_word_length"),
-        _share(_count(F.col("t"), r"[\p{S}\p{P}&&[^.,;:?!'\"()“”‘’/-]]"), visible).alias("symbol_share"),
-        _share(_count(F.col("t"), r"[\p{L}\p{M}]"), visible).alias("letter_share"),
-        _share(_count(F.col("t"), r"\p{Nd}"), visible).alias("digit_share"),
-        _where_share(F.col("lines"), lambda x: x.rlike(r"""(?U)[.!?…:;。！？]["'”’»)\]*_\s]*$""")).alias("ended_line_share"),
-        _where_share(F.col("lines"), lambda x: x.rlike(_BULLET)).alias("bullet_line_share"),
-        _where_share(F.col("lines"), lambda x: F.size(F.split(F.trim(x), r"(?U)\s+")) <= 9).alias("short_line_share"),
-        _share(n_words, F.size("lines")).alias("words_per_line"),
-        _where_share(F.col("bare"), lambda x: x.isin(COMMON_WORDS)).alias("common_share"),
-        _share(_count(F.col("t"), "�"), visible).alias("replacement_share"),
-        _share(_count(F.col("t"), _MOJIBAKE), n_words).alias("mojibake_share"),
-        _share(_count(F.col("t"), _ESCAPES), n_words).alias("escape_share"),
-        _where_share(F.col("words"), lambda x: x.rlike(r"^\p{L}\p{M}*$")).alias("single_letter_share"),
-        _where_share(F.col("bare"), lambda x: x.rlike(r"^(?=.*\d)[0-9a-f]{2,}$") & x.rlike("[a-f]") | x.rlike(r"^0\d*$") | x.rlike(r"[a-z]\d+[a-z]|^.{25,}$")).alias("coded_word_share"),
-        _share(_longest_run(F.col("tally")), n_bare).alias("top_word_share"),
-        _where_share(F.col("cells"), lambda x: x > 1).alias("some_cells_share"),
-        _share(F.size(F.filter("cells", lambda x: (x > 1) & (x == usual))), F.size("cells")).alias("cell_line_share"),
-        _share(F.aggregate(F.arrays_zip("lines", "cells"), F.lit(0), lambda a, x: a + F.when(x["cells"] > 1, F.length(x["lines"])).otherwise(0)), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))).alias("cell_char_share"),
-        _wrapped(F.col("lines"), widest).alias("wrapped_share"),
-    )
-    return out.withColumnRenamed("k", key)
+    c = F.col
+    rows = documents.select(c(f"`{key}`").alias("k"), F.coalesce(c(f"`{text}`"), F.lit("")).alias("t"))
+    rows = _computed(rows, {"lines": F.filter(F.split("t", r"\r\n|[\n\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S")), "plain": folded(c("t")), "visible": F.length(F.regexp_replace("t", r"(?U)[\s\u200b\ufeff]+", ""))})
+    words = F.size(F.filter(F.split("t", r"(?U)[\s\u200b\ufeff]+"), lambda x: x != ""))
+    rows = _computed(rows, {"words": words, "bare": F.regexp_extract_all("plain", F.lit(LETTER_RUN), 0), "cells": F.transform("lines", _cells), "fill": F.transform("lines", lambda x: F.size(F.split(F.trim(x), r"(?U)\s+")))})
+    usual = F.element_at(F.sort_array("cells"), (F.floor(F.size("cells") * 0.6) + 1).cast("int"))
+    rows = _computed(rows, {"usual": F.when(F.size("cells") > 0, usual), "most": F.array_max("fill"), "widest": F.array_max(F.transform("lines", lambda x: F.length(F.rtrim(x))))})
+    statistics = {
+        "n_chars": F.length("t"),
+        "n_words": c("words"),
+        "n_lines": F.size("lines"),
+        "mean_word_length": _share(c("visible"), c("words")),
+        "symbol_share": _share(_chars(c("t"), r"[\p{S}\p{P}&&[^.,;:?!'\"()“”‘’/-]]"), c("visible")),
+        "letter_share": _share(_chars(c("t"), r"[\p{L}\p{M}]"), c("visible")),
+        "digit_share": _share(_chars(c("t"), r"\p{Nd}"), c("visible")),
+        "ended_line_share": _where_share(c("lines"), lambda x: x.rlike(r"""(?U)[.!?…:;。！？]["'”’»)\]*_\s]*$""")),
+        "bullet_line_share": _where_share(c("lines"), lambda x: x.rlike(_BULLET)),
+        "short_line_share": _where_share(c("fill"), lambda n: n <= 9),
+        "words_per_line": _share(c("words"), F.size("lines")),
+        "common_share": _where_share(c("bare"), lambda x: x.isin(COMMON_WORDS)),
+        "distinct_word_share": _share(F.size(F.array_distinct("bare")), F.size("bare")),
+        "replacement_share": _share(_chars(c("t"), "\ufffd"), c("visible")),
+        "mojibake_share": _share(_count(c("t"), _MOJIBAKE), c("words")),
+        "escape_share": _share(_count(c("t"), _ESCAPES), c("words")),
+        "single_letter_share": _share(_count(c("t"), r"(?<!\S)\p{L}\p{M}*(?!\S)"), c("words")),
+        "coded_word_share": _share(_count(c("plain"), _CODED), F.size("bare")),
+        "some_cells_share": _where_share(c("cells"), lambda x: x > 1),
+        "cell_line_share": _share(F.size(F.filter("cells", lambda x: (x > 1) & (x == c("usual")))), F.size("cells")),
+        "cell_char_share": _share(F.aggregate(F.arrays_zip("lines", "cells"), F.lit(0), lambda a, x: a + F.when(x["cells"] > 1, F.length(x["lines"])).otherwise(0)), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))),
+        "wrapped_share": _wrapped(c("lines"), c("widest"), c("fill"), c("most")),
+    }
+    return _computed(rows, statistics).select(c("k").alias(key), *statistics)
 
 
 _BULLET = r"^\s*(?:[-–—*+•◦▪●○→‣·>]|\[[ xX]?\]|\(?\p{Alnum}{1,3}[.)]|[ivxIVX]+[.)])\s"
@@ -109,6 +117,9 @@ _MOJIBAKE = r"á[º»]|Ã[\u0080-¿ƒ‚-›]|Æ[°¡]|Ä[\u0080-¿‘’‘]|Â
 _ESCAPES = r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}|=[0-9A-F]{2}|&#x?[0-9a-fA-F]+;|&[a-zA-Z]{2,8};"
 
 
+_CODED = r"(?<![a-z0-9])(?:0\d*|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{2,}|[a-z]+\d+[a-z][a-z0-9]*|[a-z0-9]{25,})(?![a-z0-9])"
+
+
 def _cells(line: Column) -> Column:
     """Cells of a line by the separator that cuts it into most: bars, tabs, semicolons, quoted commas or wide gaps."""
     inner = F.regexp_replace(line, r"^\s*[|│]|[|│]\s*$", "")
@@ -116,18 +127,7 @@ def _cells(line: Column) -> Column:
     return F.greatest(*counts) + 1
 
 
-def _longest_run(tally: Column) -> Column:
-    """The length of the longest run of one value in a sorted array."""
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
-
-    def step(a: Column, x: Column) -> Column:
-        n = F.when(x == a["w"], a["n"] + 1).otherwise(1)
-        return F.struct(x.alias("w"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
-
-    return F.aggregate(tally, start, step, lambda a: a["best"])
-
-
-def _wrapped(lines: Column, widest: Column) -> Column:
+def _wrapped(lines: Column, widest: Column, fill: Column, most: Column) -> Column:
     """How much the line ends look like those of wrapped paragraphs, from 0 to 1.
 
     The larger of two shares: of the ends at which the next word wouldn't have fitted into the widest line (wrapped by
@@ -135,8 +135,7 @@ def _wrapped(lines: Column, widest: Column) -> Column:
     """
     ends = F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.length(F.rtrim(x)) + 1 + F.length(F.regexp_extract(F.get(lines, i + 1), r"(?U)\S+", 0)) > widest)
     by_width = _share(F.size(F.filter(ends, lambda x: x)), F.size(ends))
-    sizes = F.transform(lines, lambda x: F.size(F.split(F.trim(x), r"(?U)\s+")))
-    by_words = _share(F.size(F.filter(sizes, lambda n: n == F.array_max(sizes))) - 1, F.size(sizes) - 1)
+    by_words = _share(F.size(F.filter(fill, lambda n: n == most)) - 1, F.size(fill) - 1)
     return F.greatest(by_width, by_words)
 
 
@@ -158,7 +157,7 @@ def classified(statistics: DataFrame) -> DataFrame:
         ("junk", "single_letter_share", (c("single_letter_share") >= t["single_letter_share"]) & (c("n_words") >= 8)),
         ("junk", "mean_word_length", c("mean_word_length") >= t["mean_word_length"]),
         ("junk", "coded_word_share", c("coded_word_share") >= t["coded_word_share"]),
-        ("junk", "top_word_share", (c("top_word_share") >= t["top_word_share"]) & (c("n_words") >= 12)),
+        ("junk", "distinct_word_share", (c("distinct_word_share") <= t["distinct_word_share"]) & (c("n_words") >= 12)),
         ("list", "short_line_share", short & ~wrapped),
         ("junk", "common_share", (c("common_share") < t["common_share"]) & (c("n_words") >= 12)),
     ]
