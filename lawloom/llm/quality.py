@@ -66,6 +66,14 @@ def _where_share(items: Column, test) -> Column:
     return _share(F.size(F.filter(items, test)), F.size(items))
 
 
+def _where_any(text: Column, leads: list[str], count: Column) -> Column:
+    """count where the text has one of the leads, without which it would be 0."""
+    found = text.contains(leads[0])
+    for lead in leads[1:]:
+        found = found | text.contains(lead)
+    return F.when(found, count).otherwise(0)
+
+
 def _computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """rows with the columns, each computed once: an explode of one row keeps the optimiser from copying expressions into every use."""
     kept = [F.col(c) for c in rows.columns if c not in columns]
@@ -80,30 +88,31 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     c = F.col
     rows = documents.select(c(f"`{key}`").alias("k"), F.coalesce(c(f"`{text}`"), F.lit("")).alias("t"))
-    rows = _computed(rows, {"lines": F.filter(F.split("t", r"\r\n|[\n\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S")), "plain": folded(c("t")), "visible": F.length(F.regexp_replace("t", r"(?U)[\s\u200b\ufeff]+", ""))})
-    words = F.size(F.filter(F.split("t", r"(?U)[\s\u200b\ufeff]+"), lambda x: x != ""))
-    rows = _computed(rows, {"words": words, "bare": F.regexp_extract_all("plain", F.lit(LETTER_RUN), 0), "cells": F.transform("lines", _cells), "fill": F.transform("lines", lambda x: F.size(F.split(F.trim(x), r"(?U)\s+")))})
+    rows = _computed(rows, {"lines": F.filter(F.split("t", r"[\n\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S")), "plain": folded(c("t")), "visible": F.length(F.regexp_replace("t", r"(?U)[\s\u200b\ufeff]+", ""))})
+    cells = F.when(c("t").rlike(_SEPARATED), F.transform("lines", _cells)).otherwise(F.array_repeat(F.lit(1), F.size("lines")))
+    rows = _computed(rows, {"bare": F.regexp_extract_all("plain", F.lit(LETTER_RUN), 0), "cells": cells, "fill": F.transform("lines", lambda x: F.size(F.split(F.btrim(x, F.lit(" \t\u00a0")), r"(?U)\s+")))})
     usual = F.element_at(F.sort_array("cells"), (F.floor(F.size("cells") * 0.6) + 1).cast("int"))
-    rows = _computed(rows, {"usual": F.when(F.size("cells") > 0, usual), "most": F.array_max("fill"), "widest": F.array_max(F.transform("lines", lambda x: F.length(F.rtrim(x))))})
+    widest = F.array_max(F.transform("lines", lambda x: F.length(F.rtrim(x))))
+    rows = _computed(rows, {"usual": F.when(F.size("cells") > 0, usual), "most": F.array_max("fill"), "words": F.aggregate("fill", F.lit(0), lambda a, n: a + n), "widest": widest, "digits": _chars(c("plain"), r"\p{Nd}")})
     statistics = {
         "n_chars": F.length("t"),
         "n_words": c("words"),
         "n_lines": F.size("lines"),
         "mean_word_length": _share(c("visible"), c("words")),
         "symbol_share": _share(_chars(c("t"), r"[\p{S}\p{P}&&[^.,;:?!'\"()“”‘’/-]]"), c("visible")),
-        "letter_share": _share(_chars(c("t"), r"[\p{L}\p{M}]"), c("visible")),
-        "digit_share": _share(_chars(c("t"), r"\p{Nd}"), c("visible")),
-        "ended_line_share": _where_share(c("lines"), lambda x: x.rlike(r"""(?U)[.!?…:;。！？]["'”’»)\]*_\s]*$""")),
+        "letter_share": _share(F.length(F.array_join("bare", "")) - c("digits"), c("visible")),
+        "digit_share": _share(c("digits"), c("visible")),
+        "ended_line_share": _where_share(c("lines"), lambda x: F.substring(F.rtrim(x), -8, 8).rlike(r"""(?U)[.!?…:;。！？]["'”’»)\]*_\s]*$""")),
         "bullet_line_share": _where_share(c("lines"), lambda x: x.rlike(_BULLET)),
         "short_line_share": _where_share(c("fill"), lambda n: n <= 9),
         "words_per_line": _share(c("words"), F.size("lines")),
         "common_share": _where_share(c("bare"), lambda x: x.isin(COMMON_WORDS)),
         "distinct_word_share": _share(F.size(F.array_distinct("bare")), F.size("bare")),
-        "replacement_share": _share(_chars(c("t"), "\ufffd"), c("visible")),
-        "mojibake_share": _share(_count(c("t"), _MOJIBAKE), c("words")),
-        "escape_share": _share(_count(c("t"), _ESCAPES), c("words")),
+        "replacement_share": _share(_where_any(c("t"), ["\ufffd"], _chars(c("t"), "\ufffd")), c("visible")),
+        "mojibake_share": _share(_where_any(c("t"), _MOJIBAKE_LEADS, _count(c("t"), _MOJIBAKE)), c("words")),
+        "escape_share": _share(_where_any(c("t"), _ESCAPE_LEADS, _count(c("t"), _ESCAPES)), c("words")),
         "single_letter_share": _share(_count(c("t"), r"(?<!\S)\p{L}\p{M}*(?!\S)"), c("words")),
-        "coded_word_share": _share(_count(c("plain"), _CODED), F.size("bare")),
+        "coded_word_share": _where_share(c("bare"), lambda x: (x.rlike(r"\d") & x.rlike(_CODED)) | (F.length(x) >= 25)),
         "some_cells_share": _where_share(c("cells"), lambda x: x > 1),
         "cell_line_share": _share(F.size(F.filter("cells", lambda x: (x > 1) & (x == c("usual")))), F.size("cells")),
         "cell_char_share": _share(F.aggregate(F.arrays_zip("lines", "cells"), F.lit(0), lambda a, x: a + F.when(x["cells"] > 1, F.length(x["lines"])).otherwise(0)), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))),
@@ -114,10 +123,13 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 _BULLET = r"^\s*(?:[-–—*+•◦▪●○→‣·>]|\[[ xX]?\]|\(?\p{Alnum}{1,3}[.)]|[ivxIVX]+[.)])\s"
 _MOJIBAKE = r"á[º»]|Ã[\u0080-¿ƒ‚-›]|Æ[°¡]|Ä[\u0080-¿‘’‘]|Â[ -¿]|â€"
+_MOJIBAKE_LEADS = ["áº", "á»", "Ã", "Æ", "Ä", "Â", "â€"]
+_ESCAPE_LEADS = ["\\u", "\\x", "%", "=", "&"]
 _ESCAPES = r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}|=[0-9A-F]{2}|&#x?[0-9a-fA-F]+;|&[a-zA-Z]{2,8};"
 
 
-_CODED = r"(?<![a-z0-9])(?:0\d*|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{2,}|[a-z]+\d+[a-z][a-z0-9]*|[a-z0-9]{25,})(?![a-z0-9])"
+_CODED = r"^(?:0\d*|[a-f\d]*[a-f]\d[a-f\d]*|[a-f\d]*\d[a-f][a-f\d]*|[a-z]+\d+[a-z][a-z\d]*)$"
+_SEPARATED = r'[|│┃¦\t]|;\S|"[,;]"|\S(?: {2}|\u00a0{2}|\u3000)\s*\S'
 
 
 def _cells(line: Column) -> Column:
