@@ -44,6 +44,10 @@ def usable(vector: Column, dimensions: int) -> Column:
     return F.coalesce((F.size(vector) == dimensions) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+#: Items estimated and pairs compared at once: bounds of memory that change no result.
+_SLICE, _COMPARED = 1024, 32_768
+
+
 def _units(packed: pd.Series, dimensions: int) -> np.ndarray:
     raw = np.frombuffer(b"".join(packed), np.float32).reshape(-1, dimensions).astype(np.float64)
     raw /= np.abs(raw).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -159,8 +163,8 @@ def search_block(queries: pd.DataFrame, items: pd.DataFrame, centroids: np.ndarr
 
         for column in np.argsort(-near.max(axis=0), kind="stable"):
             rows = np.flatnonzero(near[:, column] >= reach[mine] - 1e-6)
-            for first in range(starts[column], ends[column], 4096) if len(rows) else ():
-                at = slice(first, min(first + 4096, ends[column]))
+            for first in range(starts[column], ends[column], _SLICE) if len(rows) else ():
+                at = slice(first, min(first + _SLICE, ends[column]))
                 bound = coded.signed(mine[rows], codes, at)
                 bound += coded.width[mine[rows]][:, None] * np.sqrt(np.maximum(codes.ones[at], 1))[None, :]
                 bound *= codes.scale[at][None, :]
@@ -169,7 +173,11 @@ def search_block(queries: pd.DataFrame, items: pd.DataFrame, centroids: np.ndarr
                 if not len(q):
                     continue
                 q, x = rows[q], x + at.start
-                exact = np.round(np.einsum("ij,ij->i", query_units[mine[q]], item_units[x]), 6)
+                exact = np.empty(len(q))
+                for part in range(0, len(q), _COMPARED):
+                    those = slice(part, part + _COMPARED)
+                    exact[those] = np.einsum("ij,ij->i", query_units[mine[q[those]]], item_units[x[those]])
+                exact = np.round(exact, 6)
                 good = exact >= np.maximum(least, floor[q])
                 kept.append((q[good], x[good], exact[good]))
                 held += int(good.sum())
