@@ -111,7 +111,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
         "replacement_share": _share(_where_any(c("t"), ["\ufffd"], _chars(c("t"), "\ufffd")), c("visible")),
         "mojibake_share": _share(_where_any(c("t"), _MOJIBAKE_LEADS, _count(c("t"), _MOJIBAKE)), c("words")),
         "escape_share": _share(_where_any(c("t"), _ESCAPE_LEADS, _count(c("t"), _ESCAPES)), c("words")),
-        "single_letter_share": _share(_count(c("t"), r"(?<!\S)\p{L}\p{M}*(?!\S)"), c("words")),
+        "single_letter_share": _where_share(c("bare"), lambda x: (F.length(x) == 1) & x.rlike(r"\D")),
         "coded_word_share": _where_share(c("bare"), lambda x: (x.rlike(r"\d") & x.rlike(_CODED)) | (F.length(x) >= 25)),
         "some_cells_share": _where_share(c("cells"), lambda x: x > 1),
         "cell_line_share": _share(F.size(F.filter("cells", lambda x: (x > 1) & (x == c("usual")))), F.size("cells")),

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawloom.llm.answers import answer_defects
 from lawloom.llm.bpe import encode_corpus
 from lawloom.llm.chunks import split_oversized
 from lawloom.llm.components import assign_splits, linked_groups
@@ -71,6 +72,11 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", options=options, wanted=lambda key: key % 100 == 0)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers and their defect."""
+    return answer_defects(_table(spark, sf_dir, "answer_qwen"), _table(spark, sf_dir, "question_competition")).where(F.col("defect").isNotNull())
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("split_name") == "train", "train").when(F.col("split_name").isin("valid", "test"), "eval")
     columns = [F.col("question_id").alias("record"), side.alias("side"), F.col("split_name").alias("split"), F.col("source")]
@@ -152,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_splits": p2_splits,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_found": p7_found,
