@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawloom.plans import nested
+from lawloom.plans import nested, retrieval, scalars
 
-MODULES = (nested,)
+MODULES = (nested, scalars, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p4_found"](spark, sf_dir)
+    return queries()["bm25_topk"](spark, sf_dir)
