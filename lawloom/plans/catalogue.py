@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawloom.plans import nested, retrieval, scalars
+from lawloom.plans import corpora, nested, retrieval, scalars
 
-MODULES = (nested, scalars, retrieval)
+MODULES = (nested, scalars, retrieval, corpora)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
