@@ -38,15 +38,16 @@ LETTER_RUN = r"[\p{L}\p{M}\p{N}]+"
 
 
 def _folds() -> tuple[str, str]:
-    """Letters with diacritics and their base letters, for translate()."""
+    """Letters with diacritics and their base letters, then combining marks without any, which translate() deletes."""
     pairs = [(chr(c), b) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (b := unicodedata.normalize("NFD", chr(c).lower())[0]) != chr(c).lower() and b.isascii()]
     pairs += [("đ", "d"), ("Đ", "d"), ("ð", "d"), ("Ð", "d")]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    marks = "".join(chr(c) for c in range(0x300, 0x370))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
 
 
 def folded(text: Column) -> Column:
     """text in lower case without diacritics, composed or decomposed."""
-    return F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), *_folds())
+    return F.translate(F.lower(text), *_folds())
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -66,12 +67,22 @@ def _where_share(items: Column, test) -> Column:
     return _share(F.size(F.filter(items, test)), F.size(items))
 
 
+def _without(text: Column, characters: str) -> Column:
+    for character in characters:
+        text = F.replace(text, F.lit(character), F.lit(""))
+    return text
+
+
+def _has_any(text: Column, parts: list[str]) -> Column:
+    found = text.contains(parts[0])
+    for part in parts[1:]:
+        found = found | text.contains(part)
+    return found
+
+
 def _where_any(text: Column, leads: list[str], count: Column) -> Column:
     """count where the text has one of the leads, without which it would be 0."""
-    found = text.contains(leads[0])
-    for lead in leads[1:]:
-        found = found | text.contains(lead)
-    return F.when(found, count).otherwise(0)
+    return F.when(_has_any(text, leads), count).otherwise(0)
 
 
 def _computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -88,8 +99,8 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     c = F.col
     rows = documents.select(c(f"`{key}`").alias("k"), F.coalesce(c(f"`{text}`"), F.lit("")).alias("t"))
-    rows = _computed(rows, {"lines": F.filter(F.split("t", r"[\n\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S")), "plain": folded(c("t")), "visible": F.length(F.regexp_replace("t", r"(?U)[\s\u200b\ufeff]+", ""))})
-    cells = F.when(c("t").rlike(_SEPARATED), F.transform("lines", _cells)).otherwise(F.array_repeat(F.lit(1), F.size("lines")))
+    rows = _computed(rows, {"lines": F.filter(F.split("t", r"[\n\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S")), "plain": folded(c("t")), "visible": F.length(_without(c("t"), " \n\t\r\u00a0\u3000\u200b\ufeff"))})
+    cells = F.when(_has_any(c("t"), _SEPARATORS), F.transform("lines", _cells)).otherwise(F.array_repeat(F.lit(1), F.size("lines")))
     rows = _computed(rows, {"bare": F.regexp_extract_all("plain", F.lit(LETTER_RUN), 0), "cells": cells, "fill": F.transform("lines", lambda x: F.size(F.split(F.btrim(x, F.lit(" \t\u00a0")), r"(?U)\s+")))})
     usual = F.element_at(F.sort_array("cells"), (F.floor(F.size("cells") * 0.6) + 1).cast("int"))
     widest = F.array_max(F.transform("lines", lambda x: F.length(F.rtrim(x))))
@@ -112,7 +123,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
         "mojibake_share": _share(_where_any(c("t"), _MOJIBAKE_LEADS, _count(c("t"), _MOJIBAKE)), c("words")),
         "escape_share": _share(_where_any(c("t"), _ESCAPE_LEADS, _count(c("t"), _ESCAPES)), c("words")),
         "single_letter_share": _where_share(c("bare"), lambda x: (F.length(x) == 1) & x.rlike(r"\D")),
-        "coded_word_share": _where_share(c("bare"), lambda x: (x.rlike(r"\d") & x.rlike(_CODED)) | (F.length(x) >= 25)),
+        "coded_word_share": _where_share(c("bare"), lambda x: (F.length(x) >= 25) | (((x < "a") | (F.length(x) > 7)) & x.rlike(_CODED))),
         "some_cells_share": _where_share(c("cells"), lambda x: x > 1),
         "cell_line_share": _share(F.size(F.filter("cells", lambda x: (x > 1) & (x == c("usual")))), F.size("cells")),
         "cell_char_share": _share(F.aggregate(F.arrays_zip("lines", "cells"), F.lit(0), lambda a, x: a + F.when(x["cells"] > 1, F.length(x["lines"])).otherwise(0)), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))),
@@ -129,7 +140,7 @@ _ESCAPES = r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}|=[0-9A-F]{2}|&#x?[
 
 
 _CODED = r"^(?:0\d*|[a-f\d]*[a-f]\d[a-f\d]*|[a-f\d]*\d[a-f][a-f\d]*|[a-z]+\d+[a-z][a-z\d]*)$"
-_SEPARATED = r'[|│┃¦\t]|;\S|"[,;]"|\S(?: {2}|\u00a0{2}|\u3000)\s*\S'
+_SEPARATORS = ["|", "│", "┃", "¦", "\t", ";", '","', '";"', "  ", "\u00a0\u00a0", "\u3000"]
 
 
 def _cells(line: Column) -> Column:
