@@ -54,8 +54,10 @@ def padded(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> Da
     """scores, with zero-score documents added where a query matches fewer than k: the last ones by id, as ties rank."""
     matched = queries.where(collapse(F.col("text")) != "").select("query_id").distinct().join(scores.groupBy("query_id").count(), "query_id", "left")
     short = matched.where(F.coalesce("count", F.lit(0)) < k).select("query_id")
-    last = docs.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.col("doc_id").desc()).limit(2 * k)
-    fill = short.withColumn("one", F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one").drop("one")
+    last = [r[0] for r in docs.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.col("doc_id").desc()).limit(2 * k).collect()]
+    if not last:
+        return scores
+    fill = short.select("query_id", F.explode(F.array(*map(F.lit, last))).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
     return scores.unionByName(fill.join(scores, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0)))
 
 

@@ -77,12 +77,14 @@ def ordinals(node: Column) -> Column:
 def entity_table(adjacency: DataFrame, label: str | None, scalars: Sequence[str]) -> DataFrame:
     """One row per object node under the label (None: the records themselves), with its scalar children pivoted to columns.
 
-    Columns: root_id, node, parent, ordinals, then the scalars in their order (null where the field was null). Repeats of
-    a record count once. Object nodes and their scalar children meet in one join on (root_id, node); both sides are
+    Columns: root_id, node, parent, ordinals, then the scalars in their order (null where the field was null); a scalar
+    that has the name of one of the first four comes as field_<name>. Repeats of a record count once. Object nodes and their scalar children meet in one join on (root_id, node); both sides are
     spread by record and path, so no entity, however large its record, gathers in a single task.
     """
     named = F.col("label").isNull() if label is None else F.col("label") == label
     objects = adjacency.where(named & (F.col("kind") == "object")).select("root_id", "node", "parent").distinct()
     children = adjacency.where((F.col("kind") == "scalar") & F.col("label").isin(list(scalars)) & (F.col("ordinal") == -1))
-    values = children.groupBy("root_id", F.col("parent").alias("node")).agg(*[F.max(F.when(F.col("label") == s, F.col("scalar"))).alias(s) for s in scalars])
-    return objects.join(values, ["root_id", "node"], "left").select("root_id", "node", "parent", ordinals(F.col("node")).alias("ordinals"), *scalars)
+    own = ("root_id", "node", "parent", "ordinals")
+    names = {s: f"field_{s}" if s in own else s for s in scalars}
+    values = children.groupBy("root_id", F.col("parent").alias("node")).agg(*[F.max(F.when(F.col("label") == s, F.col("scalar"))).alias(n) for s, n in names.items()])
+    return objects.join(values, ["root_id", "node"], "left").select("root_id", "node", "parent", ordinals(F.col("node")).alias("ordinals"), *names.values())
