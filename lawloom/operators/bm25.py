@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lawloom.config import EngineConfig
 from lawloom.functions.text import collapse, tokens
@@ -57,7 +58,7 @@ def padded(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> Da
     last = [r[0] for r in docs.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.col("doc_id").desc()).limit(2 * k).collect()]
     if not last:
         return scores
-    fill = short.select("query_id", F.explode(F.array(*map(F.lit, last))).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    fill = short.select("query_id", F.explode(F.array(*map(F.lit, last)).cast(T.ArrayType(docs.schema["doc_id"].dataType))).alias("doc_id"))
     return scores.unionByName(fill.join(scores, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0)))
 
 
