@@ -181,6 +181,9 @@ _FOREIGN = (
 )
 
 
+_SHORT = ("Đúng", "Sai.", "Không", "Có", "A", "B.", "C)", "D", "Chọn A", "Đáp án: Đúng", "30 ngày", "5.000.000 đồng", "Trong 15 ngày", "D. hồ sơ", "bộ phận tiếp nhận", "dung", "ba thang")
+
+
 def _training(sample: pd.DataFrame, answers: float, seed: int = 5) -> tuple[list[np.ndarray], list[list[int]]]:
     """Sequences and tags made from sound answers of the sample and from their corruptions: cut, replaced or echoed."""
     rng = random.Random(seed)
@@ -221,9 +224,11 @@ def _training(sample: pd.DataFrame, answers: float, seed: int = 5) -> tuple[list
         if rng.random() < 0.2:
             cue = rng.choice([c for g in ("unable", "limits") for c in REFUSAL_CUES[g].split("|")])  # one cue is enough of these
             said = rng.choice([*_REFUSALS, f"{cue} {rng.choice(['', 'câu này', 'nội dung này'])}", f"{cue}; hãy liên hệ nơi khác để được giải đáp"])
-            add(rng.choice(["", "Trả lời: ", "**", "Hiện tại, "]) + said, question, (9.0, 1.0, 0.0), (99.0, 9.0, 0.0), 1)
+            add(rng.choice(["", "Trả lời: ", "**", "Hiện tại, "]) + said, question, rng.choice([(9.0, 1.0, 0.0), (9.0, 0.0, 0.0), zero]), rng.choice([(99.0, 9.0, 0.0), zero]), 1)
         if rng.random() < 0.2:
             add(rng.choice(["", "", "Đáp án: "]) + " ".join(rng.sample(_FOREIGN, rng.choice([1, 1, 2]))), question, zero, zero, 3)
+    for short in _SHORT * (1 + len(xs) // 100):
+        add(short, "", rng.choice([(9.0, 4.0, 0.0), zero]), rng.choice([(99.0, 50.0, 0.0), zero]), 0)
     return xs, ys
 
 
@@ -237,7 +242,8 @@ def defect(answer: str | None, question: str | None, pair: Sequence[float], word
     sizes = [len(canonical_words(p)) for p in parts]
     total = sum(sizes) or 1
     share = {t: sum(n for n, tag in zip(sizes, tags, strict=True) if TAGS[tag] == t) / total for t in TAGS}
-    if share["refusal"] >= 0.5:
+    cut_off = share["unfinished"] if x[-1, [_AT[g] for g in REFUSAL_CUES]].any() else 0  # a refusal that breaks off is one
+    if share["refusal"] and share["refusal"] + cut_off >= 0.5 or cut_off == 1:
         return "refusal"
     if share["echo"] + (share["unfinished"] if x[-1, _AT["echo_all"]] else 0) >= 0.9 and _covers(parts, question or ""):
         return "copy"
@@ -283,11 +289,7 @@ def answer_defects(answers: DataFrame, questions: DataFrame, sample_rows: int =
     zero = [0.0, 0.0, 0.0]
     sample["pair"] = [zero if p is None else list(p) for p in sample["p_counts"]]
     sample["word"] = [zero if w is None else list(w) for w in sample["w_counts"]]
-    xs, ys = _training(sample, float(total))
-    if not xs:  # nothing to learn from: the fixed sentences alone
-        blank = pd.DataFrame({"answer": [s for s in (*_REFUSALS, *_FOREIGN)], "question": "", "pair": [zero] * (len(_REFUSALS) + len(_FOREIGN)), "word": [zero] * (len(_REFUSALS) + len(_FOREIGN))})
-        xs = [clause_features(r.answer, "", zero, zero, 1.0)[1] for r in blank.itertuples()]
-        ys = [[1 if i < len(_REFUSALS) else 3] * len(x) for i, x in enumerate(xs)]
+    xs, ys = _training(sample, float(total))  # never empty: the short answers are always there
     shared = answers.sparkSession.sparkContext.broadcast(train(xs, ys, len(TAGS)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
