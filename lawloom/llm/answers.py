@@ -243,7 +243,7 @@ def defect(answer: str | None, question: str | None, pair: Sequence[float], word
     total = sum(sizes) or 1
     share = {t: sum(n for n, tag in zip(sizes, tags, strict=True) if TAGS[tag] == t) / total for t in TAGS}
     cut_off = share["unfinished"] if x[-1, [_AT[g] for g in REFUSAL_CUES]].any() else 0  # a refusal that breaks off is one
-    if share["refusal"] and share["refusal"] + cut_off >= 0.5 or cut_off == 1:
+    if share["refusal"] + cut_off >= 0.5:
         return "refusal"
     if share["echo"] + (share["unfinished"] if x[-1, _AT["echo_all"]] else 0) >= 0.9 and _covers(parts, question or ""):
         return "copy"
