@@ -14,6 +14,7 @@ def index_terms(docs: DataFrame, normalise: bool = True) -> DataFrame:
     """(doc_id, term, tf, dl) of every document with a text; an empty text has one empty term."""
     text = collapse(F.col("text")) if normalise else F.col("text")
     words = docs.where(F.col("text").isNotNull()).select("doc_id", tokens(text).alias("w"))
+    words = words.repartition("doc_id")  # the only shuffle: terms, and later pairs, of a document stay together
     return words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -33,19 +34,22 @@ def corpus_size(docs: DataFrame, normalise: bool = True) -> tuple[int, float]:
     return int(row[0]), float(row[1] or 0.0)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, config: EngineConfig = EngineConfig(), normalise: bool = True) -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, config: EngineConfig = EngineConfig(), normalise: bool = True, max_terms: int = 500_000) -> DataFrame:
     """(query_id, doc_id, score) of all pairs that share a term, for docs (doc_id, text) and queries (query_id, text).
 
     A repeated query term counts as often as it occurs; queries that are blank have no result. Statistics cover the whole
-    corpus; only postings of query terms are joined, after a semi join, and the sums combine on the map side, so a stop
-    word's long posting list is spread by document.
+    corpus. Up to max_terms query terms, by count, are sent to the documents, whose terms and scores stay where the
+    document is: a stop word's posting list isn't gathered anywhere. Beyond that, postings of query terms are joined by
+    term after a semi join.
     """
     total, mean = corpus_size(docs, normalise)
     terms = index_terms(docs, normalise)
     asked = queries.where(collapse(F.col("text")) != "").select("query_id", F.explode(tokens(collapse(F.col("text")))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     weights = asked.join(term_statistics(terms, total, config), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"))
-    postings = terms.join(asked.select("term").distinct(), "term", "left_semi")
+    few = asked.limit(max_terms + 1).count() <= max_terms
+    postings = terms if few else terms.join(asked.select("term").distinct(), "term", "left_semi")
+    weights = F.broadcast(weights) if few else weights
     k1, b = config.bm25_k1, config.bm25_b
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(mean)))
     return postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
