@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lawloom.plans import spread_out
+
 # What a cut costs by the boundary it falls on, best first; a position has the cost of the best boundary that ends there.
 _BOUNDARIES = (
     (10.0, regex.compile(r"\s+")),
@@ -122,4 +124,4 @@ def split_oversized(items: DataFrame, keys: Sequence[str], text: str, limits: Li
 
     fields = [narrow.schema[k] for k in keys]
     added = [T.StructField("piece_no", T.IntegerType()), T.StructField("piece_start", T.LongType()), T.StructField("piece", T.StringType())]
-    return narrow.mapInPandas(run, T.StructType([*fields, *added]))
+    return spread_out(narrow).mapInPandas(run, T.StructType([*fields, *added]))
