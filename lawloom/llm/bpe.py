@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lawloom.plans import spread_out
+
 # Fixed value: the public pattern that splits a text before the merges of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words and arcs that a worker keeps; beyond it the tables start anew. It bounds memory and changes no result.
@@ -176,7 +178,7 @@ def encode_corpus(documents: DataFrame, path: str, key: str = "doc_id", text: st
 
     Null and empty texts have an empty list of ids; blanks are text. The strings of special tokens are ordinary text.
     Rows are kept as they are, repeats and null keys too; other columns, whatever their names, aren't read. There is no
-    shuffle: the text column streams through workers that share nothing but the vocabulary.
+    shuffle, unless the scan has fewer partitions than the cluster has cores: the text column streams through workers that share nothing but the vocabulary.
     """
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(Merges.read(path))
@@ -192,4 +194,4 @@ def encode_corpus(documents: DataFrame, path: str, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["k", "ids"])
 
     schema = T.StructType([T.StructField("k", narrow.schema["k"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return narrow.mapInArrow(run, schema).withColumnRenamed("k", key)
+    return spread_out(narrow).mapInArrow(run, schema).withColumnRenamed("k", key)
