@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawloom.plans import spread_out
+
 # Frequent function words of Vietnamese, English and French, without case and diacritics.
 COMMON_WORDS = (
     "va cua la cac co khong duoc trong cho voi nguoi theo tai mot khi nay da de ve tu do tren phai bi thi nhung den neu ra nhu sau hay vi cung se lai chi con dong chua ngay truoc "
@@ -95,10 +97,12 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
     """One row per row of documents: key, counts and shares of its whole text.
 
     Null, empty and blank texts have counts and shares of 0. Characters are code points; letters count their combining
-    marks. All statistics are built-in expressions over one scan of two columns, without a shuffle; a text is never cut.
+    marks. All statistics are built-in expressions over one scan of two columns, without a shuffle unless the
+    scan has fewer partitions than cores; a text is never cut.
     """
     c = F.col
     rows = documents.select(c(f"`{key}`").alias("k"), F.coalesce(c(f"`{text}`"), F.lit("")).alias("t"))
+    rows = spread_out(rows)
     rows = _computed(rows, {"lines": F.filter(F.split("t", r"[\n\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S")), "plain": folded(c("t")), "visible": F.length(_without(c("t"), " \n\t\r\u00a0\u3000\u200b\ufeff"))})
     cells = F.when(_has_any(c("t"), _SEPARATORS), F.transform("lines", _cells)).otherwise(F.array_repeat(F.lit(1), F.size("lines")))
     rows = _computed(rows, {"bare": F.regexp_extract_all("plain", F.lit(LETTER_RUN), 0), "cells": cells, "fill": F.transform("lines", lambda x: F.size(F.split(F.btrim(x, F.lit(" \t\u00a0")), r"(?U)\s+")))})
