@@ -77,34 +77,23 @@ class EvalShard:
         than n - q + 1 - kq common ones can't be near. The few that remain are compared word by word.
         """
         numbers = [self.index.numbers(t) for t in texts]
-        grams: dict[tuple[int, ...], int] = {}
-        wanted: list[tuple[int, list[int]]] = []
-        for known in numbers:
-            q = _gram_size(len(known), percent)
-            windows = list(zip(*(known[i:].tolist() for i in range(q)), strict=False)) if q else []
-            wanted.append((q, [grams.setdefault(g, len(grams)) for g in windows if min(g) > 0]))
-        posting: list[np.ndarray] = [np.zeros(0, np.int64)] * len(grams)
+        sizes = np.array([_gram_size(len(known), percent) for known in numbers], np.int64)
+        found = {q: self._postings([numbers[i] for i in np.flatnonzero(sizes == q)], q) for q in (1, 2, 3)}
+        place = np.zeros(len(texts), np.int64)
         for q in (1, 2, 3):
-            mine = [(g, k) for g, k in grams.items() if len(g) == q]
-            for begin in range(0, len(mine), 50_000):
-                part = mine[begin : begin + 50_000]
-                low, high = self.index.search(np.array([g for g, _ in part], np.int64).reshape(-1, q))
-                rows, which = spread(low, high)
-                held = self.index.texts_of(self.index.locate(rows))
-                pairs = np.unique(which * len(self.sizes) + held)
-                which, held = pairs // len(self.sizes), pairs % len(self.sizes)
-                for (_, k), docs in zip(part, np.split(held, np.searchsorted(which, np.arange(1, len(part)))), strict=True):
-                    posting[k] = docs
-        for text, (known, (q, mine)) in enumerate(zip(numbers, wanted, strict=True)):
+            place[sizes == q] = np.arange((sizes == q).sum())
+        for text, (known, q) in enumerate(zip(numbers, sizes.tolist(), strict=True)):
             n = len(known)
-            begin, end = np.searchsorted(self.sizes, [-(-n * (100 - percent) // 100), n * 100 // (100 - percent)], side="left")
+            begin = int(np.searchsorted(self.sizes, -(-n * (100 - percent) // 100), side="left"))
             end = int(np.searchsorted(self.sizes, n * 100 // (100 - percent), side="right"))
             if begin >= end:
                 continue
             allowed = edits(n, self.sizes[begin:end], percent)
             if q:
-                hits = np.concatenate([posting[k] for k in mine]) if mine else np.zeros(0, np.int64)
-                counts = np.bincount(hits, minlength=len(self.sizes))[begin:end]
+                first, grams, offsets, held = found[q]
+                mine = grams[first[place[text]] : first[place[text] + 1]]
+                at, _ = spread(offsets[mine], offsets[mine + 1])
+                counts = np.bincount(held[at], minlength=len(self.sizes))[begin:end]
                 close = np.flatnonzero(counts >= n - q + 1 - allowed * q)
             else:
                 close = np.arange(end - begin)
@@ -113,6 +102,28 @@ class EvalShard:
                 if edit_distance(own, self.numbers[begin + c]) <= allowed[c]:
                     yield text, self.keys[begin + c]
 
+    def _postings(self, numbers: Sequence[np.ndarray], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the grams of q words of some texts: where each text's grams begin, the number of each gram, and by number where its texts begin and which they are."""
+        base = len(self.index.words) + 1  # three words fit 63 bits up to two million different ones
+        if base**q >= 1 << 63:
+            raise ValueError("too many different words in a shard")
+        keys, first = [], [0]
+        for known in numbers:
+            windows = np.lib.stride_tricks.sliding_window_view(known, q)
+            windows = windows[(windows > 0).all(axis=1)]
+            keys.append(windows @ (base ** np.arange(q - 1, -1, -1)))
+            first.append(first[-1] + len(windows))
+        distinct, grams = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
+        patterns = np.stack([distinct // base**k % base for k in range(q - 1, -1, -1)], axis=1) if len(distinct) else np.zeros((0, q), np.int64)
+        pairs = []
+        for begin in range(0, len(patterns), 50_000):
+            low, high = self.index.search(patterns[begin : begin + 50_000])
+            rows, which = spread(low, high)
+            pairs.append(np.unique((which + begin) * len(self.sizes) + self.index.texts_of(self.index.locate(rows))))
+        joined = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        offsets = np.searchsorted(joined // max(1, len(self.sizes)), np.arange(len(patterns) + 1))
+        return np.array(first, np.int64), grams, offsets, (joined % max(1, len(self.sizes))).astype(np.int32)
+
 
 def near_pairs(train: DataFrame, held_out: DataFrame, percent: int = 20) -> DataFrame:
     """(train_words, eval_words) for texts (words: joined canonical words, distinct and not null) within percent edits.
