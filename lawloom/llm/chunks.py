@@ -24,7 +24,7 @@ _BOUNDARIES = (
     (0.0, regex.compile(r"[ \t]*(?:\r?\n[ \t]*){2,}\s*")),
 )
 _INSIDE_WORD, _INSIDE_LETTER = 40.0, 1000.0
-_JOINED = regex.compile(r"(?<=.)[\p{M}‍︎️]|(?<=‍).|(?<=\r)\n", regex.DOTALL)
+_JOINED = regex.compile("[\\p{M}\u200d\ufe0e\ufe0f]|\\r\\n")  # what continues the letter before it
 _BALANCE = 30.0
 
 
@@ -45,7 +45,9 @@ def cut_costs(text: str) -> np.ndarray:
     """The cost of a cut before each position from 0 to the text's length."""
     costs = np.full(len(text) + 1, _INSIDE_WORD)
     for m in _JOINED.finditer(text):
-        costs[m.start()] = _INSIDE_LETTER
+        costs[m.start() + (m.group() == "\r\n")] = _INSIDE_LETTER
+        if m.group() == "\u200d":
+            costs[m.end()] = _INSIDE_LETTER
     for cost, boundary in _BOUNDARIES:
         for m in boundary.finditer(text):
             costs[m.end()] = min(cost, costs[m.end()])
