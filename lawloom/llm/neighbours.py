@@ -307,6 +307,9 @@ def _fit(classes: DataFrame, total: int, options: IndexOptions) -> np.ndarray:
     lists = max(1, min(options.max_lists, total // options.list_rows))
     size = lists * options.sample_per_list
     drawn = F.pmod(F.xxhash64("id", F.lit(options.seed)), F.lit(1 << 20)) < int(min(1.0, 1.5 * size / total) * (1 << 20)) + 1
-    vectors = [r["v"] for r in classes.where(drawn).select("v").limit(2 * size).collect()] or [r["v"] for r in classes.select("v").limit(1).collect()]
-    raw = pd.Series([np.asarray(v, np.float32).tobytes() for v in vectors], dtype=object)
+    table = classes.where(drawn).select("v").limit(2 * size).toArrow()
+    if not table.num_rows:
+        table = classes.select("v").limit(1).toArrow()
+    flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    raw = pd.Series([v.tobytes() for v in flat.reshape(-1, options.dimensions)], dtype=object)
     return fit_centroids(_units(raw, options.dimensions), lists, options.seed)
