@@ -41,6 +41,10 @@ def tokens(text: Column) -> Column:
     return F.split(text, " ")
 
 
+# Fixed values of the documented formats: the marks of the two id prefixes, the relevance prompt, the two verdict words
+# and the three question kinds, in the functions below.
+
+
 def law_prefix(section: Column, law: Column, document: Column, owner: Column, text: Column) -> Column:
     """"[section-law-document@#$owner] text"."""
     return F.concat(F.lit("["), section, F.lit("-"), law, F.lit("-"), document, F.lit("@#$"), owner, F.lit("] "), text)
