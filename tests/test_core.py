@@ -261,6 +261,15 @@ def test_top_k_is_limited_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_package_is_sent_once(spark):
+    from lawloom.plans.ship import ship_package
+
+    ship_package(spark)
+    before = len(spark.sparkContext._python_includes)
+    ship_package(spark)
+    assert len(spark.sparkContext._python_includes) == before >= 1
+
+
 def test_sources(spark, tmp_path):
     path = f"file://{tmp_path}/a"
     rows = spark.createDataFrame([("1", [("x", 'q"\nt')]), (None, None)], schemas.LAW_FLAT)
