@@ -27,10 +27,10 @@ PLACEHOLDERS = frozenset(
 ) - {"khong"}
 # Cues of a refusal, as canonical words between blanks; cues of one group count once.
 REFUSAL_CUES = {
-    "apology": "xin loi ban|thanh that xin loi|toi rat lay lam tiec|rat tiec|mong ban thong cam|cam on ban da hoi|i m sorry|i am sorry|sorry|i apologize|i apologise|unfortunately|my apologies|desole|je regrette|malheureusement|es tut mir leid|leider|entschuldigung|lo siento|lamento|mi dispiace|desculpe|prosti|извините|к сожалению|抱歉|很抱歉|对不起|很遗憾|申し訳ありません|죄송합니다|ขออภัย|ขอโทษ",
+    "apology": "xin loi ban|xin loi toi|xin loi em|xin loi minh|xin loi he thong|xin loi viec|thanh that xin loi|toi rat lay lam tiec|rat tiec|mong ban thong cam|cam on ban da hoi|i m sorry|i am sorry|sorry|i apologize|i apologise|unfortunately|my apologies|desole|je regrette|malheureusement|es tut mir leid|leider|entschuldigung|lo siento|lamento|mi dispiace|desculpe|prosti|извините|к сожалению|抱歉|很抱歉|对不起|很遗憾|申し訳ありません|죄송합니다|ขออภัย|ขอโทษ",
     "unable": "khong the tra loi|chua the tra loi|khong the giai dap|chua the giai dap|khong the ho tro|chua the ho tro|khong ho tro noi dung|khong ho tro cau|xin phep khong|tu choi tra loi|tu choi ho tro|khong duoc phep dua ra|khong duoc phep tu van|khong duoc phep tra loi|khong biet dap an|khong biet cau tra loi|khong the giup|khong the cung cap|khong tra loi duoc|khong dua ra dap an|chua the ket luan|cannot answer|can t answer|can not answer|unable to|not able to|can t help|cannot help|cannot assist|can t assist|won t answer|will not guess|decline to|refuse to|not let me answer|ne peux pas|ne suis pas en mesure|kann diese frage nicht|kann ich nicht|nicht beantworten|no puedo|non posso|nao posso|не могу|无法回答|不能回答|无法提供|不便回答|お答えできません|답변할 수 없|ไม่สามารถ",
     "limits": "pham vi cua toi|ngoai kha nang|vuot qua kha nang|vuot qua pham vi|khong co thong tin phu hop|chua du du lieu|khong du du lieu|khong du thong tin|chua du thong tin|outside what i can|beyond my|not enough information|don t have enough information|do not have enough information|passages provided do not|context does not|mes competences|pas assez d informations",
-    "speaker": "voi vai tro tro ly|tro ly ao|mo hinh ngon ngu|la mot ai|toi la ai|as an ai|as a language model|as an assistant|language model|en tant qu assistant|als ki|als sprachmodell|作为人工智能|作为一个ai",
+    "speaker": "he thong khong ho tro|voi vai tro tro ly|tro ly ao|mo hinh ngon ngu|la mot ai|toi la ai|as an ai|as a language model|as an assistant|language model|en tant qu assistant|als ki|als sprachmodell|作为人工智能|作为一个ai",
     "elsewhere": "hay lien he|ban nen hoi|vui long lien he|nen lien he|please contact|please consult|veuillez consulter|wenden sie sich",
     "excuse": "tai lieu kem theo khong|doan trich chi noi|ngu canh khong|van ban duoc cung cap khong",
 }
@@ -156,7 +156,7 @@ def clause_features(answer: str, question: str, pair: Sequence[float], word: Seq
     if not closed:
         inner = _stripped(body.rstrip(".…"))
         on[_AT["open_mark"]] = inner[-1:] in ",:-–—(/[&" or (len(parts) > 1 and _LONE_MARKER.search(body) is not None)
-        on[_AT["open_bracket"]] = any(inner.count(a) > inner.count(b) for a, b in ("()", "[]", "“”"))
+        on[_AT["open_bracket"]] = any(inner.count(a) > inner.count(b) for a, b in ("()", "[]", "“”")) or answer.count("`") % 2 == 1 or answer.count("**") % 2 == 1
         seen, ended, bare = pair
         often = max(3.0, answers * 1.5e-3)
         on[_AT["broken_word"]] = len(words) > 2 and not words[-1].isdigit() and word[0] - word[2] < max(1.0, answers * 2e-5)
@@ -247,9 +247,11 @@ def defect(answer: str | None, question: str | None, pair: Sequence[float], word
         return "refusal"
     if share["echo"] + (share["unfinished"] if x[-1, _AT["echo_all"]] else 0) >= 0.9 and _covers(parts, question or ""):
         return "copy"
-    if share["foreign"] > 0.5:
+    if share["foreign"] > 0.5 or (len(parts) == 1 and x[0, _AT["foreign_answer"]]):
         return "language"
-    return "truncated" if TAGS[tags[-1]] == "unfinished" else None
+    # Plain signs of a break outweigh the tag, which leans on how the other clauses of an answer look.
+    broken = x[-1, [_AT[n] for n in ("open_word", "open_mark", "open_bracket")]].any() and not x[-1, _AT["closed"]]
+    return "truncated" if broken or TAGS[tags[-1]] == "unfinished" else None
 
 
 def _covers(parts: Sequence[str], question: str) -> bool:
