@@ -75,6 +75,46 @@ def nested_sample(items: DataFrame, levels: Sequence[str], each: int, seed: int)
     return kept
 
 
+def drawn_places(count: int, taken: Column, n: int, seed: int, *keys: Column) -> Column:
+    """n distinct places below count, none of the sorted array taken, at random by the keys; all that are left if they're fewer."""
+    draws = F.slice(F.array(*[F.lit(k) for k in range(1, n + 1)]), F.lit(1), F.greatest(F.lit(0), F.least(F.lit(n), F.lit(count) - F.size(taken))))
+    number = lambda k: F.conv(F.substring(hash_order(seed, *keys, k), 1, 8), 16, 10).cast("bigint")
+    free = lambda used, k: F.aggregate(used, number(k) % (F.lit(count) - F.size(used)), lambda r, u: r + (u <= r).cast("bigint"))
+    return F.array_except(F.aggregate(draws, taken, lambda used, k: F.array_sort(F.array_append(used, free(used, k)))), taken)
+
+
+def numbered(ids: DataFrame, key: str) -> DataFrame:
+    """(key, place) of the distinct ids that aren't null, from 0 in order."""
+    return ids.where(F.col(key).isNotNull()).select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
+
+
+def foreign_negatives(labels: DataFrame, items: DataFrame, levels: Sequence[str], each: int, n: int, seed: int) -> DataFrame:
+    """(question_id, cited, levels, place): n items of other parents for each question and parent it cites.
+
+    The parent is the first level. A round draws `each` parents other than the cited one, and up to `each` members at every
+    level below. Rounds are independent and go on until they hold n items, of which n are drawn; an item of two rounds may
+    come twice. Every parent has an item, so no more than n / `each` rounds are needed. A null id is an id like others.
+    """
+    parent, below = levels[0], levels[1:]
+    items = items.where(F.col(parent).isNotNull()).select(*levels).distinct()
+    parents = numbered(items, parent)
+    count = parents.count()
+    rounds = -(-n // max(1, min(each, count - 1)))
+    cited = labels.where(F.col(parent).isNotNull()).select("question_id", F.col(parent).alias("cited")).distinct().join(parents.withColumnRenamed(parent, "cited"), "cited", "left")
+    cited = cited.withColumn("taken", F.array_compact(F.array("place"))).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    draws = cited.select("question_id", "cited", "round", F.explode(drawn_places(count, F.col("taken"), each, seed, F.col("question_id"), F.col("cited"), F.col("round"))).alias("place"))
+    found = draws.join(parents, "place").drop("place").join(items, parent)
+    path = ["question_id", "cited", "round", parent]
+    for level in below:
+        order = hash_order(seed, *[F.col(c) for c in [*path, level]])
+        found = found.withColumn("__p", F.dense_rank().over(Window.partitionBy(*path).orderBy(order, F.col(level).asc_nulls_first()))).where(F.col("__p") <= each).drop("__p")
+        path.append(level)
+    w = Window.partitionBy("question_id", "cited")
+    found = found.withColumn("__before", F.count(F.lit(1)).over(w.orderBy("round").rangeBetween(Window.unboundedPreceding, -1))).where(F.col("__before") < n)
+    order = [hash_order(seed, *[F.col(c) for c in path]), "round", *[F.col(c).asc_nulls_first() for c in levels]]
+    return found.withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= n).select("question_id", "cited", *levels, "place")
+
+
 def split_by_size(questions: DataFrame, share: float, seed: int, most: int = 2) -> DataFrame:
     """(question_id, n_labels, split): questions of more than `most` labels train; of the others the first floor(total * (1 - share)) in hash order test."""
     total = questions.count()

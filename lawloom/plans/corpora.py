@@ -145,6 +145,12 @@ def hierarchical_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.nested_sample(_tree(spark, sf_dir).where(" and ".join(f"{c} is not null" for c in levels)), levels, 2, SEED)
 
 
+def law_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N articles of other laws for every question and law it cites, drawn in rounds of two laws, chapters, sections and articles; articles without a content are none."""
+    items = _tree(spark, sf_dir).where("content is not null")
+    return sampling.foreign_negatives(_cited(spark, sf_dir), items, ["law_id", "chapter", "section", "article"], 2, N, SEED).withColumnRenamed("cited", "cited_law")
+
+
 def balance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = gold(spark, sf_dir).distinct().withColumn("__l", F.lit(1))
     pairs = predictions(spark, sf_dir).join(labels, ["question_id", *KEYS], "left").select("question_id", *KEYS, "rank", F.coalesce("__l", F.lit(0)).alias("label"))
@@ -222,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flatten_tree, titles_short, titles_long, attach_children, enrich_first, match_counts, lookup_with_sentinel, gold_context, four_key_lookup, in_corpus_only, void_on_missing, none_partition, short_content_guard,
-        membership_score, hard_negatives, soft_negatives, mixed_negatives, replacement_negatives, same_law_negatives, hierarchical_negatives, balance_pairs, train_pairs, split_rule, split_by_id, keyed_first, positional_zip,
+        membership_score, hard_negatives, soft_negatives, mixed_negatives, replacement_negatives, same_law_negatives, hierarchical_negatives, law_negatives, balance_pairs, train_pairs, split_rule, split_by_id, keyed_first, positional_zip,
         vote_ensemble, accuracy, shuffled_rows, union_frames,
     )
 }
@@ -242,6 +248,9 @@ _MODEL = "case when contains(question_id, 'DS') then case when {h} % 2 = 0 then
 _THREE = f"with {_ONE}, m as (select *, " + ", ".join(f"{_MODEL.format(h=_HEX.format(f'md5(question_id || {chr(39)}-{k}{chr(39)})'))} as m{k}" for k in (1, 2, 3)) + " from g)"
 _COUNT = lambda a: " + ".join(f"(coalesce(m{k} = '{a}', false))::int" for k in (1, 2, 3))
 _VOTE = f"case when contains(question_id, 'TL') then m3 when contains(question_id, 'DS') then case when {_COUNT('đúng')} > {_COUNT('sai')} then 'đúng' else 'sai' end else case greatest({_COUNT('a')}, {_COUNT('b')}, {_COUNT('c')}, {_COUNT('d')}) when {_COUNT('a')} then 'A' when {_COUNT('b')} then 'B' when {_COUNT('c')} then 'C' else 'D' end end"
+_LAWS = "laws as (select law_id, row_number() over (order by law_id) - 1 as place from (select distinct law_id from {} where law_id is not null)), size as (select count(*) as total from laws)"
+_PLACES = """list_filter(list_reduce(list_transform(range(1, least({n}, total - len(taken)) + 1), lambda k: ('0x' || substr(md5('42-' || {key} || '-' || k), 1, 8))::bigint),
+        lambda used, h: list_sort(list_append(used, list_reduce(used, lambda r, u: r + (u <= r)::bigint, h % (total - len(used))))), taken), lambda p: not list_contains(taken, p))"""
 _TITLE = f"trim(regexp_replace(translate(lower(entry), '-' || chr(10) || chr(9), ''), '{SPACE}', ' ', 'g'))"
 ORACLE = {
     "flatten_tree": f"with {_TREE} select distinct law_id, '[' || article || '-' || law_id || '] ' || content as text from tree where article is not null and law_id is not null and content is not null",
@@ -272,6 +281,14 @@ ORACLE = {
         c as (select law_id, chapter from (select *, row_number() over (partition by law_id order by md5('42-' || law_id || '-' || chapter), chapter) as n from (select distinct law_id, chapter from i semi join l using (law_id))) where n <= 2),
         s as (select law_id, chapter, section from (select *, row_number() over (partition by law_id, chapter order by md5('42-' || law_id || '-' || chapter || '-' || section), section) as n from (select distinct law_id, chapter, section from i semi join c using (law_id, chapter))) where n <= 2)
         select law_id, chapter, section, article from (select *, row_number() over (partition by law_id, chapter, section order by md5('42-' || law_id || '-' || chapter || '-' || section || '-' || article), article) as n from (select i.* from i semi join s using (law_id, chapter, section))) where n <= 2""",
+    "law_negatives": f"""with {_TREE}, {_CITED}, i as (select distinct law_id, chapter, section, article from tree where law_id is not null and content is not null), {_LAWS.format('i')},
+        c as (select *, unnest(range(1, (ceil({N} / greatest(1, least(2, total - 1))))::bigint + 1)) as round from (select question_id, c.law_id as cited_law, case when place is null then []::bigint[] else [place] end as taken from (select distinct question_id, law_id from cited where law_id is not null) c left join laws using (law_id)), size),
+        d as (select question_id, cited_law, round, law_id from (select question_id, cited_law, round, unnest({_PLACES.format(n=2, key="question_id || '-' || cited_law || '-' || round")}) as place from c) join laws using (place)),
+        e0 as (select question_id, cited_law, round, law_id, chapter, section, article from (select *, dense_rank() over (partition by question_id, cited_law, round, law_id order by md5(concat_ws('-', '42', question_id, cited_law, round, law_id, chapter)), chapter nulls first) as n from d join i using (law_id)) where n <= 2),
+        e1 as (select question_id, cited_law, round, law_id, chapter, section, article from (select *, dense_rank() over (partition by question_id, cited_law, round, law_id, chapter order by md5(concat_ws('-', '42', question_id, cited_law, round, law_id, chapter, section)), section nulls first) as n from e0) where n <= 2),
+        e2 as (select question_id, cited_law, round, law_id, chapter, section, article from (select *, dense_rank() over (partition by question_id, cited_law, round, law_id, chapter, section order by md5(concat_ws('-', '42', question_id, cited_law, round, law_id, chapter, section, article)), article nulls first) as n from e1) where n <= 2),
+        b as (select * from (select *, count(*) over (partition by question_id, cited_law order by round range between unbounded preceding and 1 preceding) as n from e2) where n < {N})
+        select question_id, cited_law, law_id, chapter, section, article, place::int as place from (select *, row_number() over (partition by question_id, cited_law order by md5(concat_ws('-', '42', question_id, cited_law, round, law_id, chapter, section, article)), round, law_id, chapter nulls first, section nulls first, article nulls first) as place from b) where place <= {N}""",
     "balance_pairs": f"with {PREDICTED}, l as (select distinct *, 1 as l from gold), p as (select question_id, law_serial_number, article_number, rank, coalesce(l, 0) as label from pred left join l using (question_id, law_serial_number, article_number)), r as (select *, row_number() over (partition by question_id, label order by rank) as n, sum(label) over (partition by question_id) * 2 as quota from p) select question_id, law_serial_number, article_number, label from r where label = 1 or quota = 0 or n <= quota",
     "train_pairs": f"""with {PREDICTED}, {_FLAT}, {_FIRST}, lab as (select distinct * from gold), {_HARD.format(n=N).replace('from gold group', 'from lab group')}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id),
         p as (select *, 'đúng' as verdict from lab union all select question_id, law_serial_number, article_number, 'sai' from (select *, row_number() over (partition by question_id order by rank) as place from free) join quota using (question_id) where place <= quota)

@@ -224,6 +224,23 @@ def test_sampling(spark):
     assert sampling.mixed_negatives(ranked, labels, ["item"], 3, 42).count() <= 6
 
 
+def test_foreign_negatives_for_every_citation(spark):
+    items = spark.createDataFrame([(f"l{k}", str(c) if c else None, a) for k in range(7) for c in range(3) for a in range(3)] + [("m", None, 0)], "law_id string, chapter string, article int")
+    labels = spark.createDataFrame([(q, f"l{k}") for q in range(20) for k in (0, 1)] + [(20, "unknown"), (21, None), (0, "l0")], "question_id int, law_id string")
+    got = sampling.foreign_negatives(labels, items, ["law_id", "chapter", "article"], 2, 9, 42).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.question_id, r.cited), []).append(r)
+    assert set(by) == {(q, f"l{k}") for q in range(20) for k in (0, 1)} | {(20, "unknown")}
+    assert all(sorted(r.place for r in rows) == list(range(1, 10)) and all(r.law_id != cited for r in rows) for (_, cited), rows in by.items())
+    assert {r.law_id for r in got} == {f"l{k}" for k in range(7)} | {"m"} and len({tuple(sorted(r.law_id for r in rows)) for rows in by.values()}) > 10
+    once = sampling.foreign_negatives(labels, items, ["law_id", "chapter", "article"], 2, 2, 42)  # one round: at most two laws, chapters of each and articles of each
+    assert once.groupBy("question_id", "cited").count().where("count != 2").count() == 0
+    pair = items.where("law_id in ('l0', 'l1')")
+    assert {r.law_id for r in sampling.foreign_negatives(labels.where("law_id = 'l0'"), pair, ["law_id", "chapter", "article"], 2, 9, 42).collect()} == {"l1"}
+    assert sampling.foreign_negatives(labels.where("law_id = 'l0'"), pair.where("law_id = 'l0'"), ["law_id", "chapter", "article"], 2, 9, 42).count() == 0
+
+
 @pytest.mark.parametrize(("rate", "cap", "wanted"), [(1, False, 2), (2, False, 3), (0, False, 6), (0.5, False, 6), (0, True, 1)])
 def test_balance(spark, rate, cap, wanted):
     pairs = spark.createDataFrame([(1, 1, 1)] + [(1, k, 0) for k in range(2, 7)], "question_id int, rank int, label int")
