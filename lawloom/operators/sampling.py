@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lawloom.functions.text import collapse_lower
+
 
 def hash_order(seed: int, *keys: Column) -> Column:
     """A key whose order is random but fixed by the seed; it's the same in any engine with md5."""
@@ -115,6 +117,21 @@ def foreign_negatives(labels: DataFrame, items: DataFrame, levels: Sequence[str]
     return found.withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= n).select("question_id", "cited", *levels, "place")
 
 
+def parent_negatives(questions: DataFrame, labels: DataFrame, parents: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(question_id, key): n whole parents for each question that none of its labels has; all others if they're fewer."""
+    known = numbered(parents, key)
+    count = known.count()
+    taken = labels.join(known, key).groupBy("question_id").agg(F.array_sort(F.collect_set("place")).alias("taken"))
+    drawn = questions.select("question_id").where("question_id is not null").distinct().join(taken, "question_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
+    return drawn.select("question_id", F.explode(drawn_places(count, F.col("taken"), n, seed, F.col("question_id"))).alias("place")).join(known, "place").select("question_id", key)
+
+
+def pair_frame(queries: DataFrame, positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(question_id, query, article, label) of (question_id, text) and (question_id, entry): entries of label 1 and 0, both sides cleaned, each row once."""
+    entries = positives.select("question_id", "entry", F.lit(1).alias("label")).unionByName(negatives.select("question_id", "entry", F.lit(0).alias("label")))
+    return queries.join(entries, "question_id").select("question_id", collapse_lower(F.col("text")).alias("query"), collapse_lower(F.col("entry")).alias("article"), "label").where("article is not null").distinct()
+
+
 def split_by_size(questions: DataFrame, share: float, seed: int, most: int = 2) -> DataFrame:
     """(question_id, n_labels, split): questions of more than `most` labels train; of the others the first floor(total * (1 - share)) in hash order test."""
     total = questions.count()

@@ -157,14 +157,55 @@ def balance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.balanced(pairs, 2).select("question_id", *KEYS, "label")
 
 
-def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts with their verdicts: the labels that have a content as positives, then hard negatives of known content."""
-    questions = corpus.first_by(_t(spark, sf_dir, "question_main").where("text is not null").select("question_id", "text"), ["question_id"], [F.col("text")])
-    labels = gold(spark, sf_dir).distinct()
-    pairs = labels.withColumn("label", F.lit(1)).unionByName(sampling.hard_negatives(predictions(spark, sf_dir), labels, KEYS, N).select("question_id", *KEYS).withColumn("label", F.lit(0)))
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_by(_t(spark, sf_dir, "question_main").where("text is not null").select("question_id", "text"), ["question_id"], [F.col("text")])
+
+
+def _prompts(spark: SparkSession, sf_dir: str, negatives: DataFrame) -> DataFrame:
+    """Prompts with their verdicts: the labels that have a content as positives, then the negatives of known content."""
+    pairs = gold(spark, sf_dir).distinct().withColumn("label", F.lit(1)).unionByName(negatives.withColumn("label", F.lit(0)))
     named = pairs.select("question_id", F.col(KEYS[0]).alias("law_id"), F.col(KEYS[1]).alias("article"), "label")
     found = corpus.lookup_content(named, _flat(spark, sf_dir).where("law_id is not null and article is not null"), ["law_id", "article"], None).where("content is not null")
-    return found.join(questions, "question_id").select("question_id", "law_id", "article", relevance_prompt(F.col("text"), F.col("content")).alias("prompt"), verdict_word(F.col("label")).alias("verdict"))
+    return found.join(_questions(spark, sf_dir), "question_id").select("question_id", "law_id", "article", relevance_prompt(F.col("text"), F.col("content")).alias("prompt"), verdict_word(F.col("label")).alias("verdict"))
+
+
+def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of the labels and hard negatives."""
+    return _prompts(spark, sf_dir, sampling.hard_negatives(predictions(spark, sf_dir), gold(spark, sf_dir).distinct(), KEYS, N).select("question_id", *KEYS))
+
+
+def train_pairs_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of the labels, N hard and N soft negatives for each; what both draw comes once."""
+    return _prompts(spark, sf_dir, sampling.mixed_negatives(predictions(spark, sf_dir), gold(spark, sf_dir).distinct(), KEYS, 2 * N, SEED))
+
+
+def _law_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(law_id, entry): the names and scopes of all laws that have an id."""
+    return _t(spark, sf_dir, "law_tree").where("id is not null").select(F.col("id").alias("law_id"), F.explode(F.array("law_name", "scope")).alias("entry"))
+
+
+def _main_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, law_id, article_name) of the labels of question_main, null laws too."""
+    q = _t(spark, sf_dir, "question_main").where("question_id is not null").select("question_id", F.explode("relevant_articles").alias("x"))
+    return q.select("question_id", F.col("x.law_serial_number").alias("law_id"), F.col("x.article_name").alias("article_name")).distinct()
+
+
+def corpus_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names and scopes, in lower case, of N laws for every question that it doesn't cite."""
+    laws = _law_entries(spark, sf_dir)
+    drawn = sampling.parent_negatives(_t(spark, sf_dir, "question_main"), _main_labels(spark, sf_dir), laws.select("law_id"), "law_id", N, SEED)
+    return drawn.join(laws.where("entry is not null"), "law_id").select("question_id", F.lower("entry").alias("entry")).distinct()
+
+
+def pair_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the names and scopes of their laws and the names of their articles (label 1), and corpus_negatives (label 0).
+
+    Positives have more than 15 characters; one missing law voids all of a question.
+    """
+    labels, laws = _main_labels(spark, sf_dir), _law_entries(spark, sf_dir)
+    whole = corpus.all_found(labels, laws, "question_id", "law_id")
+    entries = labels.select("question_id", "law_id").distinct().join(laws, "law_id").select("question_id", "entry").unionByName(labels.select("question_id", F.col("article_name").alias("entry")))
+    return sampling.pair_frame(_questions(spark, sf_dir), entries.where(F.length("entry") > 15).join(whole, "question_id"), corpus_negatives(spark, sf_dir))
 
 
 def split_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flatten_tree, titles_short, titles_long, attach_children, enrich_first, match_counts, lookup_with_sentinel, gold_context, four_key_lookup, in_corpus_only, void_on_missing, none_partition, short_content_guard,
-        membership_score, hard_negatives, soft_negatives, mixed_negatives, replacement_negatives, same_law_negatives, hierarchical_negatives, law_negatives, balance_pairs, train_pairs, split_rule, split_by_id, keyed_first, positional_zip,
+        membership_score, hard_negatives, soft_negatives, mixed_negatives, replacement_negatives, same_law_negatives, hierarchical_negatives, law_negatives, balance_pairs, train_pairs, train_pairs_soft, corpus_negatives, pair_frame, split_rule, split_by_id, keyed_first, positional_zip,
         vote_ensemble, accuracy, shuffled_rows, union_frames,
     )
 }
@@ -251,6 +292,11 @@ _VOTE = f"case when contains(question_id, 'TL') then m3 when contains(question_i
 _LAWS = "laws as (select law_id, row_number() over (order by law_id) - 1 as place from (select distinct law_id from {} where law_id is not null)), size as (select count(*) as total from laws)"
 _PLACES = """list_filter(list_reduce(list_transform(range(1, least({n}, total - len(taken)) + 1), lambda k: ('0x' || substr(md5('42-' || {key} || '-' || k), 1, 8))::bigint),
         lambda used, h: list_sort(list_append(used, list_reduce(used, lambda r, u: r + (u <= r)::bigint, h % (total - len(used))))), taken), lambda p: not list_contains(taken, p))"""
+_NEGATIVES = f"""e as (select id as law_id, unnest([law_name, scope]) as entry from law_tree where id is not null), {_LAWS.format('e')},
+        l as (select distinct question_id, x.law_serial_number as law_id, x.article_name as article_name from (select question_id, unnest(relevant_articles) as x from question_main where question_id is not null)),
+        t as (select q.question_id, coalesce(taken, []::bigint[]) as taken from (select distinct question_id from question_main where question_id is not null) q left join (select question_id, list_sort(list(distinct place)) as taken from l join laws using (law_id) group by question_id) x using (question_id)),
+        neg as (select distinct question_id, lower(entry) as entry from (select question_id, unnest({_PLACES.format(n=N, key='question_id')}) as place from t, size) join laws using (place) join e using (law_id) where entry is not null)"""
+_CLEAN = f"trim(regexp_replace(lower({{}}), '{SPACE.replace('{', '{{').replace('}', '}}')}', ' ', 'g'))"
 _TITLE = f"trim(regexp_replace(translate(lower(entry), '-' || chr(10) || chr(9), ''), '{SPACE}', ' ', 'g'))"
 ORACLE = {
     "flatten_tree": f"with {_TREE} select distinct law_id, '[' || article || '-' || law_id || '] ' || content as text from tree where article is not null and law_id is not null and content is not null",
@@ -293,6 +339,14 @@ ORACLE = {
     "train_pairs": f"""with {PREDICTED}, {_FLAT}, {_FIRST}, lab as (select distinct * from gold), {_HARD.format(n=N).replace('from gold group', 'from lab group')}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id),
         p as (select *, 'đúng' as verdict from lab union all select question_id, law_serial_number, article_number, 'sai' from (select *, row_number() over (partition by question_id order by rank) as place from free) join quota using (question_id) where place <= quota)
         select question_id, law_id, article, 'Câu hỏi: ' || text || ' Điều luật: ' || content || ' Có liên quan:' as prompt, verdict from p join f1 on law_serial_number = law_id and article_number = article join q using (question_id) where content is not null""",
+    "train_pairs_soft": f"""with {PREDICTED}, {_FLAT}, {_FIRST}, lab as (select distinct * from gold), {_HARD.format(n=N).replace('from gold group', 'from lab group')}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id),
+        p as (select *, 'đúng' as verdict from lab union all select distinct question_id, law_serial_number, article_number, 'sai' from (select *, {_SOFT} as soft, row_number() over (partition by question_id order by rank) as hard from free) join quota using (question_id) where soft <= quota or hard <= quota)
+        select question_id, law_id, article, 'Câu hỏi: ' || text || ' Điều luật: ' || content || ' Có liên quan:' as prompt, verdict from p join f1 on law_serial_number = law_id and article_number = article join q using (question_id) where content is not null""",
+    "corpus_negatives": f"with {_NEGATIVES} select * from neg",
+    "pair_frame": f"""with {_NEGATIVES}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id), bad as (select question_id from l where law_id is null or law_id not in (select law_id from laws)),
+        pos as (select question_id, entry from (select distinct question_id, law_id from l) join e using (law_id) union all select question_id, article_name from l),
+        p as (select question_id, entry, 1 as label from pos where length(entry) > 15 and question_id not in (select question_id from bad) union all select question_id, entry, 0 from neg)
+        select distinct question_id, {_CLEAN.format('text')} as query, {_CLEAN.format('entry')} as article, label from q join p using (question_id)""",
     "split_rule": "with q as (select question_id, max(coalesce(len(relevant_articles), 0))::int as n_labels from question_main group by question_id), t as (select question_id, row_number() over (order by md5('42-' || question_id), question_id) as n from q where n_labels <= 2) select question_id, n_labels, case when n <= trunc((select count(*) from q) * (1 - 0.8::double)) then 'test' else 'train' end as split from q left join t using (question_id)",
     "split_by_id": "select question_id, case when bool_or(split_name = 'test') then 'test-1' when bool_or(split_name = 'valid') then 'test-2' when question_id <= 500 then 'train-1' else 'train-2' end as split from question_main where question_id is not null group by question_id",
     "keyed_first": "select question_id, answer_id, answer as first_answer from (select distinct question_id from question_competition) left join (select * from (select *, row_number() over (partition by question_id order by answered_at nulls first, answer_id) as n from answer_qwen where question_id is not null) where n = 1) using (question_id)",

@@ -241,6 +241,35 @@ def test_foreign_negatives_for_every_citation(spark):
     assert sampling.foreign_negatives(labels.where("law_id = 'l0'"), pair.where("law_id = 'l0'"), ["law_id", "chapter", "article"], 2, 9, 42).count() == 0
 
 
+def test_whole_parents_that_a_question_does_not_cite(spark):
+    parents = spark.createDataFrame([(f"l{k}",) for k in range(8)] + [("l0",), (None,)], "law_id string")
+    labels = spark.createDataFrame([(q, f"l{k}") for q in range(40) for k in (2, q % 2, q % 2)] + [(1, "unknown"), (1, None)] + [(41, f"l{k}") for k in range(6)], "question_id int, law_id string")
+    questions = spark.createDataFrame([(q,) for q in [*range(42), 0, None]], "question_id int")
+    by = {}
+    for r in sampling.parent_negatives(questions, labels, parents, "law_id", 5, 42).collect():
+        by.setdefault(r.question_id, []).append(r.law_id)
+    assert all(len(by[q]) == len(set(by[q])) == 5 and not set(by[q]) & {"l2", f"l{q % 2}"} for q in range(40))
+    assert len(set(by[40])) == 5 and sorted(by[41]) == ["l6", "l7"] and set(by) == set(range(42)) and len({tuple(sorted(x)) for x in by.values()}) > 5
+
+
+def test_pair_frame(spark):
+    queries = spark.createDataFrame([(1, " Hỏi\tGÌ? "), (2, "x")], "question_id int, text string")
+    positives, negatives = (spark.createDataFrame(rows, "question_id int, entry string") for rows in ([(1, "Luật  A"), (1, "luật a")], [(1, "luật\nb"), (2, "luật c"), (3, "luật d"), (2, None)]))
+    got = sampling.pair_frame(queries, positives, negatives)
+    assert values(got, "question_id", "query", "article", "label") == [(1, "hỏi gì?", "luật a", 1), (1, "hỏi gì?", "luật b", 0), (2, "x", "luật c", 0)]
+
+
+def test_soft_negatives_are_in_the_training_pairs(spark, small):
+    from lawloom.plans import corpora
+
+    every = {(r.question_id, r.law_id, r.article) for r in corpora.train_pairs_soft(spark, small).where("verdict = 'sai'").collect()}
+    keys = ["law_serial_number", "article_number"]
+    drawn = sampling.soft_negatives(corpora.predictions(spark, small), corpora.gold(spark, small).distinct(), keys, corpora.N, corpora.SEED).selectExpr("question_id", "law_serial_number as law_id", "article_number as article")
+    found = corpus.lookup_content(drawn, corpora._flat(spark, small), ["law_id", "article"], None).where("content is not null").join(corpora._questions(spark, small), "question_id").collect()
+    hard = {(r.question_id, r.law_id, r.article) for r in corpora.train_pairs(spark, small).where("verdict = 'sai'").collect()}
+    assert {(r.question_id, r.law_id, r.article) for r in found} <= every and hard <= every and len(every) > len(hard)
+
+
 @pytest.mark.parametrize(("rate", "cap", "wanted"), [(1, False, 2), (2, False, 3), (0, False, 6), (0.5, False, 6), (0, True, 1)])
 def test_balance(spark, rate, cap, wanted):
     pairs = spark.createDataFrame([(1, 1, 1)] + [(1, k, 0) for k in range(2, 7)], "question_id int, rank int, label int")
