@@ -36,6 +36,14 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_csv(spark, path, rows.schema)
 
 
+def csv_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions, null and blank texts, edge white space and line breaks too, written and read back."""
+    path = _folder(spark)
+    rows = _t(spark, sf_dir, "question_main").select("question_id", "text")
+    io.write_csv(rows, path, overwrite=True)
+    return io.read_csv(spark, path, rows.schema)
+
+
 def resume_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All answers, appended in two runs: those to essay questions first, then all, of which the second run finds some done."""
     path = _folder(spark)
@@ -67,11 +75,12 @@ def offline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("question_id", F.round("score", 6).alias("score"), "score_predict", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 3).alias("norm"))
 
 
-QUERIES = {f.__name__: f for f in (json_roundtrip, csv_roundtrip, resume_append, split_copies, streamed_questions, offline_scores)}
+QUERIES = {f.__name__: f for f in (json_roundtrip, csv_roundtrip, csv_whole, resume_append, split_copies, streamed_questions, offline_scores)}
 
 ORACLE = {
     "json_roundtrip": "select id, len(articles)::int as n, articles is not null as has_articles from law_flat",
     "csv_roundtrip": "select question_id, text from question_main where trim(text, ' ') <> '' and not regexp_matches(text, '[\\r]|^\\s|\\s$')",
+    "csv_whole": "select question_id, text from question_main",
     "resume_append": "select distinct answer_id, question_id from answer_qwen where answer_id is not null",
     "split_copies": "select question_id, coalesce(split_name, 'none') as split from question_main",
     "streamed_questions": "select distinct question_id from question_main where question_id is not null",

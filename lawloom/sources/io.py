@@ -19,9 +19,14 @@ def read_json_cases(spark: SparkSession, folder: str, schema: T.StructType, drop
     return read_json(spark, folder, schema).withColumn("case_file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)).drop(*drop)
 
 
+#: White space at the edges of a text is part of it. The null mark is a noncharacter, so that a quoted empty field isn't taken for one.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_NULL = "\uffff"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and quoted line breaks; an empty field is null."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    """CSV with a header and quoted line breaks; a field of nothing is null, a quoted one of nothing an empty text, and all else is kept as it stands."""
+    return spark.read.schema(schema).options(**_CSV, nullValue=_NULL).option("multiLine", True).option("mode", "FAILFAST").csv(path)
 
 
 def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -30,7 +35,8 @@ def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    df.write.mode("overwrite" if overwrite else "ignore").option("header", True).option("escape", '"').csv(path)
+    """CSV that read_csv() reads back as it was: nulls, blank texts, edge white space and all line breaks."""
+    df.write.mode("overwrite" if overwrite else "ignore").options(**_CSV).csv(path)
 
 
 def write_splits(df: DataFrame, path: str, column: str = "split") -> None:

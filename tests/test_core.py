@@ -335,6 +335,13 @@ def test_sources(spark, tmp_path):
     assert values(io.dev_limit(table, "k", 2), "k") == [(0,), (1,)]
 
 
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = [None, "", " ", "  a ", "\ta", "a\r", "a\rb", "a\r\nb", "\r\n", "\n", 'a"b', '"', '""', "a,b", "\\", '\\"', "\u00a0x\u00a0", "null", 'a\\"b, "c" \r\n "']
+    table = spark.createDataFrame([*enumerate(texts), (None, None), (None, "x")], "k int, t string")
+    io.write_csv(table, f"file://{tmp_path}/w")
+    assert values(io.read_csv(spark, f"file://{tmp_path}/w", table.schema), "k", "t") == values(table, "k", "t")
+
+
 def test_scorers(spark):
     df = spark.createDataFrame([("a b", "b c"), ("", "x"), (None, None)], "q string, t string")
     assert values(score_pairs(df, "q", "t"), "score", "score_predict") == [(0.0, 0), (0.0, 0), (0.5, 0)]
