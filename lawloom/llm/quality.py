@@ -36,6 +36,7 @@ THRESHOLDS = {
     "entry_common_share": 0.12,
     "full_line_words": 6.3,
 }
+WINDOW = 200  # words over which repetition is measured
 LETTER_RUN = r"[\p{L}\p{M}\p{N}]+"
 
 
@@ -69,6 +70,17 @@ def _where_share(items: Column, test) -> Column:
     return _share(F.size(F.filter(items, test)), F.size(items))
 
 
+def _distinct_share(words: Column) -> Column:
+    """The mean share of distinct words over windows of WINDOW words, the last of which ends with the text; of all words if they're fewer.
+
+    The share of a whole text falls as it grows, whatever it says.
+    """
+    last = F.greatest(F.size(words) - WINDOW, F.lit(0))
+    starts = F.array_distinct(F.array_append(F.sequence(F.lit(0), last, F.lit(WINDOW)), last))
+    shares = F.transform(starts, lambda s: _share(F.size(F.array_distinct(F.slice(words, s + 1, WINDOW))), F.least(F.size(words), F.lit(WINDOW))))
+    return F.when(F.size(words) > WINDOW, F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / F.size(shares)).otherwise(_share(F.size(F.array_distinct(words)), F.size(words)))
+
+
 def _without(text: Column, characters: str) -> Column:
     for character in characters:
         text = F.replace(text, F.lit(character), F.lit(""))
@@ -122,7 +134,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
         "short_line_share": _where_share(c("fill"), lambda n: n <= 9),
         "words_per_line": _share(c("words"), F.size("lines")),
         "common_share": _where_share(c("bare"), lambda x: x.isin(COMMON_WORDS)),
-        "distinct_word_share": _share(F.size(F.array_distinct("bare")), F.size("bare")),
+        "distinct_word_share": _distinct_share(c("bare")),
         "replacement_share": _share(_where_any(c("t"), ["\ufffd"], _chars(c("t"), "\ufffd")), c("visible")),
         "mojibake_share": _share(_where_any(c("t"), _MOJIBAKE_LEADS, _count(c("t"), _MOJIBAKE)), c("words")),
         "escape_share": _share(_where_any(c("t"), _ESCAPE_LEADS, _count(c("t"), _ESCAPES)), c("words")),

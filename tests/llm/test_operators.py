@@ -265,3 +265,14 @@ def test_statistics_against_counting(spark):
     assert (got[1].n_chars, got[1].n_words, got[1].n_lines, got[1].ended_line_share) == (19, 5, 2, 1.0)
     assert got[1].mean_word_length == pytest.approx((3 + 4 + 2 + 1 + 4) / 5)
     assert (got[2].n_chars, got[2].n_words, got[2].common_share) == (0, 0, 0.0)
+
+
+def test_long_prose_is_not_taken_for_repetition(spark):
+    subjects, acts, things, ends = ("le bureau du canton", "un agent de la mairie", "le conseil", "chaque locataire"), ("doit remettre", "conserve", "peut corriger", "signe"), ("le plan", "une copie du registre", "la demande", "les annexes"), ("avant la fin de la saison", "dans le délai convenu", "pour la commune", "sans frais")
+    prose = " ".join(f"{a} {b} {c} {d}.".capitalize() for a in subjects for b in acts for c in things for d in ends)
+    repeated = "thu phí trước khi bàn giao " * 300
+    df = spark.createDataFrame([(1, prose), (2, repeated), (3, "nhẵng " * 199), (4, "nhẵng " * 2001)], "doc_id int, text string")
+    got = {r.doc_id: r for r in classified(text_statistics(df)).collect()}
+    assert len(set(prose.lower().replace(".", "").split())) / len(prose.split()) < 0.08  # of the whole text
+    assert got[1].kind == "prose" and [got[k].kind for k in (2, 3, 4)] == ["junk"] * 3
+    assert got[2].distinct_word_share == pytest.approx(6 / 200) and got[4].distinct_word_share == pytest.approx(1 / 200)
