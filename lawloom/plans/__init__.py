@@ -1,5 +1,5 @@
-"""Plan-level helpers: sessions, lineage cuts, size-checked broadcasts."""
+"""Plan-level helpers: lineage cuts, size-checked joins, the package's way to the workers."""
 
-from lawloom.plans.stage import broadcast_if_small, shared_dir, spread_out, staged
+from lawloom.plans.stage import is_small, join_unique, new_folder, release, scope, shared_dir, spread_out, staged
 
-__all__ = ["broadcast_if_small", "shared_dir", "spread_out", "staged"]
+__all__ = ["is_small", "join_unique", "new_folder", "release", "scope", "shared_dir", "spread_out", "staged"]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.operators.scorers import encode, score_pairs
-from lawloom.plans.stage import shared_dir
+from lawloom.plans.stage import new_folder
 from lawloom.sources import io, schemas
 from lawloom.streaming.resume import process_new
 
@@ -18,7 +16,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lawloom/transfer-{uuid.uuid4().hex}"
+    return new_folder(spark, "transfer")
 
 
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

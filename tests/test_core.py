@@ -1,6 +1,7 @@
 """Edge cases of the core operators on hand-written rows, and pure-Python restatements on random ones."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from lawloom.operators import bm25, corpus, dense, metrics, sampling
 from lawloom.operators.scorers import answer, encode, score_pairs
 from lawloom.operators.shred import ADJACENCY, entity_table, ordinals, shred
 from lawloom.operators.voting import vote
-from lawloom.plans import broadcast_if_small, spread_out, staged
+from lawloom.plans import is_small, join_unique, release, scope, spread_out, staged
 from lawloom.sources import io, schemas
 
 TREE = "id string, content array<struct<id_Chapter:string, content_Chapter:array<struct<id_Section:string>>>>, label string, node int"
@@ -295,11 +296,60 @@ def test_vote(spark, key, answers, wanted):
 def test_plans(spark):
     df = staged(spark.range(10).toDF("a"), "test")
     assert df.count() == 10 and "localCheckpoint" not in df._jdf.queryExecution().toString()
-    assert "broadcast" in broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in broadcast_if_small(df, 9)._jdf.queryExecution().logical().toString().lower()
+    assert is_small(df, 10) and not is_small(df, 9)
     assert spread_out(spark.range(3).coalesce(1)).rdd.getNumPartitions() >= 4
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
+def test_hot_keys_of_a_join_are_salted(spark, how):
+    left = spark.createDataFrame([(1, n) for n in range(500)] + [(k, 0) for k in range(2, 9)] + [(None, 0)], "k int, n int")
+    right = spark.createDataFrame([(k, k * 10) for k in (1, 3, 5, 99)], "k int, v int")
+    columns = ["k", "n"] if how in ("left_anti", "left_semi") else ["k", "n", "v"]
+    wanted = values(left.join(right, "k", how), *columns)
+    assert values(join_unique(left, right, ["k"], how), *columns) == wanted
+    salted = join_unique(left, right, ["k"], how, hot_rows=100, small_rows=1)
+    assert "__salt" in salted._jdf.queryExecution().logical().toString() and values(salted, *columns) == wanted
+    assert values(join_unique(left, right, ["k"], how, small_rows=1), *columns) == wanted
+
+
+def test_written_tables_are_removed(spark, tmp_path):
+    import pathlib
+    import subprocess
+    import sys
+
+    with scope(spark):
+        path = staged(spark.range(3), "scoped").inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert pathlib.Path(path).exists()
+    assert not pathlib.Path(path).exists()
+    path = staged(spark.range(3), "released").inputFiles()[0].removeprefix("file:").replace("///", "/")
+    release(spark)
+    assert not pathlib.Path(path).exists()
+    code = f"""
+from pyspark.sql import SparkSession
+from lawloom.plans import staged
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+assert staged(spark.range(3), "x").count() == 3
+import os
+assert [f for f in os.listdir("{tmp_path}") if f.startswith("lawloom")]
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
+    deadline = time.time() + 20
+    while list(tmp_path.glob("lawloom*")) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not list(tmp_path.glob("lawloom*"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lawloom.plans.stage import shared_dir
+
+    context = SimpleNamespace(applicationId="app-x", master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+
+
 def test_top_k_is_limited_before_the_shuffle(spark, small):
     from lawloom.plans import retrieval
 
