@@ -42,6 +42,11 @@ def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best_articles(spark, sf_dir)
 
 
+def p1_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_ranked with a limit of 50 items, so that most questions are hot ones at every scale."""
+    return top_n_per_group(_table(spark, sf_dir, "predict_relevant_article"), "question_id", "article_db_id", "score", heavy_rows=50, ranges=4)
+
+
 def _question_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = _table(spark, sf_dir, "question_legacy")
     law = canonical_law_udf(F.col("law"))
@@ -62,14 +67,13 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similarity 0.8 or more of which either is among the other's ten most similar."""
-    near = similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", least=0.8)
+    near = similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", least=0.8, options=IndexOptions(probe_share=0.0))
     return near.select(F.least("vec_a", "vec_b").alias("vec_a"), F.greatest("vec_a", "vec_b").alias("vec_b")).distinct()
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every vector whose id is divisible by 100, whatever their similarity."""
-    options = IndexOptions(probe_share=0.4)
-    return similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", options=options, wanted=lambda key: key % 100 == 0)
+    return similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", wanted=lambda key: key % 100 == 0)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +158,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
+    "p1_hot": p1_hot,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p3_found": p3_found,

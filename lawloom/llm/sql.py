@@ -20,5 +20,6 @@ where length(t) > 1200"""
 ORACLE = {
     "p1_found": f"select question_id, article_db_id from ({_P1})",
     "p1_ranked": f"select question_id, article_db_id, score, rank::int as rank from ({_P1})",
+    "p1_hot": f"select question_id, article_db_id, score, rank::int as rank from ({_P1})",
     "p7_found": _P7,
 }
