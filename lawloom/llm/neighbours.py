@@ -29,10 +29,10 @@ class IndexOptions:
     """
 
     lists: float = 4.0
-    probes: int = 48
+    probes: int = 128
     probe_share: float = 0.4
     sample_per_list: int = 24
-    epsilon: float = 2.5
+    epsilon: float = 3.0
     block_rows: int = 50_000
     queries_per_block: int = 8
     seed: int = 7
@@ -309,7 +309,7 @@ def similar_vectors(vectors: DataFrame, key: str, vector: str, least: float = -1
     Equal vectors are one class, searched once: k + 1 of its smallest keys stand for it, which is all that ranks can show.
     Classes are filed under the nearest of the centroids; a query looks into the lists whose centroids are nearest to it.
     Near lists make up blocks of options.block_rows; each item goes to one block, and each query to the blocks that
-    hold a list it looks into. A block that very many queries look into is copied for every queries_per_block *
+    hold a list it looks into; of two near ones it's enough that one finds the other. A block that very many queries look into is copied for every queries_per_block *
     block_rows of them, by exact counts. So what's missed is only what lies in lists that a query doesn't look into or
     beyond the error bound. What is broadcast are the centroids: 4 * sqrt(N) vectors, 32 MB for 10^9 of them.
     """
@@ -402,6 +402,8 @@ def similar_vectors(vectors: DataFrame, key: str, vector: str, least: float = -1
 
     near = queries.groupBy("task").cogroup(items.groupBy("task")).applyInPandas(search, f"a {kind}, b {kind}, similarity double")
     by_rank = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
+    if wanted is None:  # what either of two finds, both have found
+        near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     near = staged(near.withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= k + 1).drop("r"), "near")  # the class itself is one
     return _unfolded(near, keys, k, wanted)
 
