@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,47 +14,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawloom.llm.crf import Field, train
+from lawloom.llm import seeds
+from lawloom.llm.crf import Field, Positions, train
 from lawloom.llm.words import canonical_words
-from lawloom.plans import staged
+from lawloom.plans import join_unique, staged
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
-#: Rows of the sample that the field is trained on.
-SAMPLE = 3000
+#: Answers of the sample that the field is trained on, and words of the questions that count as known.
+SAMPLE, KNOWN = 3000, 5000
 
 # Fixed values, in the form of canonical words: what stands for no answer.
-PLACEHOLDERS = frozenset(
-    "none|null|nan|nil|n a|na|khong|khong co|khong co cau tra loi|khong co tra loi|chua co cau tra loi|chua co|chua tra loi|khong tra loi|trong|de trong|bo trong|rong|empty|no answer|no response|not available|tbd|todo|undefined|unknown|chua cap nhat|dang cap nhat|khong co du lieu|khong co noi dung".split("|")
-) - {"khong"}
-# Cues of a refusal, as canonical words between blanks; cues of one group count once.
-REFUSAL_CUES = {
-    "apology": "xin loi ban|xin loi toi|xin loi em|xin loi minh|xin loi he thong|xin loi viec|thanh that xin loi|toi rat lay lam tiec|rat tiec|mong ban thong cam|cam on ban da hoi|i m sorry|i am sorry|sorry|i apologize|i apologise|unfortunately|my apologies|desole|je regrette|malheureusement|es tut mir leid|leider|entschuldigung|lo siento|lamento|mi dispiace|desculpe|prosti|извините|к сожалению|抱歉|很抱歉|对不起|很遗憾|申し訳ありません|죄송합니다|ขออภัย|ขอโทษ",
-    "unable": "khong the tra loi|chua the tra loi|khong the giai dap|chua the giai dap|khong the ho tro|chua the ho tro|khong ho tro noi dung|khong ho tro cau|xin phep khong|tu choi tra loi|tu choi ho tro|khong duoc phep dua ra|khong duoc phep tu van|khong duoc phep tra loi|khong biet dap an|khong biet cau tra loi|khong the giup|khong the cung cap|khong tra loi duoc|khong dua ra dap an|chua the ket luan|cannot answer|can t answer|can not answer|unable to|not able to|can t help|cannot help|cannot assist|can t assist|won t answer|will not guess|decline to|refuse to|not let me answer|ne peux pas|ne suis pas en mesure|kann diese frage nicht|kann ich nicht|nicht beantworten|no puedo|non posso|nao posso|не могу|无法回答|不能回答|无法提供|不便回答|お答えできません|답변할 수 없|ไม่สามารถ",
-    "limits": "pham vi cua toi|ngoai kha nang|vuot qua kha nang|vuot qua pham vi|khong co thong tin phu hop|chua du du lieu|khong du du lieu|khong du thong tin|chua du thong tin|outside what i can|beyond my|not enough information|don t have enough information|do not have enough information|passages provided do not|context does not|mes competences|pas assez d informations",
-    "speaker": "he thong khong ho tro|voi vai tro tro ly|tro ly ao|mo hinh ngon ngu|la mot ai|toi la ai|as an ai|as a language model|as an assistant|language model|en tant qu assistant|als ki|als sprachmodell|作为人工智能|作为一个ai",
-    "elsewhere": "hay lien he|ban nen hoi|vui long lien he|nen lien he|please contact|please consult|veuillez consulter|wenden sie sich",
-    "excuse": "tai lieu kem theo khong|doan trich chi noi|ngu canh khong|van ban duoc cung cap khong",
-}
-_FIRST_PERSON = frozenset("toi em minh i je ich yo eu 我".split())
-# Short words and answers of other languages that happen to have the form of Vietnamese syllables, or none.
-_FOREIGN_ANSWERS = frozenset("yes no true false correct incorrect right wrong oui non vrai faux ja nein richtig falsch si verdadero falso vero sim da net да нет verdadeiro correcto".split())
-_FOREIGN_WORDS = frozenset("the of and is are was be been that this which with from within must shall may should cannot not for by at on once each any under before after le les des du une un et est sont que qui dans pour avec sur par sauf doit peut der die das und ist nicht ein eine des den dem nach innerhalb el los las una por con del que".split())
-# Fixed value: the shape of a Vietnamese syllable without diacritics.
-_SYLLABLE = re.compile(r"(?:ngh|ng|nh|ch|gh|gi|kh|ph|qu|th|tr|[bcdghklmnpqrstvx])?[aeiouy]{1,3}(?:ch|ng|nh|[cmnpt])?")
-# Vietnamese words after which something must follow, with diacritics.
-_OPEN_WORDS = frozenset("và hoặc hay nhưng mà thì là nếu khi vì do để của cho với tại theo trong từ đến về bằng như trừ ngoài gồm rằng phải được bị sẽ đã đang chưa không các những một mọi trước sau nhằm thuộc giữa bởi nên còn tuy kể cùng khoản điều mục".split())
-_OPEN_PLAIN = frozenset(canonical_words(" ".join(_OPEN_WORDS)))
+PLACEHOLDERS = frozenset((
+    "none", "null", "nan", "nil", "n a", "na", "khong co", "khong co cau tra loi", "khong co tra loi", "chua co cau tra loi", "chua co", "chua tra loi", "khong tra loi", "trong", "de trong", "bo trong", "rong", "empty", "no answer", "no response", "not available", "tbd", "todo", "undefined", "unknown", "chua cap nhat", "dang cap nhat", "khong co du lieu", "khong co noi dung",
+))
+# Labels before an answer, list markers, and verdicts, which are clauses of their own.
 _LABEL = re.compile(r"^\W*(?:(?:câu\s+)?trả\s+lời|đáp\s+án|câu\s+hỏi|hỏi|đáp|answer|question|tra\s+loi|cau\s+tra\s+loi|dap\s+an|cau\s+hoi|réponse|antwort|q|a)\s*[:：]\s*", re.IGNORECASE)
 _MARKER = re.compile(r"^\W*(?:\d{1,3}|[a-zđ]|[ivx]{1,4})\s*[.)]\s+", re.IGNORECASE)
 _LONE_MARKER = re.compile(r"(?:^|[\s;.:,])(?:\d{1,3}|[a-zđ]|[ivx]{1,4})\s*[.)]?$", re.IGNORECASE)
 _VERDICT = re.compile(r"^\W*(đúng|sai|có|không|dung|co|khong)\s*[,.:;!]\s*(?=\w)", re.IGNORECASE)
+_SPELT = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[;\n]+")
 _CLOSED = ".!?。！？)]}”\"’»"
+_SHARES = (0.0, 0.03, 0.1, 0.3)
 FEATURES = (
-    "bias", *REFUSAL_CUES, "two_cues", "first_person", "echo_low", "echo_half", "echo_most", "echo_all", "foreign_shape", "foreign_script", "foreign_words", "foreign_answer", "few_syllables",
-    "last", "first", "only", "short", "closed", "open_mark", "open_word", "broken_word", "never_ends", "seldom_ends", "often_ends", "open_bracket", "ellipsis",
+    "bias", "first", "last", "only", "words_1", "words_2", "words_4", "words_8", "words_more", "marks_only", "other_script", "known_none", "known_few", "known_half", "known_most", "known_all", "accents_none", "accents_some", "accents_many",
+    "echo_low", "echo_half", "echo_most", "echo_all", "whole_low", "whole_half", "whole_most", "echo_all_whole", "echo_most_whole",
+    "closed", "ellipsis", "open_mark", "open_bracket", "lone_marker", "bare", "pair_new", *(f"pair_{k}" for k in range(5)), "word_new", *(f"word_{k}" for k in range(5)), "brief_new", *(f"brief_{k}" for k in range(5)),
 )
 _AT = {name: i for i, name in enumerate(FEATURES)}
+#: What an answer of the sample counts if it seems to break off: many do that end without a mark.
+_DOUBTED = 0.15
+#: The probability of a defect from which an answer of the sample isn't taken for sound.
+_UNSURE = 0.15
+#: Places of the hashed features: words with and without accents, pairs of words, last words, and letters of words that the questions don't have.
+HASHED = 1 << 14
+WIDTH = len(FEATURES) + HASHED
+#: Words and pairs whose places a worker keeps; beyond it the table starts anew, which changes no result.
+TABLE = 400_000
 
 
 def clauses(answer: str) -> list[str]:
@@ -73,7 +70,7 @@ def clauses(answer: str) -> list[str]:
 
 def _stripped(text: str) -> str:
     """text without trailing white space, invisible characters and emphasis marks."""
-    return re.sub(r"[\s​﻿ *_`~]+$", "", text)
+    return re.sub(r"[\s​﻿ *_`~]+$", "", text)
 
 
 def final_words(answer: str) -> tuple[str, str]:
@@ -103,163 +100,272 @@ def ending_counts(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(g, *c) for g, c in tally.items()], columns=["gram", "seen", "ended", "bare"])
 
 
-def _is_open(answer: str, inner: str, words: Sequence[str]) -> bool:
-    """Whether the last word asks for another, with its diacritics unless the whole answer has none."""
-    if unicodedata.normalize("NFD", answer).isascii():
-        return words[-1] in _OPEN_PLAIN
-    spoken = re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", inner.lower()))
-    return bool(spoken) and spoken[-1] in _OPEN_WORDS
-
-
-def clause_features(answer: str, question: str, pair: Sequence[float], word: Sequence[float], answers: float) -> tuple[list[str], np.ndarray]:
-    """The clauses and their features (positions x features).
-
-    pair, word: seen, ended and bare counts of the answer's last two words and of its last one over all answers, which
-    number `answers`.
-    """
-    parts = clauses(answer) or [answer]
-    asked = canonical_words(question)
-    grams = set(zip(asked, asked[1:], strict=False))
-    x = np.zeros((len(parts), len(FEATURES)), np.float64)
-    for i, part in enumerate(parts):
-        words = canonical_words(part)
-        on = x[i]
-        on[_AT["bias"]] = 1
-        spaced = f" {' '.join(words)} "
-        cues = 0
-        for group, listed in REFUSAL_CUES.items():
-            if any((f" {cue} " in spaced) if cue.isascii() else (cue in spaced or cue in part) for cue in listed.split("|")):
-                on[_AT[group]] = 1
-                cues += 1
-        on[_AT["two_cues"]] = cues > 1
-        on[_AT["first_person"]] = not _FIRST_PERSON.isdisjoint(words)
-        own = list(zip(words, words[1:], strict=False))
-        shared = sum(g in grams for g in own) / len(own) if own else float(bool(words) and words[0] in asked and len(asked) < 3)
-        if len(words) >= 4 or len(words) >= 0.8 * len(asked):
-            on[_AT["echo_all" if shared >= 0.85 else "echo_most" if shared >= 0.65 else "echo_half" if shared >= 0.4 else "echo_low"]] = 1
-        letters = [w for w in words if not w.isdigit()]
-        long = [w for w in letters if len(w) > 1 or not w.isascii()]
-        other = sum(1 for w in long if not w.isascii() and not unicodedata.name(w[0], "").startswith("LATIN"))
-        shaped = sum(1 for w in long if w.isascii() and _SYLLABLE.fullmatch(w)) / len(long) if long else 1.0
-        on[_AT["foreign_script"]] = bool(long) and other * 2 >= len(long)
-        on[_AT["foreign_shape"]] = bool(long) and shaped < 0.6
-        on[_AT["few_syllables"]] = bool(long) and shaped < 0.75
-        on[_AT["foreign_words"]] = bool(long) and sum(w in _FOREIGN_WORDS for w in long) * 4 >= len(long) and shaped < 0.8
-        on[_AT["foreign_answer"]] = len(words) <= 2 and bool(words) and words[0] in _FOREIGN_ANSWERS
-        on[_AT["first"]], on[_AT["last"]], on[_AT["only"]] = i == 0, i + 1 == len(parts), len(parts) == 1
-        on[_AT["short"]] = len(words) <= 4
-    on, body = x[-1], _stripped(answer)
-    words = canonical_words(parts[-1])
-    dots = body.endswith(("…", "..."))
-    closed = body[-1:] in _CLOSED and not dots and not (len(parts) > 1 and re.search(r"(?:^|[\s;:])(?:\d{1,3}[.)]|[a-zđ][.)])$", body))
-    on[_AT["closed"]], on[_AT["ellipsis"]] = closed, dots and len(words) > 0
-    if not closed:
+class Reader:
+    """Features of clauses; known are the frequent words of the questions, which are in the language that answers should be in."""
+
+    def __init__(self, known: frozenset[str]) -> None:
+        self.known = known
+        self.places: dict[str, tuple[int, ...]] = {}
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        found = self.places.get(word)
+        if found is None:
+            kinds = ["w:#"] if word.isdigit() else [f"w:{word}"]
+            if not word.isascii():
+                kinds += [f"g:{c}" for c in word] + [f"g:{word[i : i + 2]}" for i in range(len(word) - 1)]
+            elif word not in self.known and not word.isdigit():
+                edged = f"^{word[:40]}$"
+                kinds += [f"c:{edged[i : i + 3]}" for i in range(len(edged) - 2)]
+            found = self._keep(word, kinds)
+        return found
+
+    def _keep(self, name: str, kinds: Sequence[str]) -> tuple[int, ...]:
+        if len(self.places) > TABLE:
+            self.places.clear()
+        places = tuple(len(FEATURES) + zlib.crc32(k.encode()) % HASHED for k in kinds)
+        self.places[name] = places
+        return places
+
+    def _pair(self, a: str, b: str) -> tuple[int, ...]:
+        name = f"{a} {b}"
+        return self.places.get(name) or self._keep(name, [f"b:{name}"])
+
+    def _spelling(self, word: str) -> tuple[int, ...]:
+        name = f"~{word}"
+        return self.places.get(name) or self._keep(name, [f"r:{word}"])
+
+    def _end(self, words: str) -> tuple[int, ...]:
+        name = f"{words}$"
+        return self.places.get(name) or self._keep(name, [f"e:{words}"])
+
+    def read(self, answer: str, question: str, pair: Sequence[float], word: Sequence[float], own: bool) -> tuple[list[int], list[tuple[list[int], list[float]]]]:
+        """The number of words of each clause, and its features as (places, values).
+
+        pair, word: seen, ended and bare counts of the answer's last two words and of its last one over all answers;
+        own: whether the answer is one of those counted, so that it isn't evidence for itself.
+        """
+        parts = clauses(answer) or [answer]
+        told = [canonical_words(p) for p in parts]
+        asked = canonical_words(question)
+        grams = set(zip(asked, asked[1:], strict=False))
+        said = {g for w in told for g in zip(w, w[1:], strict=False)} if grams else set()
+        whole = sum(g in said for g in grams) / len(grams) if grams else 0.0
+        out = []
+        for i, (part, words) in enumerate(zip(parts, told, strict=True)):
+            on = ["bias"]
+            n = len(words)
+            on.append("words_1" if n < 2 else "words_2" if n == 2 else "words_4" if n < 5 else "words_8" if n < 9 else "words_more")
+            if i == 0:
+                on.append("first")
+            if len(parts) == 1:
+                on.append("only")
+            letters = [w for w in words if not w.isdigit() and (len(w) > 1 or not w.isascii())]
+            if not letters:
+                on.append("marks_only")
+            else:
+                other = sum(1 for w in letters if not w.isascii() and not unicodedata.name(w[0], "").startswith("LATIN"))
+                if other * 2 >= len(letters):
+                    on.append("other_script")
+                share = sum(w in self.known for w in letters) / len(letters)
+                on.append("known_none" if share == 0 else "known_few" if share < 0.4 else "known_half" if share < 0.7 else "known_most" if share < 1 else "known_all")
+                spoken = part.split()
+                accents = sum(not w.isascii() for w in spoken) / len(spoken)
+                on.append("accents_none" if accents == 0 else "accents_some" if accents < 0.3 else "accents_many")
+            own_grams = list(zip(words, words[1:], strict=False))
+            if grams and own_grams:
+                shared = sum(g in grams for g in own_grams) / len(own_grams)
+                echo = "echo_all" if shared >= 0.85 else "echo_most" if shared >= 0.65 else "echo_half" if shared >= 0.4 else "echo_low"
+                covers = "whole_most" if whole >= 0.7 else "whole_half" if whole >= 0.4 else "whole_low"
+                on += [echo, covers]
+                if covers == "whole_most" and echo in ("echo_all", "echo_most"):
+                    on.append(f"{echo}_whole")
+            if i + 1 == len(parts):
+                on += ["last", *self._ending(answer, parts, words, pair, word, own)]
+            places = [_AT[name] for name in on]
+            hashed = [p for w in words for p in self._word(w)]
+            hashed += [p for a, b in own_grams for p in self._pair(a, b)]
+            if not part.isascii():
+                spelt = _SPELT.findall(unicodedata.normalize("NFC", part).lower())
+                hashed += [p for w in spelt if not w.isascii() for p in self._spelling(w)]
+            if i + 1 == len(parts) and "closed" not in on:
+                places += [p for last in (words[-1:], words[-2:]) if last for p in self._end(" ".join(last))]
+            value = 2.0 / max(1, len(hashed)) ** 0.5
+            out.append((places + hashed, [1.0] * len(places) + [value] * len(hashed)))
+        return [len(w) for w in told], out
+
+    @staticmethod
+    def _ending(answer: str, parts: Sequence[str], words: Sequence[str], pair: Sequence[float], word: Sequence[float], own: bool) -> list[str]:
+        """What the end of an answer looks like, and how often its last words end a clause elsewhere."""
+        body = _stripped(answer)
+        dots = body.endswith(("…", "..."))
+        lone = len(parts) > 1 and _LONE_MARKER.search(body) is not None and re.search(r"(?:^|[\s;:.])(?:\d{1,3}|[a-zđ])[.)]?$", body) is not None
+        if body[-1:] in _CLOSED and not dots and not lone:
+            return ["closed"]
+        on = ["ellipsis"] if dots else []
         inner = _stripped(body.rstrip(".…"))
-        on[_AT["open_mark"]] = inner[-1:] in ",:-–—(/[&" or (len(parts) > 1 and _LONE_MARKER.search(body) is not None)
-        on[_AT["open_bracket"]] = any(inner.count(a) > inner.count(b) for a, b in ("()", "[]", "“”")) or answer.count("`") % 2 == 1 or answer.count("**") % 2 == 1
-        seen, ended, bare = pair
-        often = max(3.0, answers * 1.5e-3)
-        on[_AT["broken_word"]] = len(words) > 2 and not words[-1].isdigit() and word[0] - word[2] < max(1.0, answers * 2e-5)
-        share = (ended + (bare if bare >= often and word[0] - word[2] >= 1 else 0)) / max(1.0, seen)
-        on[_AT["open_word"]] = (len(words) > 3 or len(parts) > 1) and share < 0.1 and _is_open(answer, inner, words)
-        if len(words) > 4:
-            on[_AT["never_ends" if share <= 0.0 else "seldom_ends" if share < 0.03 else "often_ends"]] = 1
-        else:
-            on[_AT["often_ends"]] = not on[_AT["open_word"]] and not on[_AT["broken_word"]]
-    return parts, x
+        if inner[-1:] in ",:;-–—(/[&“":
+            on.append("open_mark")
+        if any(inner.count(a) > inner.count(b) for a, b in ("()", "[]", "“”")) or answer.count("`") % 2 == 1 or answer.count("**") % 2 == 1:
+            on.append("open_bracket")
+        if lone:
+            on.append("lone_marker")
+        for name, (seen, ended, bare) in (("brief" if len(words) < 5 and len(parts) == 1 else "pair", pair), ("word", word)):
+            seen, bare = seen - own, bare - own
+            if seen <= 0:
+                on.append(f"{name}_new")
+            else:
+                share = (ended + (max(0.0, bare) if name == "brief" else 0.0)) / seen
+                if name == "pair" and bare > 0:
+                    on.append("bare")
+                on.append(f"{name}_{sum(share > s for s in _SHARES)}")
+        return on
 
 
-# Sentences of the training set; they teach the tags from features, and needn't occur anywhere.
-_REFUSALS = (
-    "Xin lỗi bạn, tôi không thể trả lời câu hỏi này.", "Rất tiếc, tôi chưa đủ dữ liệu để kết luận.", "Tôi từ chối trả lời.", "Với vai trò trợ lý ảo, tôi xin phép không đưa ra đáp án", "Hiện tôi chưa thể giải đáp, bạn vui lòng liên hệ nơi khác.",
-    "Nội dung này vượt quá phạm vi của tôi", "Mình không có thông tin phù hợp vì tài liệu kèm theo không nhắc đến việc đó.", "I'm sorry, but I cannot answer that.", "As an AI, I am not able to give advice.", "Unfortunately I don't have enough information.",
-    "Je regrette, je ne peux pas répondre.", "Leider kann ich nicht antworten.", "抱歉，我无法回答。", "Lo siento, no puedo responder.", "toi khong the tra loi cau nay, xin loi ban", "Hệ thống không hỗ trợ nội dung này, bạn nên hỏi cơ quan khác", "This is outside what I can discuss",
-)
-_FOREIGN = (
-    "The permit expires at the end of the year.", "Each owner must keep the register", "Yes, this is right.", "True", "False", "Vrai", "Yes", "Correct", "The correct option is B", "Le délai est de trente jours après la demande.", "La bonne réponse est C", "Faux", "L'autorité doit vérifier le registre.",
-    "Die Frist beträgt zehn Tage nach dem Antrag.", "Richtig", "El plazo es de diez días para la empresa.", "答案是B", "期限为十天。", "错误", "期限は十日です。", "정답은 A입니다", "Срок составляет десять дней.", "ระยะเวลาสิบวัน", "No, because the contract was not signed",
-)
+def plain(text: str) -> str:
+    """text without diacritics, as it's typed on plain keyboards."""
+    return unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D")).encode("ascii", "ignore").decode()
+
 
+Example = tuple[str, str, int, bool]  # answer, question, tag, whether it is one of the sample
 
-_SHORT = ("Đúng", "Sai.", "Không", "Có", "A", "B.", "C)", "D", "Chọn A", "Đáp án: Đúng", "30 ngày", "5.000.000 đồng", "Trong 15 ngày", "D. hồ sơ", "bộ phận tiếp nhận", "dung", "ba thang")
 
+def examples(sample: pd.DataFrame, seed: int = 5) -> list[Example]:
+    """Answers with the tag of their clauses: those of the sample, taken for sound, and corruptions of them; then the seeds.
 
-def _training(sample: pd.DataFrame, answers: float, seed: int = 5) -> tuple[list[np.ndarray], list[list[int]]]:
-    """Sequences and tags made from sound answers of the sample and from their corruptions: cut, replaced or echoed."""
+    Tag 4 holds for the last clause only. An example of a question and an answer after it has tag -2: the first clauses echo.
+    """
     rng = random.Random(seed)
-    xs, ys = [], []
+    out: list[Example] = []
+    for answer, question in sample[["answer", "question"]].drop_duplicates("answer").itertuples(index=False):
+        question = question or ""
+        out.append((answer, question, 0, True))
+        body = _stripped(answer).split()
+        for _ in range(2 if len(body) > 8 else 0):
+            end = rng.randrange(4, len(body))
+            head = " ".join(body[:end])
+            if rng.random() < 0.25 and len(body[end]) > 3:
+                out.append((f"{head} {body[end][: rng.randrange(1, len(body[end]) - 1)]}", question, 4, False))
+            elif head[-1:] not in ".!?;,:":
+                out.append((head + rng.choice(["", "", "", "", "…", "...", ",", ",", " (", " “", " [", ";\nb)", ".\n2. ", "\n3.", "\n- ", "\n- ", ",", ".\n2. Các", ":", *[" " + rng.choice(seeds.CUT) for _ in range(5)]]), question, 4, False))
+        asked = question.split()
+        if len(asked) > 4 and rng.random() < 0.4:
+            kind = rng.randrange(5)
+            if kind < 3:
+                drop = rng.randrange(len(asked))
+                near = " ".join(w for i, w in enumerate(asked) if i != drop or rng.random() < 0.5)
+                near = rng.choice([near, near.upper(), near.rstrip("?"), near.rstrip("?") + "…", f"{near}\n{near}", near.lower()])
+                out.append((rng.choice(["", "", "Câu hỏi: ", "Trả lời: "]) + near, question, 2, False))
+            elif kind == 3 and len(body) > 8:
+                out.append((f"{question}\n{answer}", question, -2, False))
+            elif kind == 4 and len(asked) > 12:
+                begin = rng.randrange(len(asked) // 2)
+                out.append((" ".join(asked[begin : begin + len(asked) // 3]).rstrip("?,") + " " + rng.choice(["là đúng.", "theo quy định.", "trong 30 ngày."]), question, 0, False))
+    questions = [q or "" for q in sample["question"]] or [""]
+    for said in sorted(set(questions)):
+        words = said.rstrip("?. ").split()
+        if len(words) > 4:
+            begin = rng.randrange(len(words) - 3)
+            out.append((" ".join(words[begin:] if rng.random() < 0.5 else words) + rng.choice([".", ".", "!", ""]), rng.choice(questions), 0, False))
+    taught = lambda said, tag: out.append((said, rng.choice(questions), tag, False))
+    for said in seeds.refusals(rng, 900):
+        taught(rng.choice(["", "", "", "Trả lời: ", "**", "Hiện tại, "]) + said, 1)
+        words = said.split()
+        if len(words) > 6 and rng.random() < 0.15:
+            taught(" ".join(words[: -rng.randrange(1, 3)]), 1)
+        if rng.random() < 0.3:
+            taught(f"{said} {rng.choice(seeds.OTHER_REFUSALS)}" if said.isascii() else f"{said}\n{rng.choice(seeds.MORE_REFUSALS)}", 1)
+        if rng.random() < 0.3:
+            taught(plain(said), 1)
+    for said in seeds.statements(rng, 600):
+        taught(rng.choice(["", "", "", "Đáp án: ", "Answer: ", "**"]) + said, 3)
+    for said in seeds.SHORT * 9 + seeds.SOUND * 3:
+        taught(rng.choice([said, said, plain(said)]), 0)
+    return [e for e in out if canonical_words(e[0])]
+
+
+def fit(chosen: Sequence[Example], counts: dict[str, tuple[float, float, float]], reader: Reader) -> Field:
+    """The field, trained three times, as the sample has no labels and some of its answers are defective.
+
+    First its answers don't count at all, and what other questions say stands for sound ones: no question is a refusal, and
+    both are about the same things. What a field finds defective teaches the next one nothing as a sound answer, nor do the
+    corruptions of it, but for those that only seem to break off; where all its clauses are refusals, or foreign, with a probability of 0.9, it's an example of that.
+    """
     zero = (0.0, 0.0, 0.0)
+    features, tags, sizes = [], [], []
+    for answer, question, tag, own in chosen:
+        pair, word = final_words(answer)
+        _, x = reader.read(answer, question, counts.get(pair, zero), counts.get(word, zero), own)
+        n = len(x)
+        if tag == -2:
+            asked = min(n - 1, max(1, len(clauses(question))))
+            y = [2] * asked + [0] * (n - asked)
+        else:
+            y = [0] * (n - 1) + [4] if tag == 4 else [tag] * n
+        features += x
+        tags += y
+        sizes.append(n)
+    x, y = Positions.of(features), np.array(tags)
+    weight = np.array([0.0 if own else 1.0 for _, _, _, own in chosen])
+    field = train(x, y, sizes, len(TAGS), WIDTH, rounds=25, weight=weight)
+    for rounds in (30, 40):
+        scores, weight, learnt, at, suspect = x.scores(field.weights), np.ones(len(sizes)), y.copy(), 0, False
+        for k, (n, (_, _, tag, own)) in enumerate(zip(sizes, chosen, strict=True)):
+            here = scores[at : at + n]
+            if own:
+                found = field.decode(here)
+                odds = np.exp(here - here.max(axis=1, keepdims=True))
+                odds /= odds.sum(axis=1, keepdims=True)
+                other, broken = odds[:, [1, 3]].sum(axis=1).max() > _UNSURE, odds[-1, 4] > _UNSURE
+                suspect = other or broken or any(found)
+                if suspect:
+                    weight[k] = 0.0 if other or set(found) - {0, 4} else _DOUBTED
+                    if found[0] in (1, 3) and len(set(found)) == 1 and odds[:, found[0]].min() >= 0.9:
+                        learnt[at : at + n], weight[k] = found[0], 1.0
+            elif suspect and tag in (4, -2):
+                weight[k] = 0.0
+            at += n
+        field = train(x, learnt, sizes, len(TAGS), WIDTH, rounds=rounds, weight=weight)
+    return field
+
+
+def is_empty(answer: str | None) -> bool:
+    words = canonical_words(answer)
+    return not words or " ".join(words) in PLACEHOLDERS
 
-    def add(answer: str, question: str, pair: Sequence[float], word: Sequence[float], tag: int | None) -> None:
-        parts, x = clause_features(answer, question, pair, word, answers)
-        xs.append(x)
-        ys.append([0] * (len(parts) - 1) + [4] if tag == 4 else [tag or 0] * len(parts))
 
-    for row in sample.sort_values(["answer", "question"]).itertuples():
-        answer, question = row.answer, row.question or ""
-        words = canonical_words(answer)
-        if not words:
-            continue
-        _, x = clause_features(answer, question, row.pair, row.word, answers)
-        odd = [*REFUSAL_CUES, "echo_all", "echo_most", "foreign_shape", "foreign_script", "foreign_answer", "never_ends", "open_mark", "open_word", "broken_word", "open_bracket", "ellipsis", "seldom_ends"]
-        sound = not x[:, [_AT[o] for o in odd]].any()
-        if sound:
-            add(answer, question, row.pair, row.word, 0)
-            if len(words) > 8 and (body := answer.split()) and rng.random() < 0.7:
-                end = rng.randrange(len(body) // 2, len(body))
-                head = " ".join(body[:end])
-                if rng.random() < 0.4 and len(body[end]) > 2:
-                    broken = f"{head} {body[end][: rng.randrange(1, len(body[end]))]}"
-                    add(broken, question, zero, zero, 4)
-                elif body[end - 1].lower() in _OPEN_WORDS:
-                    add(head, question, (50.0, 0.0, 0.0), (500.0, 0.0, 0.0), 4)
-                elif head[-1:] not in ".!?;,:":
-                    tail = rng.choice(["", "", "…", ",", " (", " và", " nhưng", " “theo", " [mục", ";\nb)", ".\n2. Các"])
-                    add(head + tail, question, (50.0, rng.choice([0.0, 20.0]) if tail else 0.0, 0.0), (500.0, 20.0, 0.0), 4)
-        if len(canonical_words(question)) > 4:
-            if rng.random() < 0.3:
-                body = question.split()
-                drop = rng.randrange(len(body))
-                add(rng.choice(["", "Câu hỏi: "]) + " ".join(w for i, w in enumerate(body) if i != drop or rng.random() < 0.5), question, (9.0, 4.0, 0.0), (99.0, 9.0, 0.0), 2)
-        if rng.random() < 0.2:
-            cue = rng.choice([c for g in ("unable", "limits") for c in REFUSAL_CUES[g].split("|")])  # one cue is enough of these
-            said = rng.choice([*_REFUSALS, f"{cue} {rng.choice(['', 'câu này', 'nội dung này'])}", f"{cue}; hãy liên hệ nơi khác để được giải đáp"])
-            add(rng.choice(["", "Trả lời: ", "**", "Hiện tại, "]) + said, question, rng.choice([(9.0, 1.0, 0.0), (9.0, 0.0, 0.0), zero]), rng.choice([(99.0, 9.0, 0.0), zero]), 1)
-        if rng.random() < 0.2:
-            add(rng.choice(["", "", "Đáp án: "]) + " ".join(rng.sample(_FOREIGN, rng.choice([1, 1, 2]))), question, zero, zero, 3)
-    for short in _SHORT * (1 + len(xs) // 100):
-        add(short, "", rng.choice([(9.0, 4.0, 0.0), zero]), rng.choice([(99.0, 50.0, 0.0), zero]), 0)
-    return xs, ys
-
-
-def defect(answer: str | None, question: str | None, pair: Sequence[float], word: Sequence[float], answers: float, field: Field) -> str | None:
-    """The first defect that applies: empty, refusal, copy, language or truncated; None for a sound answer."""
-    words = canonical_words(answer)
-    if not words or " ".join(words) in PLACEHOLDERS:
-        return "empty"
-    parts, x = clause_features(answer, question or "", pair, word, answers)
-    tags = field.decode(x)
-    sizes = [len(canonical_words(p)) for p in parts]
+def defect(sizes: Sequence[int], tags: Sequence[int]) -> str | None:
+    """The first defect that applies to an answer with clauses of these sizes and tags; None for a sound answer."""
     total = sum(sizes) or 1
-    share = {t: sum(n for n, tag in zip(sizes, tags, strict=True) if TAGS[tag] == t) / total for t in TAGS}
-    cut_off = share["unfinished"] if x[-1, [_AT[g] for g in REFUSAL_CUES]].any() else 0  # a refusal that breaks off is one
-    if share["refusal"] + cut_off >= 0.5:
+    share = [sum(n for n, tag in zip(sizes, tags, strict=True) if tag == t) / total for t in range(len(TAGS))]
+    if share[1] >= 0.5:
         return "refusal"
-    if share["echo"] + (share["unfinished"] if x[-1, _AT["echo_all"]] else 0) >= 0.9 and _covers(parts, question or ""):
+    if share[2] >= 0.9:
         return "copy"
-    if share["foreign"] > 0.5 or (len(parts) == 1 and x[0, _AT["foreign_answer"]]):
+    if share[3] > 0.5:
         return "language"
-    # Plain signs of a break outweigh the tag, which leans on how the other clauses of an answer look.
-    broken = x[-1, [_AT[n] for n in ("open_word", "open_mark", "open_bracket")]].any() and not x[-1, _AT["closed"]]
-    return "truncated" if broken or TAGS[tags[-1]] == "unfinished" else None
+    return "truncated" if tags[-1] == 4 else None
 
 
-def _covers(parts: Sequence[str], question: str) -> bool:
-    """Whether the clauses hold most of the question."""
-    asked = canonical_words(question)
-    said = {g for w in map(canonical_words, parts) for g in zip(w, w[1:], strict=False)}
-    grams = list(zip(asked, asked[1:], strict=False))
-    return bool(grams) and sum(g in said for g in grams) >= 0.7 * len(grams)
+def judged(answers: Sequence[str | None], questions: Sequence[str | None], pairs: Sequence, words: Sequence, reader: Reader, field: Field) -> list[str | None]:
+    """The defect of each answer; the clauses of all are scored at once."""
+    zero = (0.0, 0.0, 0.0)
+    out: list[str | None] = []
+    sizes, features = [], []
+    for answer, question, pair, word in zip(answers, questions, pairs, words, strict=True):
+        if is_empty(answer):
+            out.append("empty")
+            sizes.append([])
+            continue
+        n, x = reader.read(answer, question or "", zero if pair is None else pair, zero if word is None else word, True)
+        out.append(None)
+        sizes.append(n)
+        features += x
+    scores, at = Positions.of(features).scores(field.weights), 0
+    for k, n in enumerate(sizes):
+        if n:
+            out[k] = defect(n, field.decode(scores[at : at + len(n)]))
+            at += len(n)
+    return out
 
 
 def answer_defects(answers: DataFrame, questions: DataFrame, sample_rows: int = SAMPLE) -> DataFrame:
@@ -270,34 +376,38 @@ def answer_defects(answers: DataFrame, questions: DataFrame, sample_rows: int =
     other columns aren't read.
 
     How often a word, or two, end a clause is counted over all answers, and joined to each answer by its last words. The
-    field is trained on the driver on a sample of at most sample_rows answers, drawn by hash, and on corruptions of them;
-    tagging is row by row. Answers meet their questions in a plain join, which adaptive execution splits where one question has
-    very many answers.
+    words that the questions use most are known ones. The field is trained on the driver on a sample of at most sample_rows
+    answers, drawn by hash, on corruptions of them with the counts of the words they are cut at, and on seeds.py; all
+    answers are tagged. Joins are salted by exact counts, where one question or one ending has very many answers.
     """
-    asked = questions.where(F.col("question_id").isNotNull() & F.col("text").isNotNull()).groupBy("question_id").agg(F.min("text").alias("question"))
-    rows = answers.select("answer_id", "question_id", "answer").distinct().join(asked, "question_id", "left")
+    spark = answers.sparkSession
+    asked = staged(questions.where(F.col("question_id").isNotNull() & F.col("text").isNotNull()).groupBy("question_id").agg(F.min("text").alias("question")), "asked")
+    rows = join_unique(answers.select("answer_id", "question_id", "answer").distinct(), asked, ["question_id"], "left")
     last = F.pandas_udf(lambda s: pd.DataFrame([final_words(t or "") for t in s], columns=["pair", "word"]), T.StructType([T.StructField("pair", T.StringType()), T.StructField("word", T.StringType())]))
     rows = staged(rows.select("answer_id", "answer", "question", last("answer").alias("last")).select("answer_id", "answer", "question", F.col("last.pair").alias("p"), F.col("last.word").alias("w")), "answers")
     counts = rows.select(F.col("answer").alias("t")).where(F.col("t").isNotNull()).mapInPandas(ending_counts, "gram string, seen long, ended long, bare long")
-    counts = counts.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"), F.sum("bare").alias("bare"))
-    wanted = rows.select(F.explode(F.array("p", "w")).alias("gram")).distinct()
-    counts = staged(counts.join(wanted, "gram", "left_semi"), "endings")
-    of = lambda name: counts.select(F.col("gram").alias(name), F.array(*[F.col(c).cast("double") for c in ("seen", "ended", "bare")]).alias(f"{name}_counts"))
-    rows = staged(rows.join(of("p"), "p", "left").join(of("w"), "w", "left").drop("p", "w"), "counted")
+    counts = staged(counts.groupBy("gram").agg(F.array(*[F.sum(c).cast("double") for c in ("seen", "ended", "bare")]).alias("n")), "endings")
+
+    words = F.pandas_udf(lambda s: pd.Series([canonical_words(t) for t in s]), T.ArrayType(T.StringType()))
+    frequent = asked.select(F.explode(F.array_distinct(words("question"))).alias("word")).groupBy("word").count().where(F.col("count") > 1)
+    known = frozenset(r["word"] for r in frequent.orderBy(F.col("count").desc(), "word").limit(KNOWN).collect())
     total = rows.count()
-    names = "answer_id, answer, question, p_counts, w_counts"
     drawn = rows.where(F.col("answer").isNotNull() & (F.pmod(F.xxhash64("answer_id", "answer"), F.lit(1 << 20)) < int(min(1.0, 1.2 * sample_rows / max(1, total)) * (1 << 20)) + 1))
-    sample = drawn.select(*names.split(", ")).orderBy(F.xxhash64("answer_id", "answer"), "answer_id").limit(sample_rows).toPandas()
-    zero = [0.0, 0.0, 0.0]
-    sample["pair"] = [zero if p is None else list(p) for p in sample["p_counts"]]
-    sample["word"] = [zero if w is None else list(w) for w in sample["w_counts"]]
-    xs, ys = _training(sample, float(total))  # never empty: the short answers are always there
-    shared = answers.sparkSession.sparkContext.broadcast(train(xs, ys, len(TAGS)))
+    sample = drawn.select("answer", "question").orderBy(F.xxhash64("answer_id", "answer"), "answer_id").limit(sample_rows).toPandas()
+    chosen = examples(sample)
+    ends = sorted({gram for e in chosen for gram in final_words(e[0])})  # two for each example at most
+    table = counts.join(F.broadcast(spark.createDataFrame([(g,) for g in ends], "gram string")), "gram").collect()
+    reader = Reader(known)
+    shared = spark.sparkContext.broadcast((known, fit(chosen, {r["gram"]: tuple(r["n"]) for r in table}, reader)))
+
+    of = lambda name: counts.select(F.col("gram").alias(name), F.col("n").alias(f"{name}_counts"))
+    counted = join_unique(join_unique(rows, of("p"), ["p"], "left"), of("w"), ["w"], "left").select("answer_id", "answer", "question", "p_counts", "w_counts")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Reader(shared.value[0])
         for batch in batches:
-            found = [defect(a, q, zero if p is None else p, zero if w is None else w, float(total), shared.value) for a, q, p, w in zip(batch["answer"], batch["question"], batch["p_counts"], batch["w_counts"], strict=True)]
+            found = judged(batch["answer"], batch["question"], batch["p_counts"], batch["w_counts"], own, shared.value[1])
             yield pd.DataFrame({"answer_id": batch["answer_id"], "defect": pd.Series(found, dtype=object)})
 
     schema = T.StructType([T.StructField("answer_id", rows.schema["answer_id"].dataType), T.StructField("defect", T.StringType())])
-    return rows.mapInPandas(judge, schema).distinct()
+    return counted.mapInPandas(judge, schema).distinct()

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from lawloom.llm.answers import clauses, final_words
 from lawloom.llm.bpe import SPLIT, Automaton, Merges, _Words, encode_texts
 from lawloom.llm.chunks import Limits, cut
-from lawloom.llm.crf import Field, train
+from lawloom.llm.crf import Field, Positions, train
 from lawloom.llm.fmindex import FMIndex, spread, suffix_array
 from lawloom.llm.lawid import canonical_law
 from lawloom.llm.leaks import matched_spans
@@ -146,15 +146,51 @@ def test_small_automaton_against_merging_by_rank():
 
 def test_field_learns_order():
     rng = np.random.default_rng(0)
-    xs, ys = [], []
-    for _ in range(200):
-        y = [0] * int(rng.integers(1, 4)) + [1] * int(rng.integers(1, 4))
-        xs.append(np.array([[1.0, float(rng.random() < (0.7 if t else 0.3))] for t in y]))
-        ys.append(y)
-    field = train(xs, ys, 2)
-    right = sum(a == b for x, y in zip(xs, ys, strict=True) for a, b in zip(field.decode(x), y, strict=True))
-    assert right / sum(map(len, ys)) > 0.75
+    features, tags, sizes = [], [], []
+    for k in range(200):
+        y = [0] * int(rng.integers(1, 4)) + [1] * int(rng.integers(1, 4)) if k else [0, 1] * 2500  # one very long sequence
+        features += [([0, 1], [1.0, 1.0]) if rng.random() < (0.7 if t else 0.3) else ([0], [1.0]) for t in y]
+        tags += y
+        sizes.append(len(y))
+    x, y = Positions.of(features), np.array(tags)
+    weight = np.array([0.0] + [1.0] * 199)
+    field = train(x, y, sizes, 2, 2, weight=weight)
+    scores, at, right, count = x.scores(field.weights), 0, 0, 0
+    for k, n in enumerate(sizes):
+        if k:
+            right += sum(a == b for a, b in zip(field.decode(scores[at : at + n]), tags[at : at + n], strict=True))
+            count += n
+        at += n
+    assert right / count > 0.75
     assert isinstance(field, Field) and field.moves[1, 0] < field.moves[1, 1]
+    assert len(field.decode(scores[: sizes[0]])) == 5000 and Positions.of([]).scores(field.weights).shape == (0, 2)
+
+
+def test_gradient_of_the_field():
+    """The likelihood of the trained field is higher than that of its neighbours."""
+    rng = np.random.default_rng(4)
+    features = [([int(rng.integers(3)), 3], [1.0, 0.5]) for _ in range(60)]
+    sizes, tags = [3, 1, 6] * 6, rng.integers(0, 3, 60)
+    x = Positions.of(features)
+
+    def likelihood(field):
+        total, at = 0.0, 0
+        scores = x.scores(field.weights)
+        for n in sizes:
+            paths = np.array(np.meshgrid(*[range(3)] * n, indexing="ij")).reshape(n, -1).T
+            s, y = scores[at : at + n], tags[at : at + n]
+            value = lambda p, s=s, n=n: field.starts[p[0]] + field.ends[p[-1]] + sum(s[i, p[i]] for i in range(n)) + sum(field.moves[p[i], p[i + 1]] for i in range(n - 1))
+            values = np.array([value(p) for p in paths])
+            total += value(y) - values.max() - np.log(np.exp(values - values.max()).sum())
+            at += n
+        return total
+
+    field = train(x, tags, sizes, 3, 4, rounds=300, ridge=0.0)
+    best = likelihood(field)
+    for name in ("weights", "moves", "starts", "ends"):
+        moved = Field(field.weights.copy(), field.moves.copy(), field.starts.copy(), field.ends.copy())
+        getattr(moved, name).flat[1] += 0.3
+        assert likelihood(moved) < best
 
 
 def test_clauses():

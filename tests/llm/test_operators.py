@@ -188,6 +188,22 @@ def test_defects(defects, answer, wanted):
     assert defects[answer] == wanted
 
 
+UNSEEN_REFUSALS = (
+    "Tôi xin được miễn trả lời câu hỏi này.", "Rất mong quý vị lượng thứ vì tôi chẳng thể đưa ra lời đáp.", "Tôi đành chịu thua trước câu hỏi này.", "Mình chẳng có manh mối gì để đáp lại bạn.", "Tôi không thể cho bạn một đáp án đáng tin.", "Xin thứ lỗi, em không dám đưa lời khuyên trong trường hợp này.", "Chuyện này tôi không được quyền phát biểu.", "Tôi thấy mình không phù hợp để trả lời.", "Bạn hỏi điều mà tôi không thể biết.", "Tôi buộc phải khước từ yêu cầu này.",
+    "I'd better stay silent on this matter.", "That's something I'm not permitted to address.", "My apologies, but I have no means of knowing.", "I do not feel comfortable giving an opinion here.", "I lack the information needed to reply.", "You'll have to ask someone else, I can't tell.",
+    "Je n'ai malheureusement aucune réponse à vous donner.", "Je ne souhaite pas m'exprimer là-dessus.", "Darauf kann ich Ihnen keine Antwort geben.", "Ich möchte dazu lieber schweigen.", "Me temo que no puedo contestar.", "No dispongo de datos para responder.", "不好意思，这个问题我答不上来。", "我不方便对此发表意见。", "Мне нечего ответить на этот вопрос.",
+)
+
+
+def test_refusals_in_unseen_words(defects):
+    from pathlib import Path
+
+    code = " ".join(p.read_text() for p in Path(queries.__file__).parent.glob("*.py")).lower()
+    assert not any(said.lower().rstrip(".。") in code for said in UNSEEN_REFUSALS)
+    missed = [said for said in UNSEEN_REFUSALS if defects[said] != "refusal"]
+    assert len(missed) <= 0.1 * len(UNSEEN_REFUSALS), missed
+
+
 @pytest.fixture(scope="module")
 def defects(spark):
     """The defects of all answers above, among many sound ones that teach how sentences end."""
@@ -195,9 +211,10 @@ def defects(spark):
     who, what, when = ["Bên bán", "Chủ rừng", "Bên giao khoán", "Người lao động"], ["quyết toán tài sản", "lập biên bản", "nộp phí", "bàn giao hồ sơ"], ["trong 30 ngày", "trước khi bàn giao", "sau khi niêm yết", "trong giờ hành chính"]
     sound = [f"{rng.choice(who)} phải {rng.choice(what)} {rng.choice(when)}. {rng.choice(who)} không được {rng.choice(what)}." for _ in range(600)]
     mark = next(m for m in test_defects.pytestmark if m.name == "parametrize")
-    asked = [a for a, _ in mark.args[1]]
+    asked = [*[a for a, _ in mark.args[1]], *UNSEEN_REFUSALS]
     table = spark.createDataFrame([(k, "q", a, "extra") for k, a in enumerate([*asked, *sound, asked[0]])], "answer_id long, question_id string, answer string, defect string")
-    questions = spark.createDataFrame([("q", QUESTION), ("q", None), (None, "x")], "question_id string, text string")
+    others = [(f"o{k}", f"{rng.choice(who)} {rng.choice(when)} có phải {rng.choice(what)} không?") for k in range(60)]
+    questions = spark.createDataFrame([("q", QUESTION), ("q", None), (None, "x"), *others], "question_id string, text string")
     got = dict(rows(answer_defects(table, questions), "answer_id", "defect"))
     assert sum(got[k + len(asked)] is not None for k in range(600)) <= 3
     return {a: got[k] for k, a in enumerate(asked)}
