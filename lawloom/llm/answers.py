@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lawloom.llm import seeds
 from lawloom.llm.crf import Field, Positions, train
 from lawloom.llm.words import canonical_words
-from lawloom.plans import join_unique, staged
+from lawloom.plans import join_unique, spread_out, staged
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Answers of the sample that the field is trained on, and words of the questions that count as known.
@@ -43,7 +43,7 @@ FEATURES = (
 )
 _AT = {name: i for i, name in enumerate(FEATURES)}
 #: What an answer of the sample counts if it seems to break off: many do that end without a mark.
-_DOUBTED = 0.15
+_DOUBTED = 0.4
 #: The probability of a defect from which an answer of the sample isn't taken for sound.
 _UNSURE = 0.15
 #: Places of the hashed features: words with and without accents, pairs of words, last words, and letters of words that the questions don't have.
@@ -188,7 +188,8 @@ class Reader:
                 spelt = _SPELT.findall(unicodedata.normalize("NFC", part).lower())
                 hashed += [p for w in spelt if not w.isascii() for p in self._spelling(w)]
             if i + 1 == len(parts) and "closed" not in on:
-                places += [p for last in (words[-1:], words[-2:]) if last for p in self._end(" ".join(last))]
+                spelt = _SPELT.findall(unicodedata.normalize("NFC", answer).lower())[-2:]
+                places += [p for last in (spelt[-1:], spelt) if last for p in self._end(" ".join(last))]
             value = 2.0 / max(1, len(hashed)) ** 0.5
             out.append((places + hashed, [1.0] * len(places) + [value] * len(hashed)))
         return [len(w) for w in told], out
@@ -246,7 +247,7 @@ def examples(sample: pd.DataFrame, seed: int = 5) -> list[Example]:
             if rng.random() < 0.25 and len(body[end]) > 3:
                 out.append((f"{head} {body[end][: rng.randrange(1, len(body[end]) - 1)]}", question, 4, False))
             elif head[-1:] not in ".!?;,:":
-                out.append((head + rng.choice(["", "", "", "", "…", "...", ",", ",", " (", " “", " [", ";\nb)", ".\n2. ", "\n3.", "\n- ", "\n- ", ",", ".\n2. Các", ":", *[" " + rng.choice(seeds.CUT) for _ in range(5)]]), question, 4, False))
+                out.append((head + rng.choice(["", "", "", "", "…", "...", ",", ",", " (", " “", " [", ";\nb)", ".\n2. ", "\n3.", "\n- ", "\n- ", ",", ".\n2. Các", ":", *[" " + rng.choice(seeds.CUT) for _ in range(8)]]), question, 4, False))
         asked = question.split()
         if len(asked) > 4 and rng.random() < 0.4:
             kind = rng.randrange(5)
@@ -385,7 +386,7 @@ def answer_defects(answers: DataFrame, questions: DataFrame, sample_rows: int =
     rows = join_unique(answers.select("answer_id", "question_id", "answer").distinct(), asked, ["question_id"], "left")
     last = F.pandas_udf(lambda s: pd.DataFrame([final_words(t or "") for t in s], columns=["pair", "word"]), T.StructType([T.StructField("pair", T.StringType()), T.StructField("word", T.StringType())]))
     rows = staged(rows.select("answer_id", "answer", "question", last("answer").alias("last")).select("answer_id", "answer", "question", F.col("last.pair").alias("p"), F.col("last.word").alias("w")), "answers")
-    counts = rows.select(F.col("answer").alias("t")).where(F.col("t").isNotNull()).mapInPandas(ending_counts, "gram string, seen long, ended long, bare long")
+    counts = spread_out(rows.select(F.col("answer").alias("t")).where(F.col("t").isNotNull())).mapInPandas(ending_counts, "gram string, seen long, ended long, bare long")
     counts = staged(counts.groupBy("gram").agg(F.array(*[F.sum(c).cast("double") for c in ("seen", "ended", "bare")]).alias("n")), "endings")
 
     words = F.pandas_udf(lambda s: pd.Series([canonical_words(t) for t in s]), T.ArrayType(T.StringType()))
@@ -410,4 +411,4 @@ def answer_defects(answers: DataFrame, questions: DataFrame, sample_rows: int =
             yield pd.DataFrame({"answer_id": batch["answer_id"], "defect": pd.Series(found, dtype=object)})
 
     schema = T.StructType([T.StructField("answer_id", rows.schema["answer_id"].dataType), T.StructField("defect", T.StringType())])
-    return counted.mapInPandas(judge, schema).distinct()
+    return spread_out(counted).mapInPandas(judge, schema).distinct()
