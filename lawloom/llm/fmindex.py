@@ -120,6 +120,33 @@ class FMIndex:
         low[live], high[live] = a, b
         return low, high
 
+    def matching(self, joined: np.ndarray, room: np.ndarray, size: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every position of some joined texts (word numbers, -1 for unknown ones): the length of the longest match that
+        ends there, and the range of the last size[position] words, empty where they don't occur.
+
+        All positions are extended backwards at once, until their ranges are empty or room[position], the words of its
+        text up to it, is used up; matches of more than most words count as most.
+        """
+        length, low, high = np.zeros(len(joined), np.int32), np.zeros(len(joined), np.int64), np.zeros(len(joined), np.int64)
+        live = np.flatnonzero(joined > 0)
+        a, b = self.first[joined[live]], self.first[joined[live] + 1]
+        for step in range(1, most + 1):
+            if step > 1:
+                fits = room[live] >= step
+                live, a, b = live[fits], a[fits], b[fits]
+                symbol = joined[live - (step - 1)]
+                known = symbol > 0
+                live, a, b, symbol = live[known], a[known], b[known], symbol[known]
+                a, b = self.first[symbol] + self._path(symbol, a), self.first[symbol] + self._path(symbol, b)
+                found = a < b
+                live, a, b = live[found], a[found], b[found]
+            if not len(live):
+                break
+            length[live] = step
+            asked = size[live] == step
+            low[live[asked]], high[live[asked]] = a[asked], b[asked]
+        return length, low, high
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Positions in the joined texts of rows of the sorted suffixes."""
         out, live, steps = np.empty(len(rows), np.int64), np.arange(len(rows)), 0

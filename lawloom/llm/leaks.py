@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawloom.llm.fmindex import FMIndex, spread
-from lawloom.llm.words import canonical_words
-from lawloom.plans import spread_out
+from lawloom.llm.stored import StoredTable
+from lawloom.llm.words import canonical_words, joined_words
+from lawloom.plans import is_small, new_folder, spread_out, staged
 
 #: Words of a shard, characters of a block of items, and occurrences located at once: bounds of memory that change no result.
 SHARD_WORDS, ITEM_CHARS, AT_ONCE = 1_000_000, 20_000_000, 2_000_000
 
 
-def matched_spans(texts: list[list[str]], items: list[list[str]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, first word, word after the last) of the merged spans of each text that match an item for at least least words."""
-    index = FMIndex(texts)
+def matched_spans(index: FMIndex, items: list[list[str]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, first word, word after the last) of the merged spans of each indexed text that match an item for at least least words."""
     known = [index.numbers(words) for words in items]
     phrases = [np.lib.stride_tricks.sliding_window_view(k, least) if len(k) >= least else np.zeros((0, least), np.int64) for k in known]
     owner = np.repeat(np.arange(len(items)), [len(p) for p in phrases])
@@ -49,7 +49,7 @@ def matched_spans(texts: list[list[str]], items: list[list[str]], least: int) ->
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, least: int = 13, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, least: int = 13, item_chars: int = ITEM_CHARS, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_key, first_word, end_word): the spans of documents that match at least least consecutive words of an item.
 
     Words are in canonical form, numbered from 0 in the document; overlapping and touching matches of an item are one
@@ -58,53 +58,45 @@ def leaked_spans(documents: DataFrame, items: DataFrame, least: int = 13, key: s
 
     The corpus is scanned once, without a shuffle (a scan with fewer partitions than cores is dealt out first). A worker
     indexes its documents in shards of SHARD_WORDS words and searches all phrases of the items in each, so work grows
-    with the corpus, and a hot item costs its occurrences. Items go to the workers in blocks of ITEM_CHARS characters; a
-    larger item table takes one pass over the corpus for each block.
+    with the corpus, and a hot item costs its occurrences. The words of the items are written to the shared folder in
+    blocks of about item_chars characters, which the workers read one after another for each shard: none go
+    through the driver, and however many blocks there are, a shard is indexed once.
     """
     spark = documents.sparkSession
-    wanted = items.select(F.col(f"`{item_key}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where(F.col("t").isNotNull()).distinct()
-    chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = int(chars // ITEM_CHARS) + 1
+    wanted = items.select(F.col(f"`{item_key}`").alias("i"), joined_words(f"`{item_text}`").alias("words")).where(F.size(F.split("words", " ")) >= least)
+    wanted = staged(wanted.distinct(), "items")
+    texts = staged(wanted.select("words").distinct().withColumn("n", F.monotonically_increasing_id()), "phrases")
+    blocks = int((texts.agg(F.sum(F.length("words"))).first()[0] or 0) // item_chars) + 1
+    path = new_folder(spark, "blocks")
+    texts.withColumn("part", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")).write.parquet(path)
+    stored = StoredTable(path)
     corpus = spread_out(documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull()))
-    fields = [T.StructField("k", corpus.schema["k"].dataType), T.StructField("i", wanted.schema["i"].dataType)]
-    schema = T.StructType([*fields, T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
-
-    def search(block: DataFrame) -> DataFrame:
-        by_words: dict[tuple[str, ...], list] = {}
-        for row in block.collect():  # at most about ITEM_CHARS characters
-            words = tuple(canonical_words(row["t"]))
-            if len(words) >= least:
-                by_words.setdefault(words, []).append(row["i"])
-        shared = spark.sparkContext.broadcast(by_words)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sought, owners = [list(w) for w in shared.value], list(shared.value.values())
-
-            def flush(keys: list, texts: list[list[str]]) -> pd.DataFrame:
-                text, item, begin, end = matched_spans(texts, sought, least)
-                copies = np.array([len(owners[i]) for i in item], np.int64)
-                row = np.repeat(np.arange(len(text)), copies)
-                found = [o for i in item for o in owners[i]]
-                return pd.DataFrame({"k": [keys[t] for t in text[row]], "i": found, "first_word": begin[row], "end_word": end[row]})
-
-            keys, texts, size = [], [], 0
-            for batch in batches:
-                for k, t in zip(batch["k"].tolist(), batch["t"], strict=True):
-                    words = canonical_words(t)
-                    if len(words) >= least:
-                        keys.append(k)
-                        texts.append(words)
-                        size += len(words)
-                        if size >= SHARD_WORDS:
-                            yield flush(keys, texts)
-                            keys, texts, size = [], [], 0
-            if texts:
-                yield flush(keys, texts)
-
-        return corpus.mapInPandas(run, schema)
-
-    parts = [search(wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)) for b in range(blocks)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(F.col("k").alias(key), F.col("i").alias(item_key), "first_word", "end_word")
+    fields = [T.StructField("k", corpus.schema["k"].dataType), *[T.StructField(n, T.LongType()) for n in ("n", "first_word", "end_word")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush(keys: list, texts: list[list[str]]) -> Iterator[pd.DataFrame]:
+            index = FMIndex(texts)
+            for part in range(blocks):
+                block = list(stored.part(part, "n", "words"))
+                text, item, begin, end = matched_spans(index, [words.split(" ") for _, words in block], least)
+                if len(text):
+                    yield pd.DataFrame({"k": pd.Series([keys[t] for t in text], dtype=object), "n": [block[i][0] for i in item], "first_word": begin, "end_word": end})
+
+        keys, texts, size = [], [], 0
+        for batch in batches:
+            for k, t in zip(batch["k"].tolist(), batch["t"], strict=True):
+                words = canonical_words(t)
+                if len(words) >= least:
+                    keys.append(k)
+                    texts.append(words)
+                    size += len(words)
+                    if size >= SHARD_WORDS:
+                        yield from flush(keys, texts)
+                        keys, texts, size = [], [], 0
+        if texts:
+            yield from flush(keys, texts)
+
+    found = corpus.mapInPandas(run, T.StructType(fields))
+    owners = wanted.join(texts, "words").select("n", "i")
+    owners = F.broadcast(staged(owners, "owners")) if is_small(owners) else owners
+    return found.join(owners, "n").select(F.col("k").alias(key), F.col("i").alias(item_key), "first_word", "end_word")

@@ -9,21 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lawloom.llm.fmindex import FMIndex, spread
-from lawloom.llm.words import canonical_words
-from lawloom.plans import staged
+from lawloom.llm.words import joined_words
+from lawloom.llm.stored import StoredTable
+from lawloom.plans import new_folder, staged
 
-#: Words of an index shard and training texts of a block: bounds of memory that change no result.
-SHARD_WORDS, BLOCK_TEXTS = 1_500_000, 20_000
-
-
-@F.pandas_udf(T.StringType())
-def joined_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The canonical words of a text with one space between them; null where there's none."""
-    for texts in batches:
-        yield pd.Series([" ".join(canonical_words(t)) or None for t in texts], dtype=object)
+#: Words of an index shard, training texts of a task, and words of the texts searched at once: bounds of memory that change no result.
+SHARD_WORDS, TASK_TEXTS, AT_ONCE = 1_500_000, 20_000, 200_000
 
 
 def edits(size_a: int | np.ndarray, size_b: int | np.ndarray, percent: int) -> np.ndarray:
@@ -58,6 +51,21 @@ def _gram_size(n: int, percent: int) -> int:
     return next((q for q in (3, 2, 1) if n - q + 1 - k * q >= 1), 0)
 
 
+def factors_bound(length: np.ndarray, most: int) -> bool:
+    """Whether a text, given the longest match that ends at each of its words, falls into at most `most` matches with a word between them.
+
+    A text within k edits of another is made of at most k + 1 pieces of it, with at most one word of its own between two;
+    taking the longest match from the right each time needs no more.
+    """
+    at, used = len(length) - 1, 0
+    while at >= 0:
+        used += 1
+        if used > most:
+            return False
+        at -= int(length[at]) + 1
+    return True
+
+
 class EvalShard:
     """The index of some evaluation texts, ordered by size."""
 
@@ -69,107 +77,141 @@ class EvalShard:
         self.numbers = [self.index.numbers(t).tolist() for t in texts]
         self.sizes = np.array([len(t) for t in texts], np.int64)
 
-    def near(self, texts: Sequence[list[str]], percent: int) -> Iterator[tuple[int, object]]:
-        """(number of the text, key of an evaluation text) for all pairs within percent of the words of the longer, equal ones too.
+    def near(self, texts: Sequence[list[str]], percent: int) -> Iterator[tuple[int, object, int, list[tuple[int, int]]]]:
+        """(number of the text, key of an evaluation text, edits, matched spans) for all pairs within percent of the words of the longer, equal ones too.
 
-        Grams of a training text are searched backwards; the spans in which an evaluation text matches are counted by
-        gram, so a maximal match of l words counts l - q + 1 times. An edit spoils q grams at most: pairs with fewer
-        than n - q + 1 - kq common ones can't be near. The few that remain are compared word by word.
+        Every word of the training texts is extended backwards until nothing matches any more. A text that falls into
+        more maximal matches than edits allow is near no evaluation text. For the others, the matches of q words and more
+        are located and counted by pair: an edit spoils q grams at most, so pairs with fewer than n - q + 1 - kq common
+        ones can't be near. The few that remain are compared word by word, and their matches merged into spans of the
+        training text (first word, word after the last).
         """
+        begin = 0
+        while begin < len(texts):
+            end, words = begin, 0
+            while end < len(texts) and (end == begin or words + len(texts[end]) <= AT_ONCE):
+                words += len(texts[end])
+                end += 1
+            for text, *found in self._near(texts[begin:end], percent):
+                yield begin + text, *found
+            begin = end
+
+    def _near(self, texts: Sequence[list[str]], percent: int) -> Iterator[tuple[int, object, int, list[tuple[int, int]]]]:
         numbers = [self.index.numbers(t) for t in texts]
-        sizes = np.array([_gram_size(len(known), percent) for known in numbers], np.int64)
-        found = {q: self._postings([numbers[i] for i in np.flatnonzero(sizes == q)], q) for q in (1, 2, 3)}
-        place = np.zeros(len(texts), np.int64)
-        for q in (1, 2, 3):
-            place[sizes == q] = np.arange((sizes == q).sum())
-        for text, (known, q) in enumerate(zip(numbers, sizes.tolist(), strict=True)):
-            n = len(known)
+        sizes = np.array([len(t) for t in numbers], np.int64)
+        q = np.array([_gram_size(n, percent) for n in sizes.tolist()], np.int64)
+        joined = np.concatenate(numbers)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        room = np.arange(len(joined)) - np.repeat(first[:-1], sizes) + 1
+        length, low, high = self.index.matching(joined, room, np.repeat(q, sizes))
+        for text, (n, gram) in enumerate(zip(sizes.tolist(), q.tolist(), strict=True)):
+            if not factors_bound(length[first[text] : first[text + 1]], n * 100 // (100 - percent) * percent // 100 + 1):
+                low[first[text] : first[text + 1]] = high[first[text] : first[text + 1]] = 0
+                q[text] = -1
+        postings = {g: self._postings(low, high, np.repeat(q, sizes) == g) for g in (1, 2, 3)}
+        for text, (known, n, gram) in enumerate(zip(numbers, sizes.tolist(), q.tolist(), strict=True)):
             begin = int(np.searchsorted(self.sizes, -(-n * (100 - percent) // 100), side="left"))
             end = int(np.searchsorted(self.sizes, n * 100 // (100 - percent), side="right"))
-            if begin >= end:
+            if begin >= end or gram < 0:
                 continue
             allowed = edits(n, self.sizes[begin:end], percent)
-            if q:
-                first, grams, offsets, held = found[q]
-                mine = grams[first[place[text]] : first[place[text] + 1]]
+            if gram:
+                which, offsets, held = postings[gram]
+                mine = which[first[text] : first[text + 1]]
+                mine = mine[mine >= 0]
                 at, _ = spread(offsets[mine], offsets[mine + 1])
                 counts = np.bincount(held[at], minlength=len(self.sizes))[begin:end]
-                close = np.flatnonzero(counts >= n - q + 1 - allowed * q)
+                close = np.flatnonzero(counts >= n - gram + 1 - allowed * gram)
             else:
                 close = np.arange(end - begin)
             own = known.tolist()
             for c in close.tolist():
-                if edit_distance(own, self.numbers[begin + c]) <= allowed[c]:
-                    yield text, self.keys[begin + c]
-
-    def _postings(self, numbers: Sequence[np.ndarray], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the grams of q words of some texts: where each text's grams begin, the number of each gram, and by number where its texts begin and which they are."""
-        base = len(self.index.words) + 1  # three words fit 63 bits up to two million different ones
-        if base**q >= 1 << 63:
-            raise ValueError("too many different words in a shard")
-        keys, first = [], [0]
-        for known in numbers:
-            windows = np.lib.stride_tricks.sliding_window_view(known, q)
-            windows = windows[(windows > 0).all(axis=1)]
-            keys.append(windows @ (base ** np.arange(q - 1, -1, -1)))
-            first.append(first[-1] + len(windows))
-        distinct, grams = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
-        patterns = np.stack([distinct // base**k % base for k in range(q - 1, -1, -1)], axis=1) if len(distinct) else np.zeros((0, q), np.int64)
-        pairs = []
-        for begin in range(0, len(patterns), 50_000):
-            low, high = self.index.search(patterns[begin : begin + 50_000])
-            rows, which = spread(low, high)
-            pairs.append(np.unique((which + begin) * len(self.sizes) + self.index.texts_of(self.index.locate(rows))))
-        joined = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-        offsets = np.searchsorted(joined // max(1, len(self.sizes)), np.arange(len(patterns) + 1))
-        return np.array(first, np.int64), grams, offsets, (joined % max(1, len(self.sizes))).astype(np.int32)
-
-
-def near_pairs(train: DataFrame, held_out: DataFrame, percent: int = 20) -> DataFrame:
-    """(train_words, eval_words) for texts (words: joined canonical words, distinct and not null) within percent edits.
-
-    Evaluation texts are dealt into shards of at most about SHARD_WORDS words, each indexed once; training texts into
-    blocks of at most about BLOCK_TEXTS. Every block meets every shard in a task of its own: the evaluation set is the
-    stated query set, and neither a hot text (texts are distinct here) nor a hot gram makes a task larger than its block
-    and shard. All pairs within the limit come out, whatever the texts.
+                other = self.numbers[begin + c]
+                apart = edit_distance(own, other)
+                if apart <= allowed[c]:
+                    yield text, self.keys[begin + c], apart, matched(own, other, max(1, gram))
+
+    def _postings(self, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the positions asked for: the number of each one's match (-1 for none), and by number where its texts begin and which they are."""
+        which = np.full(len(low), -1, np.int64)
+        at = np.flatnonzero(asked & (high > low))
+        distinct, place, which[at] = np.unique(low[at], return_index=True, return_inverse=True)
+        ends, pairs = high[at][place], []
+        begin = 0
+        while begin < len(distinct):
+            upto = begin + max(1, int(np.searchsorted(np.cumsum(ends[begin:] - distinct[begin:]), 2_000_000, side="right")))
+            rows, owner = spread(distinct[begin:upto], ends[begin:upto])
+            pairs.append(np.unique((owner + begin) * len(self.sizes) + self.index.texts_of(self.index.locate(rows))))
+            begin = upto
+        both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        offsets = np.searchsorted(both // max(1, len(self.sizes)), np.arange(len(distinct) + 1))
+        return which, offsets, (both % max(1, len(self.sizes))).astype(np.int32)
+
+
+def matched(text: Sequence[int], other: Sequence[int], q: int) -> list[tuple[int, int]]:
+    """The spans (first word, word after the last) of text made of runs of q words and more that other has, merged."""
+    grams = {tuple(other[i : i + q]) for i in range(len(other) - q + 1)}
+    spans: list[tuple[int, int]] = []
+    for i in range(len(text) - q + 1):
+        if tuple(text[i : i + q]) in grams:
+            if spans and spans[-1][1] >= i:
+                spans[-1] = (spans[-1][0], i + q)
+            else:
+                spans.append((i, i + q))
+    return spans
+
+
+FOUND = "train_words string, eval_words string, edits int, spans array<struct<first_word: int, end_word: int>>"
+
+
+def near_pairs(train: DataFrame, held_out: DataFrame, percent: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(train_words, eval_words, edits, spans) for texts (words: joined canonical words, distinct and not null) within percent edits.
+
+    Evaluation texts are dealt into shards of about shard_words words, whose indexes are written to the shared folder
+    once. Training texts are shuffled once, into tasks of about TASK_TEXTS; each task reads the indexes one after
+    another, so neither side is copied, and neither a hot text (texts are distinct here) nor a hot gram makes a task
+    larger. All pairs within the limit come out, whatever the texts.
     """
-    shards = int((held_out.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0) // SHARD_WORDS) + 1
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    blocks = max(int(train.count() // BLOCK_TEXTS) + 1, -(-cores // shards))
+    spark = train.sparkSession
+    shards = int((held_out.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0) // shard_words) + 1
+    tasks = max(int(train.count() // TASK_TEXTS) + 1, 2 * spark.sparkContext.defaultParallelism)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        words = group["words"].tolist()
+        words = group["words"].sort_values().tolist()
         shard = EvalShard(words, [w.split(" ") for w in words])
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "index": [pickle.dumps(shard, protocol=5)]})
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "index": [pickle.dumps(shard, protocol=5)]})
 
-    placed = held_out.select(F.pmod(F.xxhash64("words"), F.lit(shards)).cast("int").alias("shard"), "words")
-    indexes = staged(placed.groupBy("shard").applyInPandas(build, "shard int, index binary"), "evaluation")
-    indexes = indexes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = train.select(F.pmod(F.xxhash64("words", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "words")
+    path = new_folder(spark, "evaluation")
+    placed = held_out.select(F.pmod(F.xxhash64("words"), F.lit(shards)).cast("int").alias("part"), "words")
+    placed.groupBy("part").applyInPandas(build, "part int, index binary").write.parquet(path)
+    stored = StoredTable(path)
 
-    def search(texts: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts) or not len(index):
-            return pd.DataFrame({"train_words": [], "eval_words": []}, dtype=object)
-        words = texts["words"].tolist()
-        found = list(pickle.loads(index["index"].iloc[0]).near([w.split(" ") for w in words], percent))
-        return pd.DataFrame({"train_words": [words[i] for i, _ in found], "eval_words": [k for _, k in found]}, dtype=object)
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = [w for batch in batches for w in batch["words"]]  # about TASK_TEXTS
+        texts = [w.split(" ") for w in kept]
+        for part in range(shards) if texts else ():
+            for index in stored.part(part, "index"):
+                shard = pickle.loads(index)
+                found = [(kept[i], k, n, [{"first_word": a, "end_word": b} for a, b in spans]) for i, k, n, spans in shard.near(texts, percent)]
+                if found:
+                    yield pd.DataFrame(found, columns=["train_words", "eval_words", "edits", "spans"])
 
-    tasks = blocks * shards
-    left, right = dealt.repartition(tasks, "block", "shard"), indexes.repartition(tasks, "block", "shard")
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "train_words string, eval_words string")
+    return train.repartition(tasks, "words").mapInPandas(search, FOUND)
 
 
 def split_overlaps(texts: DataFrame, percent: int = 20) -> DataFrame:
     """Pairs of a training and an evaluation record whose texts are equal or near, for texts (record, text, side, ...).
 
     side is "train" or "eval"; other sides and nulls take no part, nor do texts without a word or null records. Columns:
-    train_record and eval_record, then the other columns of each with the same prefix. Records of equal words are
+    train_record and eval_record, then the other columns of each with the same prefix, then edits and spans: the words to
+    insert, delete or replace, and the merged spans of the training text's words that match. Records of equal words are
     compared once and only listed as pairs at the end, as the result asks for; repeated rows count once.
     """
     others = [c for c in texts.columns if c not in ("record", "text", "side")]
     rows = texts.where(F.col("side").isin("train", "eval") & F.col("record").isNotNull()).withColumn("words", joined_words("text"))
     rows = staged(rows.where(F.col("words").isNotNull()).select("record", "side", "words", *others).distinct(), "texts")
     train, held_out = rows.where("side = 'train'"), rows.where("side = 'eval'")
-    pairs = near_pairs(train.select("words").distinct(), held_out.select("words").distinct(), percent)
+    pairs = staged(near_pairs(staged(train.select("words").distinct(), "train"), held_out.select("words").distinct(), percent), "pairs")
     own = lambda side, table: table.select(F.col("words").alias(f"{side}_words"), F.col("record").alias(f"{side}_record"), *[F.col(c).alias(f"{side}_{c}") for c in others])
-    return pairs.join(own("train", train), "train_words").join(own("eval", held_out), "eval_words").drop("train_words", "eval_words")
+    listed = pairs.join(own("train", train), "train_words").join(own("eval", held_out), "eval_words")
+    return listed.select("train_record", *[f"train_{c}" for c in others], "eval_record", *[f"eval_{c}" for c in others], "edits", "spans")

@@ -96,11 +96,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps by evaluation split and by the tables and sources of both sides."""
-    found = _overlaps(spark, sf_dir).where(F.col("train_record") != F.col("eval_record"))
+    """Overlaps by evaluation split and by the tables and sources of both sides, with their edits and matched words; same_id: pairs of one id on both sides."""
     keys = ["eval_split", "eval_origin", "eval_source", "train_origin", "train_source"]
-    pairs = found.groupBy(*keys, "train_record", "eval_record").agg(F.lit(1).alias("one"))
-    return pairs.groupBy(*keys).agg(F.count("one").alias("pairs"), F.countDistinct("eval_record").alias("eval_questions"), F.countDistinct("train_record").alias("train_questions"))
+    matched = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end_word"] - s["first_word"])
+    found = _overlaps(spark, sf_dir).withColumn("matched", matched)
+    pairs = found.groupBy(*keys, "train_record", "eval_record").agg(F.min("edits").alias("edits"), F.max("matched").alias("matched"))
+    same = F.sum((F.col("train_record") == F.col("eval_record")).cast("long"))
+    sums = [F.sum(F.col(c).cast("long")).alias(n) for c, n in (("edits", "edits"), ("matched", "matched_words"))]
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), same.alias("same_id"), F.countDistinct("eval_record").alias("eval_questions"), F.countDistinct("train_record").alias("train_questions"), *sums)
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

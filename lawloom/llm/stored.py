@@ -1,0 +1,24 @@
+"""Tables in the shared folder that workers read part by part, so that nothing goes through the driver."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow.fs
+import pyarrow.parquet
+
+
+class StoredTable:
+    """A Parquet table with a column `part`, written by Spark to the shared folder; a worker holds one row group of a part at a time."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def part(self, part: int, *columns: str) -> Iterator:
+        """The values of the columns in the rows of a part, a tuple each (or the bare value of one column)."""
+        system, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        files = sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet"))
+        for name in files:
+            table = pyarrow.parquet.read_table(name, columns=["part", *columns], filters=[("part", "=", part)], filesystem=system)
+            values = [table.column(c).to_pylist() for c in columns]
+            yield from values[0] if len(columns) == 1 else zip(*values, strict=True)

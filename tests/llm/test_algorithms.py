@@ -15,7 +15,7 @@ from lawloom.llm.crf import Field, Positions, train
 from lawloom.llm.fmindex import FMIndex, spread, suffix_array
 from lawloom.llm.lawid import canonical_law
 from lawloom.llm.leaks import matched_spans
-from lawloom.llm.overlaps import EvalShard, edit_distance
+from lawloom.llm.overlaps import EvalShard, edit_distance, factors_bound
 from lawloom.llm.words import canonical_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -71,15 +71,49 @@ def test_near_texts_against_all_pairs():
         copy.insert(rng.randrange(len(copy) + 1), "z")
         texts.append(copy)
     shard = EvalShard(range(len(texts)), texts)
-    got = {(i, j) for i, j in shard.near(texts, 20)}
+    found = list(shard.near(texts, 20))
+    got = {(i, j) for i, j, *_ in found}
+    assert all(apart == edit_distance(texts[i], texts[j]) for i, j, apart, _ in found)
+    assert all(0 <= a < b <= len(texts[i]) and (j != i or (a, b) == (0, len(texts[i]))) for i, j, _, spans in found for a, b in spans)
     wanted = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if 5 * edit_distance(a, b) <= max(len(a), len(b))}
     assert got == wanted
 
 
+def test_matching_statistics():
+    rng = random.Random(9)
+    texts = [[rng.choice("abc") for _ in range(rng.randrange(1, 30))] for _ in range(12)]
+    index, sought = FMIndex(texts), [[rng.choice("abcd") for _ in range(40)], texts[3], ["d"]]
+    joined = np.concatenate([index.numbers(s) for s in sought])
+    room = np.concatenate([np.arange(1, len(s) + 1) for s in sought])
+    length, low, high = index.matching(joined, room, np.full(len(joined), 2))
+    inside = ["|".join(t) for t in texts]
+    at = 0
+    for s in sought:
+        for j in range(len(s)):
+            fits = [n for n in range(1, j + 2) if any(f"|{'|'.join(s[j - n + 1 : j + 1])}|" in f"|{t}|" for t in inside)]
+            assert length[at] == max(fits, default=0)
+            count = sum(t[i : i + 2] == s[j - 1 : j + 1] for t in texts for i in range(len(t) - 1)) if j else 0
+            assert high[at] - low[at] == count
+            at += 1
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=25), st.lists(st.tuples(st.integers(0, 24), st.sampled_from("abcdx")), max_size=4))
+@settings(max_examples=100, deadline=None)
+def test_few_edits_leave_few_matches(text, changes):
+    other = list(text)
+    for at, word in changes:
+        if at < len(other):
+            other[at : at + 1] = {"x": [], "a": [word, word]}.get(word, [word])
+    k, index = edit_distance(text, other), FMIndex([other])
+    if text:
+        length, *_ = index.matching(index.numbers(text), np.arange(1, len(text) + 1), np.ones(len(text)))
+        assert factors_bound(length, k + 1)
+
+
 def test_spans_merge():
     item = [f"w{i}" for i in range(30)]
     texts = [["x", *item[:20], "y", *item[10:24]], item[3:15], ["q"] * 40, item]
-    rows = {tuple(map(int, r)) for r in zip(*matched_spans(texts, [item, ["q"] * 13, ["short"]], 13), strict=True)}
+    rows = {tuple(map(int, r)) for r in zip(*matched_spans(FMIndex(texts), [item, ["q"] * 13, ["short"]], 13), strict=True)}
     assert rows == {(0, 0, 1, 21), (0, 0, 22, 36), (3, 0, 0, 30), (2, 1, 0, 40)}
 
 

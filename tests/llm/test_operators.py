@@ -15,7 +15,7 @@ from lawloom.llm.chunks import Limits, split_oversized
 from lawloom.llm.components import assign_splits, component_labels, linked_groups
 from lawloom.llm.leaks import leaked_spans
 from lawloom.llm.neighbours import IndexOptions, similar_vectors
-from lawloom.llm.overlaps import split_overlaps
+from lawloom.llm.overlaps import near_pairs, split_overlaps
 from lawloom.llm.quality import classified, text_statistics
 from lawloom.llm.topn import top_n_per_group
 from tests.conftest import comparable
@@ -237,7 +237,11 @@ def test_overlaps(spark):
     df = spark.createDataFrame([(*r, "x") for r in data], "record long, text string, side string, words string")
     got = split_overlaps(df.drop("words").withColumn("source", F.lit("s")))
     assert rows(got, "train_record", "eval_record") == {(1, 2), (1, 3), (10, 11)}
-    assert set(got.columns) == {"train_record", "eval_record", "train_source", "eval_source"}
+    assert set(got.columns) == {"train_record", "eval_record", "train_source", "eval_source", "edits", "spans"}
+    assert {(r.train_record, r.eval_record): (r.edits, [tuple(s) for s in r.spans]) for r in got.collect()}[1, 3] == (1, [(0, 3), (4, 20)])
+    words = lambda *texts: spark.createDataFrame([(" ".join(t.split()),) for t in texts], "words string")
+    pairs = near_pairs(words(text, "a b"), words(text, f"{text} x", "c d", "a b"), shard_words=5)  # a shard for each text or two
+    assert rows(pairs, "train_words", "eval_words", "edits") == {(text, text, 0), (text, f"{text} x", 1), ("a b", "a b", 0)}
     assert split_overlaps(df.drop("words").where("false")).count() == 0
 
 
@@ -247,6 +251,9 @@ def test_leaks(spark):
     items = spark.createDataFrame([(7, item), (7, item), (8, item), (9, "w1 w2"), (10, None), (11, "")], "item_id long, text string")
     got = leaked_spans(documents, items)
     assert rows(got, "doc_id", "item_id", "first_word", "end_word") == {(d, i, a, b) for i in (7, 8) for d, a, b in ((1, 1, 21), (3, 0, 13), (None, 0, 20))}
+    many = leaked_spans(documents, items.unionByName(spark.createDataFrame([(k, f"{k} " * 14) for k in range(20, 40)], "item_id long, text string")), item_chars=150)
+    assert rows(many, "doc_id", "item_id", "first_word", "end_word") == rows(got, "doc_id", "item_id", "first_word", "end_word")
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1  # one scan for all blocks
     assert leaked_spans(documents.where("false"), items).count() == 0 and leaked_spans(documents, items.where("false")).count() == 0
 
 
