@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -11,23 +11,19 @@ def usable(score: Column) -> Column:
     return F.when(~F.isnan(score), score)
 
 
-def min_max(score: Column, by: list[str], floor: Column | None = None) -> Column:
-    """(x - min) / (max - min) within a group; -1 where all are equal. floor: the minimum can't be above it (unmatched rows count as 0)."""
-    w = Window.partitionBy(*by)
-    low = F.min(score).over(w) if floor is None else F.least(F.min(score).over(w), floor)
-    return F.when(score.isNotNull(), F.coalesce(F.try_divide(score - low, F.max(score).over(w) - low), F.lit(-1.0)))
+def min_max(score: Column, low: Column, high: Column) -> Column:
+    """(x - low) / (high - low) within a group's range; -1 where all are equal."""
+    return F.when(score.isNotNull(), F.coalesce(F.try_divide(score - low, high - low), F.lit(-1.0)))
 
 
-def min_max_eps(score: Column, by: list[str], eps: float = 1e-4) -> Column:
-    """(x - min) / (max - min + eps) within a group."""
-    w = Window.partitionBy(*by)
-    return (score - F.min(score).over(w)) / (F.max(score).over(w) - F.min(score).over(w) + F.lit(eps))
+def min_max_eps(score: Column, low: Column, high: Column, eps: float = 1e-4) -> Column:
+    """(x - low) / (high - low + eps) within a group's range."""
+    return (score - low) / (high - low + F.lit(eps))
 
 
-def min_max_ones(score: Column, by: list[str], eps: float = 1e-4) -> Column:
+def min_max_ones(score: Column, low: Column, high: Column, eps: float = 1e-4) -> Column:
     """min_max_eps(), but 1 where all are equal."""
-    w = Window.partitionBy(*by)
-    return F.when(score.isNull(), None).when(F.max(score).over(w) == F.min(score).over(w), 1.0).otherwise(min_max_eps(score, by, eps))
+    return F.when(score.isNull(), None).when(high == low, 1.0).otherwise(min_max_eps(score, low, high, eps))
 
 
 def blend(a: Column, b: Column, weight: Column) -> Column:
@@ -38,6 +34,19 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def argmax(logits: Column) -> Column:
+    """The place, from 0, of the largest of an array of logits, the first of equal ones; null for null and empty arrays."""
+    place = F.array_position(logits, F.array_max(logits)) - 1
+    return F.when(F.size(logits) > 0, place.cast("int"))
+
+
+def token_probability(logits: Column, token: Column | int) -> Column:
+    """The probability of one token among the logits of a vocabulary: exp(log_softmax(logits)[token]); null if there's no such token."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+    return F.exp(F.get(logits, token if isinstance(token, Column) else F.lit(token)).cast("double") - top) / total
+
+
 def softmax_second(first: Column, second: Column) -> Column:
     """The share of the second of two logits."""
     top = F.greatest(first, second)

@@ -1,27 +1,37 @@
-"""BM25 retrieval as joins and aggregations over an inverted index."""
+"""BM25 retrieval: documents are scored where they are, and only the best of each task travel."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawloom.config import EngineConfig
 from lawloom.functions.text import collapse, tokens
+from lawloom.plans.stage import new_folder, spread_out, staged
+from lawloom.plans.stored import StoredTable
+
+#: Query terms of a block, and scores computed at once: bounds of memory that change no result.
+BLOCK_TERMS, CELLS = 500_000, 4_000_000
+
 
+def _text(normalise: bool):
+    return collapse(F.col("text")) if normalise else F.col("text")
 
-def index_terms(docs: DataFrame, normalise: bool = True) -> DataFrame:
-    """(doc_id, term, tf, dl) of every document with a text; an empty text has one empty term."""
-    text = collapse(F.col("text")) if normalise else F.col("text")
-    words = docs.where(F.col("text").isNotNull()).select("doc_id", tokens(text).alias("w"))
-    words = words.repartition("doc_id")  # the only shuffle: terms, and later pairs, of a document stay together
-    return words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
+def document_frequencies(docs: DataFrame, normalise: bool = True) -> DataFrame:
+    """(term, df): the documents that have a term; an empty text has one empty term. Terms are counted in the row and combined before the shuffle."""
+    words = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(tokens(_text(normalise)))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
-def term_statistics(terms: DataFrame, total: int, config: EngineConfig = EngineConfig()) -> DataFrame:
+
+def term_statistics(frequencies: DataFrame, total: int, config: EngineConfig = EngineConfig()) -> DataFrame:
     """(term, df, idf): negative idfs are replaced by epsilon times the mean idf of all terms before replacement."""
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = frequencies.withColumn("raw", F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0]
     floor = F.lit(float(mean or 0.0) * config.bm25_epsilon)
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
@@ -29,41 +39,132 @@ def term_statistics(terms: DataFrame, total: int, config: EngineConfig = EngineC
 
 def corpus_size(docs: DataFrame, normalise: bool = True) -> tuple[int, float]:
     """Number of documents with a text and their mean number of terms."""
-    text = collapse(F.col("text")) if normalise else F.col("text")
-    row = docs.where(F.col("text").isNotNull()).agg(F.count(F.lit(1)), F.avg(F.size(tokens(text)))).first()
+    row = docs.where(F.col("text").isNotNull()).agg(F.count(F.lit(1)), F.avg(F.size(tokens(_text(normalise))))).first()
     return int(row[0]), float(row[1] or 0.0)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, config: EngineConfig = EngineConfig(), normalise: bool = True, max_terms: int = 500_000) -> DataFrame:
-    """(query_id, doc_id, score) of all pairs that share a term, for docs (doc_id, text) and queries (query_id, text).
-
-    A repeated query term counts as often as it occurs; queries that are blank have no result. Statistics cover the whole
-    corpus. Up to max_terms query terms, by count, are sent to the documents, whose terms and scores stay where the
-    document is: a stop word's posting list isn't gathered anywhere. Beyond that, postings of query terms are joined by
-    term after a semi join.
+class _Block:
+    """The terms of some queries, and for each the queries that have it with their weights."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.queries = sorted({q for q, _, _ in rows})
+        number = {q: i for i, q in enumerate(self.queries)}
+        self.terms = {t: i for i, t in enumerate(sorted({t for _, t, _ in rows}))}
+        term = np.fromiter((self.terms[t] for _, t, _ in rows), np.int64, len(rows))
+        order = np.argsort(term, kind="stable")
+        self.query = np.fromiter((number[q] for q, _, _ in rows), np.int64, len(rows))[order]
+        self.weight = np.fromiter((w for _, _, w in rows), np.float64, len(rows))[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def scores(self, texts: list[list[str]], mean: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+        """documents x queries: the scores, and whether they share a term."""
+        find, size = self.terms.get, np.fromiter(map(len, texts), np.int64, len(texts))
+        code = np.fromiter((find(w, -1) for words in texts for w in words), np.int64, int(size.sum()))
+        doc = np.repeat(np.arange(len(texts)), size)[code >= 0]
+        both, tf = np.unique(doc * len(self.terms) + code[code >= 0], return_counts=True)
+        doc, code = both // max(1, len(self.terms)), both % max(1, len(self.terms))
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
+        first, many = self.starts[code], self.starts[code + 1] - self.starts[code]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        cell = np.repeat(doc, many) * len(self.queries) + self.query[at]
+        shape, cells = (len(texts), len(self.queries)), len(texts) * len(self.queries)
+        return np.bincount(cell, weights=np.repeat(part, many) * self.weight[at], minlength=cells).reshape(shape), np.bincount(cell, minlength=cells).reshape(shape) > 0
+
+
+class _Best:
+    """The k best of each query so far; equal scores, to nine decimals, by the larger document."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.floor, self.held = k, np.full(queries, -np.inf), 0
+        self.kept: list[pd.DataFrame] = []
+        self.n, self.low, self.high = np.zeros(queries, np.int64), np.full(queries, np.inf), np.full(queries, -np.inf)
+
+    def add(self, documents: pd.Series, scores: np.ndarray, matched: np.ndarray) -> None:
+        self.n += matched.sum(axis=0)
+        self.low = np.minimum(self.low, np.where(matched, scores, np.inf).min(axis=0))
+        scores = np.where(matched, scores, -np.inf)
+        self.high = np.maximum(self.high, scores.max(axis=0))
+        rounded = np.round(scores, 9)
+        floor = self.floor
+        if len(scores) > self.k:
+            floor = np.maximum(floor, np.partition(rounded, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        d, q = np.nonzero(matched & (rounded >= floor))
+        self.kept.append(pd.DataFrame({"q": q, "r": rounded[d, q], "doc": documents.to_numpy()[d], "score": scores[d, q]}))
+        self.held += len(d)
+        if self.held > 8 * self.k * len(self.n) + 100_000:
+            self.prune()
+
+    def prune(self) -> pd.DataFrame:
+        every = pd.concat(self.kept).sort_values(["q", "r", "doc"], ascending=[True, False, False]).groupby("q").head(self.k)
+        count = every.groupby("q")["r"].agg(["size", "min"])
+        full = count[count["size"] == self.k]
+        self.floor[full.index.to_numpy(np.int64)] = full["min"].to_numpy()
+        self.kept, self.held = [every], len(every)
+        return every
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int, config: EngineConfig = EngineConfig(), normalise: bool = True, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(query_id, doc_id, score) of the k best documents of each query, and (query_id, n, low, high): how many share a term with it, and the range of their scores.
+
+    docs (doc_id, text), queries (query_id, text). A repeated query term counts as often as it occurs; queries that are
+    blank have no result, nor have documents without a text. Equal scores: the larger doc_id. Statistics cover the whole corpus.
+
+    Query terms are written to the shared folder in blocks of about block_terms. One scan of the documents, without a
+    shuffle, scores each batch against the blocks one after another; a task gives on k rows for each query, so neither a
+    stop word nor the number of documents makes pairs that travel.
     """
     total, mean = corpus_size(docs, normalise)
-    terms = index_terms(docs, normalise)
     asked = queries.where(collapse(F.col("text")) != "").select("query_id", F.explode(tokens(collapse(F.col("text")))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    weights = asked.join(term_statistics(terms, total, config), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"))
-    few = asked.limit(max_terms + 1).count() <= max_terms
-    postings = terms if few else terms.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = F.broadcast(weights) if few else weights
-    k1, b = config.bm25_k1, config.bm25_b
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(mean)))
-    return postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def padded(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """scores, with zero-score documents added where a query matches fewer than k: the last ones by id, as ties rank."""
-    matched = queries.where(collapse(F.col("text")) != "").select("query_id").distinct().join(scores.groupBy("query_id").count(), "query_id", "left")
-    short = matched.where(F.coalesce("count", F.lit(0)) < k).select("query_id")
+    statistics = term_statistics(staged(document_frequencies(docs, normalise), "frequencies"), total, config)
+    weights = staged(asked.join(statistics, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), "weights")
+    blocks = weights.count() // block_terms + 1
+    path = new_folder(docs.sparkSession, "query-terms")
+    weights.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).write.parquet(path)
+    stored, k1, b = StoredTable(path), config.bm25_k1, config.bm25_b
+    narrow = docs.where(F.col("text").isNotNull()).select("doc_id", _text(normalise).alias("text"))
+    kinds = [queries.schema["query_id"].dataType, docs.schema["doc_id"].dataType, T.DoubleType(), T.LongType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "doc_id", "score", "n", "low", "high"), kinds, strict=True)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, _Block] = {}
+        found: dict[int, _Best] = {}
+        for batch in batches:
+            texts = [t.split(" ") for t in batch["text"]]
+            for part in range(blocks):
+                block = known.get(part) or _Block(list(stored.part(part, "query_id", "term", "weight")))
+                if blocks == 1:
+                    known[part] = block
+                if not block.queries:
+                    continue
+                top = found.setdefault(part, _Best(len(block.queries), k))
+                step = max(1, CELLS // len(block.queries))
+                for begin in range(0, len(texts), step):
+                    top.add(batch["doc_id"].iloc[begin : begin + step], *block.scores(texts[begin : begin + step], mean or 1.0, k1, b))
+        for part, top in found.items():
+            block = known.get(part) or _Block(list(stored.part(part, "query_id", "term", "weight")))
+            every = top.prune()
+            ids = np.array(block.queries, dtype=object)
+            none = pd.Series([None] * len(every), dtype=object)
+            yield pd.DataFrame({"query_id": ids[every["q"].to_numpy(np.int64)], "doc_id": every["doc"].to_numpy(), "score": every["score"].to_numpy(), "n": none, "low": none, "high": none})
+            some = np.flatnonzero(top.n)
+            none = pd.Series([None] * len(some), dtype=object)
+            yield pd.DataFrame({"query_id": ids[some], "doc_id": none, "score": none, "n": top.n[some], "low": top.low[some], "high": top.high[some]})
+
+    found = staged(spread_out(narrow).mapInPandas(run, schema), "scores")
+    best = top_k(found.where("n is null").select("query_id", "doc_id", "score"), k).drop("rank")
+    return best, found.where("n is not null").groupBy("query_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def padded(best: DataFrame, ranges: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """best, with zero-score documents added where a query matches fewer than k: the last ones by id, as ties rank."""
+    matched = queries.where(collapse(F.col("text")) != "").select("query_id").distinct().join(ranges, "query_id", "left")
+    short = matched.where(F.coalesce("n", F.lit(0)) < k).select("query_id")
     last = [r[0] for r in docs.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.col("doc_id").desc()).limit(2 * k).collect()]
     if not last:
-        return scores
+        return best
     fill = short.select("query_id", F.explode(F.array(*map(F.lit, last)).cast(T.ArrayType(docs.schema["doc_id"].dataType))).alias("doc_id"))
-    return scores.unionByName(fill.join(scores, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0)))
+    return best.unionByName(fill.join(best, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0)))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

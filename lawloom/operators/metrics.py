@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.functions.numeric import blend, f2, min_max_eps
+from lawloom.functions.numeric import argmax, blend, f2, min_max_eps
+from lawloom.operators.ranking import best, with_range
 
 
 def recall_at(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], cutoffs: Sequence[int]) -> DataFrame:
@@ -34,13 +35,15 @@ def hit_over_labels(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], l
 def fusion_grid(pairs: DataFrame, cutoffs: Sequence[int], weights: Sequence[float] = tuple(i / 10 for i in range(11))) -> DataFrame:
     """(w_bm25, w_bert, threshold, recall) for pairs (question_id, item, label, bm25, bert).
 
-    Scores are scaled within the question once; the weights are exploded, and one window and one aggregation serve all
-    weights and cut-offs. Equal fused scores by item.
+    Scores are scaled within the question once; the weights are exploded, and only the rows that a cut-off reaches are
+    ranked, so that a hot question is cut down before the shuffle. Equal fused scores by item.
     """
-    scaled = pairs.withColumn("a", min_max_eps(F.col("bm25"), ["question_id"])).withColumn("b", min_max_eps(F.col("bert"), ["question_id"]))
+    scaled = with_range(pairs, ["question_id"], bm25="bm25", bert="bert")
+    scaled = scaled.select("question_id", "item", "label", *[min_max_eps(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high")).alias(n) for n, c in (("a", "bm25"), ("b", "bert"))])
     each = scaled.withColumn("w", F.explode(F.array(*[F.lit(w) for w in weights]))).withColumn("s", blend(F.col("a"), F.col("b"), F.col("w")))
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("w", "question_id").orderBy(F.round("s", 9).desc(), "item")))
-    hits = ranked.groupBy("w").agg(F.sum("label").alias("positives"), *[F.sum(F.when(F.col("rank") <= k, F.col("label")).otherwise(0)).alias(f"h{k}") for k in cutoffs])
+    ranked = best(each.select("w", "question_id", "item", "label", "s"), ["w", "question_id"], [F.round("s", 9).desc(), F.col("item")], max(cutoffs))
+    positives = pairs.agg(F.sum("label").alias("positives"))
+    hits = ranked.groupBy("w").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("label")).otherwise(0)).alias(f"h{k}") for k in cutoffs]).join(F.broadcast(positives))
     rows = F.array(*[F.struct(F.lit(k).alias("threshold"), F.try_divide(F.col(f"h{k}"), F.col("positives")).alias("recall")) for k in cutoffs])
     return hits.select(F.col("w").alias("w_bm25"), (F.lit(1.0) - F.col("w")).alias("w_bert"), F.inline(rows))
 
@@ -58,3 +61,11 @@ def accuracy(pairs: DataFrame, given: Column, gold: Column, by: Sequence[str] =
     right = F.coalesce((given == gold).cast("int"), F.lit(0))
     counts = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(right).alias("correct"))
     return counts.withColumn("accuracy", F.try_divide(F.col("correct") * 100.0, F.col("rows")))
+
+
+def classification(rows: DataFrame, logits: Column, label: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rows, accuracy, tp, fp, fn, tn, precision, recall, f2) of the class with the largest logit, class 1 being positive."""
+    chosen = rows.select(*by, argmax(logits).alias("__p"), label.cast("int").alias("__y"))
+    counts = confusion(chosen, (F.col("__p") == 1).cast("int"), (F.col("__y") == 1).cast("int"), by)
+    right = chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.coalesce((F.col("__p") == F.col("__y")).cast("double"), F.lit(0.0))).alias("accuracy"))
+    return right.join(counts, list(by)) if by else right.join(F.broadcast(counts))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawloom.functions.text import collapse_lower
+from lawloom.operators.ranking import best, ranked
+from lawloom.plans.stage import join_unique, staged
 
 
 def hash_order(seed: int, *keys: Column) -> Column:
@@ -15,45 +17,56 @@ def hash_order(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-def hard_negatives(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The first n predictions for each label of a question that are no labels, in rank order: (question_id, keys, rank, place)."""
-    quota = labels.groupBy("question_id").agg((F.count(F.lit(1)) * n).alias("quota"))
-    free = ranked.join(labels.select("question_id", *keys).distinct(), ["question_id", *keys], "left_anti").join(quota, "question_id")
-    w = Window.partitionBy("question_id").orderBy("rank")
-    return free.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("quota")).drop("quota")
+Order = Sequence[Column | str]
 
 
-def soft_negatives(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
+def _quota(labels: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(question_id, quota) of n for each label, and the largest quota."""
+    quota = staged(labels.groupBy("question_id").agg((F.count(F.lit(1)) * n).cast("int").alias("quota")), "quota")
+    return quota, int(quota.agg(F.max("quota")).first()[0] or 0)
+
+
+def hard_negatives(predicted: DataFrame, labels: DataFrame, keys: Sequence[str], n: int, order: Order = ("rank",)) -> DataFrame:
+    """The first n predictions for each label of a question that are no labels, in order: (question_id, keys, place).
+
+    Every task keeps no more of a question than the largest quota before rows are shuffled, so a hot question is no bottleneck.
+    """
+    quota, most = _quota(labels, n)
+    free = join_unique(predicted, labels.select("question_id", *keys).distinct(), ["question_id", *keys], "left_anti")
+    free = join_unique(free, quota, ["question_id"])
+    return best(free, ["question_id"], order, most, "place").where(F.col("place") <= F.col("quota")).drop("quota")
+
+
+def soft_negatives(predicted: DataFrame, labels: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
     """n predictions for each label, without replacement, in hash order."""
-    order = hash_order(seed, F.col("question_id"), *[F.col(k) for k in keys])
-    shuffled = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(order)))
-    return hard_negatives(shuffled, labels, keys, n)
+    return hard_negatives(predicted, labels, keys, n, [hash_order(seed, F.col("question_id"), *[F.col(k) for k in keys]), *keys])
 
 
-def mixed_negatives(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
+def mixed_negatives(predicted: DataFrame, labels: DataFrame, keys: Sequence[str], n: int, seed: int, order: Order = ("rank",)) -> DataFrame:
     """Half of the n soft, half hard; what both draw comes once."""
-    hard, soft = hard_negatives(ranked, labels, keys, n - n // 2), soft_negatives(ranked, labels, keys, n // 2, seed)
+    hard, soft = hard_negatives(predicted, labels, keys, n - n // 2, order), soft_negatives(predicted, labels, keys, n // 2, seed)
     return hard.select("question_id", *keys).unionByName(soft.select("question_id", *keys)).distinct()
 
 
-def replacement_negatives(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
+def replacement_negatives(predicted: DataFrame, labels: DataFrame, keys: Sequence[str], n: int, seed: int, order: Order = ("rank",)) -> DataFrame:
     """(question_id, draw, keys): n draws with replacement for each label; a question whose predictions are all labels has none."""
-    free = ranked.join(labels.select("question_id", *keys).distinct(), ["question_id", *keys], "left_anti")
-    w = Window.partitionBy("question_id")
-    numbered = free.withColumn("place", F.row_number().over(w.orderBy("rank"))).withColumn("size", F.count(F.lit(1)).over(w))
-    draws = labels.groupBy("question_id").agg((F.count(F.lit(1)) * n).alias("quota")).join(numbered.select("question_id", "size").distinct(), "question_id")
+    free = join_unique(predicted, labels.select("question_id", *keys).distinct(), ["question_id", *keys], "left_anti")
+    numbered = staged(ranked(free, ["question_id"], [F.col(o) if isinstance(o, str) else o for o in order], "place"), "numbered")
+    draws = labels.groupBy("question_id").agg((F.count(F.lit(1)) * n).alias("quota")).join(numbered.groupBy("question_id").agg(F.count(F.lit(1)).alias("size")), "question_id")
     draws = draws.select("question_id", "size", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))).alias("draw"))
     pick = F.conv(F.substring(hash_order(seed, F.col("question_id"), F.col("draw")), 1, 8), 16, 10).cast("bigint") % F.col("size") + 1
     return draws.withColumn("place", pick).join(numbered.select("question_id", "place", *keys), ["question_id", "place"]).select("question_id", "draw", *keys)
 
 
-def balanced(pairs: DataFrame, rate: float = 1.0, cap_when_no_positive: bool = False) -> DataFrame:
-    """All positives of a question and its first rate * positives negatives by rank; with none, or a fractional number, all negatives stay unless capped."""
-    w = Window.partitionBy("question_id")
-    quota = F.sum("label").over(w) * F.lit(float(rate))
-    place = F.row_number().over(Window.partitionBy("question_id", "label").orderBy("rank"))
-    everything = F.lit(False) if cap_when_no_positive else (quota == 0) | (quota != F.floor(quota))
-    return pairs.withColumn("__q", quota).withColumn("__p", place).withColumn("__all", everything).where((F.col("label") == 1) | F.col("__all") | (F.col("__p") <= F.col("__q"))).drop("__q", "__p", "__all")
+def balanced(pairs: DataFrame, rate: float = 1.0, cap_when_no_positive: bool = False, order: Order = ("rank",)) -> DataFrame:
+    """All positives of a question and its first rate * positives negatives in order; with none, or a fractional number, all negatives stay unless capped."""
+    quota = pairs.groupBy("question_id").agg((F.sum("label") * F.lit(float(rate))).alias("__q"))
+    quota = staged(quota.withColumn("__all", F.lit(False) if cap_when_no_positive else (F.col("__q") == 0) | (F.col("__q") != F.floor("__q"))), "quota")
+    most = int(quota.where(~F.col("__all")).agg(F.max("__q")).first()[0] or 0)
+    rows = join_unique(pairs, quota, ["question_id"])
+    whole = rows.where((F.col("label") == 1) | F.col("__all"))
+    cut = best(rows.where((F.col("label") != 1) & ~F.col("__all")), ["question_id"], order, most, "__p").where(F.col("__p") <= F.col("__q"))
+    return whole.unionByName(cut.drop("__p")).drop("__q", "__all")
 
 
 def same_parent_negatives(labels: DataFrame, items: DataFrame, parent: str, keys: Sequence[str], n: int, seed: int) -> DataFrame:

@@ -9,7 +9,8 @@ from lawloom.config import EngineConfig
 from lawloom.functions.text import SPACE, collapse, relevance_prompt, tokens, verdict_word
 from lawloom.operators import corpus, metrics, sampling
 from lawloom.operators.voting import vote
-from lawloom.plans.retrieval import KEYS, PREDICTED, gold, predictions
+from lawloom.plans.retrieval import KEYS, PREDICTED, best_first, gold, predictions
+from lawloom.plans.stage import join_unique
 
 CONFIG = EngineConfig()
 N, SEED = CONFIG.negatives_per_label, CONFIG.seed
@@ -112,12 +113,12 @@ def short_content_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def membership_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions with their label, and their score if they're labels, 0.0001 if not."""
     labels = gold(spark, sf_dir).distinct().withColumn("__l", F.lit(1))
-    joined = predictions(spark, sf_dir).join(labels, ["question_id", *KEYS], "left")
+    joined = join_unique(predictions(spark, sf_dir), labels, ["question_id", *KEYS], "left")
     return joined.select("question_id", *KEYS, F.coalesce("__l", F.lit(0)).alias("label"), F.when(F.col("__l") == 1, F.round("score", 6)).otherwise(0.0001).alias("label_score"))
 
 
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.hard_negatives(predictions(spark, sf_dir), gold(spark, sf_dir), KEYS, N).select("question_id", *KEYS, "place")
+    return sampling.hard_negatives(predictions(spark, sf_dir), gold(spark, sf_dir), KEYS, N, best_first()).select("question_id", *KEYS, "place")
 
 
 def soft_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +126,11 @@ def soft_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.mixed_negatives(predictions(spark, sf_dir), gold(spark, sf_dir), KEYS, N, SEED)
+    return sampling.mixed_negatives(predictions(spark, sf_dir), gold(spark, sf_dir), KEYS, N, SEED, best_first())
 
 
 def replacement_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.replacement_negatives(predictions(spark, sf_dir), gold(spark, sf_dir), KEYS, N, SEED)
+    return sampling.replacement_negatives(predictions(spark, sf_dir), gold(spark, sf_dir), KEYS, N, SEED, best_first())
 
 
 def same_law_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +154,8 @@ def law_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def balance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = gold(spark, sf_dir).distinct().withColumn("__l", F.lit(1))
-    pairs = predictions(spark, sf_dir).join(labels, ["question_id", *KEYS], "left").select("question_id", *KEYS, "rank", F.coalesce("__l", F.lit(0)).alias("label"))
-    return sampling.balanced(pairs, 2).select("question_id", *KEYS, "label")
+    pairs = join_unique(predictions(spark, sf_dir), labels, ["question_id", *KEYS], "left").select("question_id", *KEYS, "score", F.coalesce("__l", F.lit(0)).alias("label"))
+    return sampling.balanced(pairs, 2, order=best_first()).select("question_id", *KEYS, "label")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,14 +170,21 @@ def _prompts(spark: SparkSession, sf_dir: str, negatives: DataFrame) -> DataFram
     return found.join(_questions(spark, sf_dir), "question_id").select("question_id", "law_id", "article", relevance_prompt(F.col("text"), F.col("content")).alias("prompt"), verdict_word(F.col("label")).alias("verdict"))
 
 
+def _with_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of an article that has a content: others are passed over before negatives are counted."""
+    filled = corpus.first_by(_flat(spark, sf_dir).where("law_id is not null and article is not null"), ["law_id", "article"], [F.col("article_no"), F.col("content").asc_nulls_last()])
+    known = filled.where("content is not null").select(F.col("law_id").alias(KEYS[0]), F.col("article").alias(KEYS[1]))
+    return join_unique(predictions(spark, sf_dir), known, KEYS, "left_semi")
+
+
 def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of the labels and hard negatives."""
-    return _prompts(spark, sf_dir, sampling.hard_negatives(predictions(spark, sf_dir), gold(spark, sf_dir).distinct(), KEYS, N).select("question_id", *KEYS))
+    """Prompts of the labels and of N hard negatives for each: the first predictions that are no labels and have a content."""
+    return _prompts(spark, sf_dir, sampling.hard_negatives(_with_content(spark, sf_dir), gold(spark, sf_dir).distinct(), KEYS, N, best_first()).select("question_id", *KEYS))
 
 
 def train_pairs_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of the labels, N hard and N soft negatives for each; what both draw comes once."""
-    return _prompts(spark, sf_dir, sampling.mixed_negatives(predictions(spark, sf_dir), gold(spark, sf_dir).distinct(), KEYS, 2 * N, SEED))
+    """Prompts of the labels, N hard and N soft negatives for each, of predictions that have a content; what both draw comes once."""
+    return _prompts(spark, sf_dir, sampling.mixed_negatives(_with_content(spark, sf_dir), gold(spark, sf_dir).distinct(), KEYS, 2 * N, SEED, best_first()))
 
 
 def _law_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,10 +344,10 @@ ORACLE = {
         b as (select * from (select *, count(*) over (partition by question_id, cited_law order by round range between unbounded preceding and 1 preceding) as n from e2) where n < {N})
         select question_id, cited_law, law_id, chapter, section, article, place::int as place from (select *, row_number() over (partition by question_id, cited_law order by md5(concat_ws('-', '42', question_id, cited_law, round, law_id, chapter, section, article)), round, law_id, chapter nulls first, section nulls first, article nulls first) as place from b) where place <= {N}""",
     "balance_pairs": f"with {PREDICTED}, l as (select distinct *, 1 as l from gold), p as (select question_id, law_serial_number, article_number, rank, coalesce(l, 0) as label from pred left join l using (question_id, law_serial_number, article_number)), r as (select *, row_number() over (partition by question_id, label order by rank) as n, sum(label) over (partition by question_id) * 2 as quota from p) select question_id, law_serial_number, article_number, label from r where label = 1 or quota = 0 or n <= quota",
-    "train_pairs": f"""with {PREDICTED}, {_FLAT}, {_FIRST}, lab as (select distinct * from gold), {_HARD.format(n=N).replace('from gold group', 'from lab group')}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id),
+    "train_pairs": f"""with {PREDICTED}, {_FLAT}, {_FIRST}, lab as (select distinct * from gold), {_HARD.format(n=N).replace('from gold group', 'from lab group').replace('from pred p', 'from (select pred.* from pred join f1 on law_serial_number = law_id and article_number = article where content is not null) p')}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id),
         p as (select *, 'đúng' as verdict from lab union all select question_id, law_serial_number, article_number, 'sai' from (select *, row_number() over (partition by question_id order by rank) as place from free) join quota using (question_id) where place <= quota)
         select question_id, law_id, article, 'Câu hỏi: ' || text || ' Điều luật: ' || content || ' Có liên quan:' as prompt, verdict from p join f1 on law_serial_number = law_id and article_number = article join q using (question_id) where content is not null""",
-    "train_pairs_soft": f"""with {PREDICTED}, {_FLAT}, {_FIRST}, lab as (select distinct * from gold), {_HARD.format(n=N).replace('from gold group', 'from lab group')}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id),
+    "train_pairs_soft": f"""with {PREDICTED}, {_FLAT}, {_FIRST}, lab as (select distinct * from gold), {_HARD.format(n=N).replace('from gold group', 'from lab group').replace('from pred p', 'from (select pred.* from pred join f1 on law_serial_number = law_id and article_number = article where content is not null) p')}, q as (select question_id, min(text) as text from question_main where text is not null group by question_id),
         p as (select *, 'đúng' as verdict from lab union all select distinct question_id, law_serial_number, article_number, 'sai' from (select *, {_SOFT} as soft, row_number() over (partition by question_id order by rank) as hard from free) join quota using (question_id) where soft <= quota or hard <= quota)
         select question_id, law_id, article, 'Câu hỏi: ' || text || ' Điều luật: ' || content || ' Có liên quan:' as prompt, verdict from p join f1 on law_serial_number = law_id and article_number = article join q using (question_id) where content is not null""",
     "corpus_negatives": f"with {_NEGATIVES} select * from neg",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lawloom.functions import arrays, numeric, text
 from lawloom.operators import bm25, corpus, dense, metrics, sampling
+from lawloom.operators.ranking import ranked, with_range
 from lawloom.operators.scorers import answer, encode, score_pairs
 from lawloom.operators.shred import ADJACENCY, entity_table, ordinals, shred
 from lawloom.operators.voting import vote
@@ -128,7 +129,8 @@ def test_answers(spark):
 
 def test_scales(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0), ("c", None)], "g string, x double")
-    got = df.select("g", "x", numeric.min_max(F.col("x"), ["g"]).alias("p"), numeric.min_max_eps(F.col("x"), ["g"]).alias("e"), numeric.min_max_ones(F.col("x"), ["g"]).alias("o"))
+    x, low, high = F.col("x"), F.col("x_low"), F.col("x_high")
+    got = with_range(df, ["g"], x="x").select("g", "x", numeric.min_max(x, low, high).alias("p"), numeric.min_max_eps(x, low, high).alias("e"), numeric.min_max_ones(x, low, high).alias("o"))
     rows = {(r.g, r.x): (r.p, r.e and round(r.e, 3), r.o and round(r.o, 3)) for r in got.collect()}
     assert rows[("a", 3.0)] == (1.0, 1.0, 1.0)
     assert rows[("b", 2.0)] == (-1.0, 0.0, 1.0)
@@ -151,16 +153,34 @@ def test_arrays(spark):
 def test_bm25_blank_queries_padding_and_ties(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, ""), (4, None), (5, "c e")], "doc_id int, text string")
     asked = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "zz")], "query_id int, text string")
-    scores = bm25.bm25_scores(docs, asked)
-    best = bm25.top_k(bm25.padded(scores, docs, asked, 3), 3)
+    found, ranges = bm25.bm25_search(docs, asked, 3)
+    best = bm25.top_k(bm25.padded(found, ranges, docs, asked, 3), 3)
     assert values(best.select("query_id", "doc_id", "rank"), "query_id", "rank", "doc_id") == [(1, 1, 1), (1, 2, 5), (1, 3, 3), (4, 1, 5), (4, 2, 3), (4, 3, 2)]
-    assert bm25.top_k(scores, 1).exceptAll(bm25.top_k(scores, 2).where("rank = 1")).count() == 0
-    assert bm25.bm25_scores(docs.where("false"), asked).count() == 0
+    assert values(ranges, "query_id", "n") == [(1, 1)]
+    assert bm25.bm25_search(docs.where("false"), asked, 3)[0].count() == 0 and bm25.bm25_search(docs, asked.where("false"), 3)[0].count() == 0
+
+
+def test_bm25_best_of_many_ties_and_blocks(spark):
+    rng = random.Random(6)
+    docs = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 1, 2, 9])))) for k in range(400)]
+    asked = [(f"q{k}", " ".join(rng.choice("abcdefghi") for _ in range(3))) for k in range(12)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id string, text string")
+    every, ranges = bm25.bm25_search(d, q, 1000)
+    wanted = {}
+    for r in every.collect():
+        wanted.setdefault(r.query_id, []).append((-round(r.score, 9), -r.doc_id))
+    few, same = bm25.bm25_search(d.repartition(3), q, 5, block_terms=7)
+    got = {}
+    for r in few.collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 9), -r.doc_id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:5] for k, v in wanted.items()}
+    assert {(r.query_id, r.n, round(r.low, 9), round(r.high, 9)) for r in same.collect()} == {(k, len(v), -max(v)[0], -min(v)[0]) for k, v in wanted.items()}
+    assert values(ranges, "query_id", "n") == values(same, "query_id", "n")
 
 
 def test_bm25_formula(spark):
     docs = {1: "x y y", 2: "x", 3: "z z", 4: "w"}
-    got = {(r.query_id, r.doc_id): r.score for r in bm25.bm25_scores(spark.createDataFrame(list(docs.items()), "doc_id int, text string"), spark.createDataFrame([(1, "y y x")], "query_id int, text string")).collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in bm25.bm25_search(spark.createDataFrame(list(docs.items()), "doc_id int, text string"), spark.createDataFrame([(1, "y y x")], "query_id int, text string"), 9)[0].collect()}
     from math import log
 
     n, words = len(docs), {k: v.split() for k, v in docs.items()}
@@ -174,20 +194,53 @@ def test_bm25_formula(spark):
         assert got[1, d] == pytest.approx(want)
 
 
-def test_pooled_runs_against_a_loop(spark):
-    rng = random.Random(5)
-    rows = [(q, i, rng.choice("abc"), rng.random()) for q in range(5) for i in range(rng.randrange(1, 12))]
+def test_cosine_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    items = [(i, rng.choice(["a", "b", "c", None]), rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(90)]
+    items = [(i, g, v) for i, g, v in items if any(v)]
+    asked = items[::7]
+    df = spark.createDataFrame(items, "pos int, g string, v array<double>")
+    queries = spark.createDataFrame([(i, v) for i, _, v in asked], "query_id int, v array<double>")
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    for block in (4, 1000):
+        got = dense.cosine_best(df.repartition(3), queries, "pos", 4, digits=6, apart="pos", block_queries=block)
+        assert values(got, "query_id", "rank", "pos") == sorted(((q, k, i) for q, _, v in asked for k, (_, i) in enumerate(sorted((-cosine(v, w), i) for i, _, w in items if i != q)[:4], 1)), key=repr)
+        got = dense.cosine_best(df.repartition(3), queries, "g", 2, digits=6, block_queries=block)
+        pooled = {q: sorted((-max(cosine(v, w) for _, h, w in items if h == g), g) for g in "abc")[:2] for q, _, v in asked}
+        assert values(got, "query_id", "rank", "g") == sorted(((q, k, g) for q, best in pooled.items() for k, (_, g) in enumerate(best, 1)), key=repr)
     got = {}
-    for r in dense.pooled_runs(spark.createDataFrame(rows, "query_id int, pos int, g string, similarity double"), "g", "pos", 100).collect():
-        got.setdefault(r.query_id, []).append((r.g, r.similarity))
-    for q in range(5):
-        mine, want = [r for r in rows if r[0] == q][:-1], [("-1", 0.0)]
-        for k, r in enumerate(mine):
-            if k and mine[k - 1][2] == r[2]:
-                want[-1] = (r[2], max(want[-1][1], r[3]))
+    for r in dense.pooled_runs(df.where("g is not null").repartition(3), queries, "g", "pos", 1000).collect():
+        got.setdefault(r.query_id, []).append((r.g, round(r.similarity, 6)))
+    mine = [r for r in items if r[1]][:-1]
+    for q, _, v in asked:
+        want = [("-1", 0.0)]
+        for k, (_, g, w) in enumerate(mine):
+            if k and mine[k - 1][1] == g:
+                want[-1] = (g, max(want[-1][1], cosine(v, w)))
             else:
-                want.append((r[2], r[3]))
+                want.append((g, cosine(v, w)))
         assert sorted(got[q]) == sorted(want)
+    assert dense.cosine_best(df.where("false"), queries, "pos", 3).count() == 0
+
+
+def test_ranks_of_hot_groups(spark):
+    rng = random.Random(8)
+    data = [(rng.choice([1, 1, 1, 1, 2, 3, None]), rng.randrange(50), k) for k in range(900)]
+    df = spark.createDataFrame(data, "g int, s int, k int")
+    got = ranked(df, ["g"], [F.col("s").desc(), F.col("k")])
+    wanted = sorted(((g, n, k) for group in {r[0] for r in data} for n, (g, _, k) in enumerate(sorted((r for r in data if r[0] == group), key=lambda r: (-r[1], r[2])), 1)), key=repr)
+    assert values(got, "g", "rank", "k") == wanted
+    assert ranked(df.where("false"), ["g"], [F.col("k")]).count() == 0
+
+
+def test_logits(spark):
+    assert one(spark, numeric.argmax(F.array(F.lit(0.1), F.lit(0.9), F.lit(0.9)))) == 1 and one(spark, numeric.argmax(F.lit(None).cast("array<double>"))) is None
+    assert one(spark, numeric.token_probability(F.array(F.lit(0.0), F.lit(1000.0)), 1)) == 1.0 and one(spark, numeric.token_probability(F.array(F.lit(0.0), F.lit(0.0)), F.lit(0))) == 0.5
+    rows = spark.createDataFrame([([0.0, 1.0], 1), ([1.0, 0.0], 1), ([0.0, 0.0], 0), (None, 1)], "l array<double>, y int")
+    got = metrics.classification(rows, F.col("l"), F.col("y")).first()
+    assert (got.rows, got.accuracy, got.tp, got.fp, got.fn, got.tn) == (4, 0.5, 1, 0, 2, 1)
 
 
 def test_metrics(spark):
@@ -265,7 +318,7 @@ def test_soft_negatives_are_in_the_training_pairs(spark, small):
 
     every = {(r.question_id, r.law_id, r.article) for r in corpora.train_pairs_soft(spark, small).where("verdict = 'sai'").collect()}
     keys = ["law_serial_number", "article_number"]
-    drawn = sampling.soft_negatives(corpora.predictions(spark, small), corpora.gold(spark, small).distinct(), keys, corpora.N, corpora.SEED).selectExpr("question_id", "law_serial_number as law_id", "article_number as article")
+    drawn = sampling.soft_negatives(corpora._with_content(spark, small), corpora.gold(spark, small).distinct(), keys, corpora.N, corpora.SEED).selectExpr("question_id", "law_serial_number as law_id", "article_number as article")
     found = corpus.lookup_content(drawn, corpora._flat(spark, small), ["law_id", "article"], None).where("content is not null").join(corpora._questions(spark, small), "question_id").collect()
     hard = {(r.question_id, r.law_id, r.article) for r in corpora.train_pairs(spark, small).where("verdict = 'sai'").collect()}
     assert {(r.question_id, r.law_id, r.article) for r in found} <= every and hard <= every and len(every) > len(hard)
@@ -353,7 +406,7 @@ def test_a_cluster_needs_a_shared_folder():
 def test_top_k_is_limited_before_the_shuffle(spark, small):
     from lawloom.plans import retrieval
 
-    plan = retrieval.bm25_topk(spark, small)._jdf.queryExecution().toString()
+    plan = retrieval.recall_at_k(spark, small)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
