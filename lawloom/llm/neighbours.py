@@ -29,10 +29,10 @@ class IndexOptions:
     """
 
     lists: float = 4.0
-    probes: int = 128
+    probes: int = 64
     probe_share: float = 0.4
     sample_per_list: int = 24
-    epsilon: float = 3.0
+    epsilon: float = 2.5
     block_rows: int = 50_000
     queries_per_block: int = 8
     seed: int = 7
