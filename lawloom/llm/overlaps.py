@@ -141,7 +141,8 @@ class EvalShard:
         while begin < len(distinct):
             upto = begin + max(1, int(np.searchsorted(np.cumsum(ends[begin:] - distinct[begin:]), 2_000_000, side="right")))
             rows, owner = spread(distinct[begin:upto], ends[begin:upto])
-            pairs.append(np.unique((owner + begin) * len(self.sizes) + self.index.texts_of(self.index.locate(rows))))
+            found = np.sort((owner + begin) * len(self.sizes) + self.index.texts_of(self.index.locate(rows)))
+            pairs.append(found[np.diff(found, prepend=-1) > 0])
             begin = upto
         both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
         offsets = np.searchsorted(both // max(1, len(self.sizes)), np.arange(len(distinct) + 1))
