@@ -9,8 +9,7 @@ from dataclasses import dataclass
 class EngineConfig:
     """Parameters that a caller may override; nothing is read from the command line at import.
 
-    compat: reproduce the documented oddities of the original pipeline instead of the intended semantics.
-    broadcast_bytes: a side is broadcast only below this measured size.
+    The numbers are fixed values of the documented pipeline.
     """
 
     top_k: int = 200
@@ -19,10 +18,8 @@ class EngineConfig:
     min_max_eps: float = 1e-4
     seed: int = 42
     train_share: float = 0.8
-    compat: bool = False
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     bm25_epsilon: float = 0.25
     recall_cutoffs: tuple[int, ...] = (1, 2, 5, 10, 20, 50, 100, 200, 500)
     fusion_cutoffs: tuple[int, ...] = (1, 2, 5, 10, 20, 50)
-    broadcast_bytes: int = 32 << 20

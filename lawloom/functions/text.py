@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +83,22 @@ def split_article_prefix(text: Column) -> dict[str, Column]:
     }
 
 
+def bracketed(owner: Column, text: Column) -> Column:
+    """"[owner]text", with the text collapsed: the form of paragraph corpora."""
+    return F.concat(F.lit("["), owner.cast("string"), F.lit("]"), collapse(text))
+
+
+def split_bracketed(text: Column) -> dict[str, Column]:
+    """The parts of a bracketed() string: the text ends at the next closing bracket."""
+    pieces = F.split(text, r"\]")
+    return {"owner": F.substring(F.get(pieces, F.lit(0)), 2, 1 << 20), "body": F.get(pieces, F.lit(1))}
+
+
+def joined_sentences(texts: Column) -> Column:
+    """The texts of an array as one, with ". " between; null elements are left out, a null array is null."""
+    return F.array_join(texts, ". ")
+
+
 def with_choices(text: Column, choices: Column) -> Column:
     """text followed by the four choices; text alone where any is missing."""
     listed = [F.try_element_at(choices, F.lit(k)) for k in "ABCD"]
@@ -91,6 +110,17 @@ def relevance_prompt(question: Column, document: Column) -> Column:
     return F.concat(F.lit("Câu hỏi: "), question, F.lit(" Điều luật: "), document, F.lit(" Có liên quan:"))
 
 
+def numbered_relevance_prompt(question: Column, article: Column, document: Column) -> Column:
+    """relevance_prompt() of a document whose article number isn't in its text."""
+    return relevance_prompt(question, F.concat(F.lit("Điều "), article, F.lit(". "), document))
+
+
+def verdict_label(word: Column) -> Column:
+    """1 for the word of a true verdict, 0 for that of a false one, null for anything else."""
+    form = F.lower(F.trim(word))
+    return F.when(form == "đúng", 1).when(form == "sai", 0)
+
+
 def verdict_word(label: Column) -> Column:
     """Any label but zero is true."""
     return F.when(label != 0, "đúng").when(label == 0, "sai")
@@ -102,10 +132,43 @@ def printed_choices(choices: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit("'"), e["key"], F.lit("': '"), e["value"], F.lit("'"))), ", "), F.lit("}"))
 
 
-def answer_prompt(articles: Column, question: Column, kind: Column, choices: Column) -> Column:
-    """The question with its articles and, by its kind, its choices and instruction."""
-    instruction = F.when(kind == "Trắc nghiệm", "Chọn một đáp án A, B, C hoặc D.").when(kind == "Đúng/Sai", "Trả lời Đúng hoặc Sai.").otherwise("Trả lời ngắn gọn.")
-    return F.concat(F.lit("Điều luật:\n"), articles, F.lit("\nCâu hỏi: "), question, F.when(kind == "Trắc nghiệm", F.concat(F.lit("\nLựa chọn: "), F.coalesce(printed_choices(choices), F.lit("")))).otherwise(""), F.lit("\nLưu ý: "), instruction)
+# The documented prompt and instruction of each kind of question; {articles}, {question} and {choices} are filled in.
+ANSWER_TEMPLATES = {
+    "Tự luận": "Các bài viết liên quan: {articles}\n\nCâu hỏi: {question}\n\n",
+    "Trắc nghiệm": "Các bài viết liên quan: {articles}\n\nCâu hỏi: {question}\n\nLựa chọn: {choices}\n\n",
+    "Đúng/Sai": "Các bài viết liên quan: {articles}\n\nCâu hỏi: {question}\n\n",
+}
+ANSWER_INSTRUCTIONS = {
+    "Tự luận": "Chỉ cần trả lời đáp án ngắn gọn nhất có thể, không cần giải thích",
+    "Trắc nghiệm": "Chỉ có 1 đáp án đúng và chỉ cần trả lời A, B, C hoặc D, không cần giải thích",
+    "Đúng/Sai": "Chỉ cần trả lời Đúng hoặc Sai, không cần giải thích",
+}
+
+
+def filled_template(template: str, values: Mapping[str, Column]) -> Column:
+    """The template with each {name} replaced by its column; a null value counts as empty text."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def answer_prompt(articles: Column, question: Column, kind: Column, choices: Column, templates: Mapping[str, str] = ANSWER_TEMPLATES, instructions: Mapping[str, str] = ANSWER_INSTRUCTIONS, inline: bool = True) -> Column:
+    """The prompt of a question by its kind; kinds without a template have none.
+
+    inline: the instruction follows the prompt; otherwise it's meant for a system message (answer_instruction()).
+    """
+    values = {"articles": articles, "question": question, "choices": F.when(choices.isNotNull(), printed_choices(choices))}
+    out = F.lit(None).cast("string")
+    for name, template in templates.items():
+        filled = filled_template(template, values)
+        out = F.when(kind == name, F.concat(filled, F.lit(instructions[name])) if inline else filled).otherwise(out)
+    return out
+
+
+def answer_instruction(kind: Column, instructions: Mapping[str, str] = ANSWER_INSTRUCTIONS) -> Column:
+    out = F.lit(None).cast("string")
+    for name, said in instructions.items():
+        out = F.when(kind == name, said).otherwise(out)
+    return out
 
 
 def extracted_answer(text: Column, kind: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawloom.functions.text import article_prefix, title_form
+from lawloom.functions.text import bracketed, joined_sentences, law_prefix, title_form
 
 
 def tree_articles(tree: DataFrame) -> DataFrame:
@@ -86,5 +86,31 @@ def all_found(labels: DataFrame, known: DataFrame, group: str, key: str) -> Data
     return missing.where("all = 1").select(group)
 
 
-def article_text(law: Column, article: Column, content: Column) -> Column:
-    return article_prefix(article, law, content)
+def lex_articles(levels: DataFrame) -> DataFrame:
+    """(law_id, text) of the articles of a leveled corpus, "[section-law-id@#$document] content"; articles without an id, number or content are dropped."""
+    rows = levels.select("law_id", F.explode("level.article_list").alias("a")).where("a is not null")
+    return rows.select("law_id", law_prefix(F.col("a.section_number"), F.col("law_id"), F.col("a.id"), F.col("a.vbpl_id"), F.col("a.section_content")).alias("text")).where("text is not null")
+
+
+def lex_titles(levels: DataFrame) -> DataFrame:
+    """(id, db_id, entry) of a leveled corpus: its titles and its scopes, each as one text, and the article titles, in their short form, each once."""
+    listed = F.concat(F.array(joined_sentences(F.col("level.title")), joined_sentences(F.col("level.scope"))), F.coalesce("level.article_title_list", F.array().cast("array<string>")))
+    rows = levels.select(F.col("law_id").alias("id"), F.col("id").alias("db_id"), F.explode(listed).alias("entry")).where("entry is not null")
+    return rows.select("id", "db_id", title_form(F.col("entry")).alias("entry")).distinct()
+
+
+def paragraph_strings(paragraphs: DataFrame) -> DataFrame:
+    """(db_id, text) of every paragraph of a paragraph corpus (db_id, paragraph array), "[db_id]text"; null paragraphs are dropped."""
+    rows = paragraphs.select("db_id", F.explode("paragraph").alias("p")).where("p is not null")
+    return rows.select("db_id", bracketed(F.col("db_id"), F.col("p")).alias("text"))
+
+
+def label_rows(questions: DataFrame, key: str, text: str, labels: str, fields: Sequence[str], label: int) -> DataFrame:
+    """(id, question, fields, label): one row for each label of a question that isn't null, in the pair format of CSV files."""
+    rows = questions.select(F.col(key).alias("id"), F.col(text).alias("question"), F.explode(labels).alias("x")).where("x is not null")
+    return rows.select("id", "question", *[F.col(f"x.{f}").alias(f) for f in fields], F.lit(label).alias("label"))
+
+
+def exploded_vectors(rows: DataFrame, key: str, vectors: str) -> DataFrame:
+    """(key, par_no, v) of an array of vectors by paragraph, as retrieval by paragraph wants them; null vectors keep their position and are dropped."""
+    return rows.select(key, F.posexplode(vectors).alias("par_no", "v")).where("v is not null")

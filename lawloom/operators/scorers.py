@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 PairScorer = Callable[[pd.Series, pd.Series], pd.Series]
 Encoder = Callable[[pd.Series], list[np.ndarray]]
-Answerer = Callable[[str], str]
+Answerer = Callable[[list], Sequence[str]]
 
 
 def overlap_score(questions: pd.Series, texts: pd.Series) -> pd.Series:
@@ -62,18 +62,17 @@ def encode(texts: DataFrame, column: str, encoder: Encoder = hashed_words, out:
     return texts.withColumn(out, run(F.col(column)))
 
 
-def answer(prompts: DataFrame, key: str, prompt: str, answerer: Answerer, pause: float = 0.0) -> DataFrame:
-    """(key, answer): one call a row, with a pause between the calls of a task."""
+def answer(prompts: DataFrame, key: str, prompt: str, answerer: Answerer, batch_rows: int = 64, pause: float = 0.0) -> DataFrame:
+    """(key, answer): the answerer takes up to batch_rows prompts at once and gives as many answers; with a pause between the calls of a task."""
     narrow = prompts.select(F.col(key).alias("k"), F.col(prompt).alias("p"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            said = []
-            for p in batch["p"]:
-                said.append(answerer(p))
+            for begin in range(0, len(batch), batch_rows):
+                part = batch.iloc[begin : begin + batch_rows]
+                yield pd.DataFrame({"k": part["k"], "answer": pd.Series(list(answerer(part["p"].tolist())), index=part.index, dtype=object)})
                 if pause:
                     time.sleep(pause)
-            yield pd.DataFrame({"k": batch["k"], "answer": said})
 
     schema = T.StructType([T.StructField("k", narrow.schema["k"].dataType), T.StructField("answer", T.StringType())])
     return narrow.mapInPandas(run, schema).withColumnRenamed("k", key)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawloom.plans import corpora, nested, retrieval, scalars, transfer
+from lawloom.plans import corpora, frames, nested, retrieval, scalars, transfer
 
-MODULES = (nested, scalars, retrieval, corpora, transfer)
+MODULES = (nested, scalars, retrieval, corpora, frames, transfer)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -89,8 +89,8 @@ ORACLE = {
         case when contains(question_id, 'TL') then 'essay' when contains(question_id, 'DS') then 'verdict' else 'choice' end as kind, question_type = 'Trắc nghiệm' as is_choice from question_competition""",
     "prompt_render": """with q as (select distinct question_id, text, question_type, choices, relevant_articles, coalesce(array_to_string(list_transform(relevant_articles, lambda a: 'Điều ' || a.article_id || ' ' || a.law_id), '; '), '') as cited from question_competition where text is not null),
         p as (select *, coalesce('{' || array_to_string(list_transform(list_sort(map_keys(choices)), lambda k: '''' || k || ''': ''' || choices[k] || ''''), ', ') || '}', '') as shown from q)
-        select distinct question_id, 'Điều luật:' || chr(10) || cited || chr(10) || 'Câu hỏi: ' || text || case when question_type = 'Trắc nghiệm' then chr(10) || 'Lựa chọn: ' || shown else '' end || chr(10) || 'Lưu ý: ' ||
-        case question_type when 'Trắc nghiệm' then 'Chọn một đáp án A, B, C hoặc D.' when 'Đúng/Sai' then 'Trả lời Đúng hoặc Sai.' else 'Trả lời ngắn gọn.' end as prompt,
+        select distinct question_id, case when question_type in ('Tự luận', 'Trắc nghiệm', 'Đúng/Sai') then 'Các bài viết liên quan: ' || cited || chr(10) || chr(10) || 'Câu hỏi: ' || text || chr(10) || chr(10) ||
+        case question_type when 'Trắc nghiệm' then 'Lựa chọn: ' || shown || chr(10) || chr(10) || 'Chỉ có 1 đáp án đúng và chỉ cần trả lời A, B, C hoặc D, không cần giải thích' when 'Đúng/Sai' then 'Chỉ cần trả lời Đúng hoặc Sai, không cần giải thích' else 'Chỉ cần trả lời đáp án ngắn gọn nhất có thể, không cần giải thích' end end as prompt,
         'Câu hỏi: ' || text || ' Điều luật: ' || cited || ' Có liên quan:' as relevance, case when len(relevant_articles) <> 0 then 'đúng' when len(relevant_articles) = 0 then 'sai' end as verdict from p""",
     "parse_answers": f"""with a as (select distinct answer_id, answer, {_KIND} as kind, {_FORM} as form, lower(trim(answer, ' ')) as low from answer_qwen where answer is not null and question_id is not null),
         b as (select *, case when starts_with(form, 'câu trả lời') then trim(string_split(form, 'câu trả lời')[2], ' ') else form end as lead from a)

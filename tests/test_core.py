@@ -449,4 +449,4 @@ def test_scorers(spark):
     df = spark.createDataFrame([("a b", "b c"), ("", "x"), (None, None)], "q string, t string")
     assert values(score_pairs(df, "q", "t"), "score", "score_predict") == [(0.0, 0), (0.0, 0), (0.5, 0)]
     assert all(len(r.embedding) == 64 for r in encode(df, "q").collect())
-    assert values(answer(df.where("q is not null"), "q", "t", lambda p: p.upper()), "q", "answer") == [("", "X"), ("a b", "B C")]
+    assert values(answer(df.where("q is not null"), "q", "t", lambda prompts: [p.upper() for p in prompts]), "q", "answer") == [("", "X"), ("a b", "B C")]
