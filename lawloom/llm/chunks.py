@@ -60,9 +60,9 @@ def cut(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
 
     Every piece has at most limits.size characters, the first begins at 0, the last ends at the end, and each next one
     begins limits.low to limits.high characters before its predecessor's end. Among all such sequences whose ends lie on
-    boundaries (or, where there's none within reach, inside a word), the one with the smallest sum is taken: the cost of
-    each end and each beginning, and the squared deviation of each size from the even share. Of equal sums, the earlier
-    ends. Time is linear in the text, as an end looks back over one piece's size.
+    boundaries (or, where there's none for limits.high characters, anywhere inside the word), the one with the smallest sum
+    is taken: the cost of each end and each beginning, and the squared deviation of each size from the even share. Time is
+    linear in the text, as an end looks back over one piece's size.
     """
     n = len(text)
     if n <= limits.size:
@@ -75,28 +75,36 @@ def cut(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
         begin[ends] = ends - limits.high + np.argmin(windows[ends - limits.high], axis=1)
     else:
         begin = np.arange(n + 1)
-    at = np.flatnonzero(costs < _INSIDE_WORD)
-    step = limits.high
-    wide = np.flatnonzero(np.diff(at) > step)
-    if len(wide):  # no boundary for long: positions inside the word, but not inside a letter where that can be helped
-        extra = []
-        for a, b in zip(at[wide], at[wide + 1], strict=True):
-            for p in range(a + step // 2, b, max(1, step // 2)):
-                extra.append(p + int(np.argmin(costs[p : min(b, p + step // 2)])) if p < b else p)
-        at = np.unique(np.concatenate([at, np.array(extra, np.int64)]))
-    at = at[(at > limits.high) | (at == 0)]
+    offered = costs < _INSIDE_WORD
+    at = np.flatnonzero(offered)
+    for a, b in zip(at[:-1][np.diff(at) > limits.high], at[1:][np.diff(at) > limits.high], strict=True):
+        offered[a:b] = True  # no boundary for long: every position inside the word
+    offered[1 : limits.high + 1] = False
+    at = np.flatnonzero(offered)
     count = int(np.ceil((n - limits.high) / (limits.size - limits.high)))
     even = (n + (count - 1) * (limits.low + limits.high) / 2) / count
-    best, came = np.full(len(at), np.inf), np.full(len(at), -1)
-    best[0], begin[0] = 0.0, 0
-    first = np.searchsorted(at, at - limits.size)
+    begin[0] = 0
     starts, price = begin[at], costs[at] + costs[begin[at]]
+    # Beginnings never go back, so the ends that may come before one lie side by side; the squared deviation of a size
+    # from the even share, w (at_j - start_i - even)^2, is taken apart into a part of i, a part of j and a product.
+    first = np.searchsorted(starts, at - limits.size)
+    last = np.minimum(np.searchsorted(starts, at - limits.high), np.arange(len(at)))
+    w = _BALANCE / even**2
+    goal, slope = at - even, -2 * w * starts
+    own = w * starts.astype(np.float64) ** 2
+    best, came = np.full(len(at), np.inf), np.full(len(at), -1)
+    best[0] = 0.0
+    reached = np.full(len(at), np.inf)  # best + own
+    reached[0] = own[0]
     for j in range(1, len(at)):
-        i = np.arange(first[j], j)
-        size = at[j] - starts[i]
-        total = np.where((size <= limits.size) & (size > limits.high), best[i] + _BALANCE * ((size - even) / even) ** 2, np.inf)
-        k = int(np.argmin(total))
-        best[j], came[j] = total[k] + (price[j] if at[j] < n else 0.0), i[k]
+        low, high = first[j], last[j]
+        if low < high:
+            total = reached[low:high] + goal[j] * slope[low:high]
+            k = int(total.argmin())
+            best[j] = total[k] + w * goal[j] ** 2 + (price[j] if at[j] < n else 0.0)
+            came[j], reached[j] = low + k, best[j] + own[j]
+    if not np.isfinite(best[-1]):
+        raise ValueError("no pieces within the limits")
     out, j = [], len(at) - 1
     while j > 0:
         i = int(came[j])

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from lawloom.llm.answers import clauses, final_words
 from lawloom.llm.bpe import SPLIT, Automaton, Merges, _Words, encode_texts
-from lawloom.llm.chunks import Limits, cut
+from lawloom.llm.chunks import Limits, cut, cut_costs
 from lawloom.llm.crf import Field, Positions, train
 from lawloom.llm.fmindex import FMIndex, spread, suffix_array
 from lawloom.llm.lawid import canonical_law
@@ -129,6 +129,40 @@ def test_pieces(text, low):
     assert "".join(text[(pieces[k - 1][1] if k else 0) : b] for k, (_, b) in enumerate(pieces)) == text
 
 
+def test_pieces_have_the_smallest_sum():
+    rng, limits = random.Random(12), Limits(60, 6, 10)
+
+    def total(text, pieces):
+        costs = cut_costs(text)
+        count = -(-(len(text) - limits.high) // (limits.size - limits.high))
+        even = (len(text) + (count - 1) * (limits.low + limits.high) / 2) / count
+        inner = sum(costs[b] + costs[c] for (_, b), (c, _) in pairwise(pieces))
+        return inner + 30 * sum(((b - a - even) / even) ** 2 for a, b in pieces)
+
+    for _ in range(15):
+        text = "".join(rng.choice("abcd  .\n,") if k % 90 < 60 else "x" for k in range(rng.randrange(61, 190)))
+        costs, n = cut_costs(text), len(text)
+        begin = lambda e, costs=costs: min(range(e - limits.high, e - limits.low + 1), key=lambda p: (costs[p], p))
+        best = {}
+
+        def search(start, n=n, text=text, costs=costs, begin=begin, best=best):
+            if start not in best:
+                count = -(-(n - limits.high) // (limits.size - limits.high))
+                even = (n + (count - 1) * (limits.low + limits.high) / 2) / count
+                off = lambda e: 30 * ((e - start - even) / even) ** 2
+                least = off(n) if limits.high < n - start <= limits.size else float("inf")
+                for e in range(start + limits.high + 1, min(n - 1, start + limits.size) + 1):
+                    if begin(e) > start:
+                        least = min(least, off(e) + costs[e] + costs[begin(e)] + search(begin(e)))
+                best[start] = least
+            return best[start]
+
+        assert total(text, cut(text, limits)) <= search(0) + 45  # a boundary is taken where there is one within reach, so an inside cut saves little
+        offered = [e for e in range(n) if costs[e] < 40]
+        if max(b - a for a, b in pairwise([*offered, n])) <= limits.high:
+            assert total(text, cut(text, limits)) <= search(0) + 1e-6 or any(costs[e] >= 40 for e in range(n))
+
+
 def test_pieces_end_where_the_text_does():
     text = "\n".join("Điều này phải được thực hiện trong mười ngày." for _ in range(80))
     assert all(text[b - 1] == "\n" for _, b in cut(text)[:-1])
