@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawloom.plans import staged
+from lawloom.plans import is_small, join_unique, staged
 
 MAX_ROUNDS = 200
 _FINE = 4096
@@ -21,11 +21,14 @@ def component_labels(edges: DataFrame, seed: int = 17) -> DataFrame:
     A quarter of the vertices with edges goes in a round at least, in expectation, so rounds grow with the logarithm of
     the vertices, and the tables shrink geometrically. Then the labels are unwound from the last round to the first.
     Every step is a join or an aggregation by vertex that combines on the map side; a hub with a third of all edges is
-    aggregated like any other key. Rows with a null end and loops link nothing.
+    aggregated like any other key, and joined by broadcast where a count proves the tables small, or with salts by
+    exact counts. Rows with a null end and loops link nothing.
     """
     linked = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     live = staged(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     vertices = live.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    small = is_small(live)  # then so are all tables of vertices: two for each edge at most
+    meet = lambda left, right, on: left.join(F.broadcast(right), on, "left") if small else join_unique(left, staged(right, "right"), [on], "left")
     rounds: list[DataFrame] = []
     while not live.isEmpty():
         if len(rounds) == MAX_ROUNDS:
@@ -35,7 +38,7 @@ def component_labels(edges: DataFrame, seed: int = 17) -> DataFrame:
         mates = ends.where(~heads(F.col("v")) & heads(F.col("w")))
         chosen = staged(mates.groupBy("v").agg(F.min_by("w", F.xxhash64(F.lit(seed + 1), F.lit(len(rounds)), "w")).alias("mate")), "mates")
         rounds.append(chosen)
-        renamed = live.join(chosen.select(F.col("v").alias("a"), F.col("mate").alias("ma")), "a", "left").join(chosen.select(F.col("v").alias("b"), F.col("mate").alias("mb")), "b", "left")
+        renamed = meet(meet(live, chosen.select(F.col("v").alias("a"), F.col("mate").alias("ma")), "a"), chosen.select(F.col("v").alias("b"), F.col("mate").alias("mb")), "b")
         renamed = renamed.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y")).where(F.col("x") != F.col("y"))
         live = staged(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     labels: DataFrame | None = None
@@ -44,13 +47,13 @@ def component_labels(edges: DataFrame, seed: int = 17) -> DataFrame:
             labels = chosen.select("v", F.col("mate").alias("root"))
         else:
             later = labels.select(F.col("v").alias("mate"), "root")
-            here = chosen.join(later, "mate", "left").select("v", F.coalesce("root", "mate").alias("root"))
+            here = meet(chosen, later, "mate").select("v", F.coalesce("root", "mate").alias("root"))
             labels = here.unionByName(labels)
         if k % 4 == 0:
             labels = staged(labels, "labels")
     if labels is None:
         return vertices.select("v", F.col("v").alias("root"))
-    return vertices.join(labels, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+    return meet(vertices, labels, "v").select("v", F.coalesce("root", "v").alias("root"))
 
 
 def linked_groups(members: DataFrame) -> DataFrame:
@@ -61,13 +64,13 @@ def linked_groups(members: DataFrame) -> DataFrame:
     smallest key to each of the others, so the edges number at most the citations, however many records share a key.
     """
     cited = staged(members.where(F.col("record").isNotNull()).distinct(), "cited")
-    first = cited.groupBy("record").agg(F.min("key").alias("first"))
-    edges = cited.join(first, "record").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    roots = component_labels(edges)
-    placed = first.join(roots, F.col("first") == F.col("v"), "left").select("record", F.coalesce("root", "first").alias("root"))
+    first = staged(cited.groupBy("record").agg(F.min("key").alias("first")), "first")
+    edges = join_unique(cited, first, ["record"]).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    roots = staged(component_labels(edges), "roots")
+    placed = join_unique(first, roots.withColumnRenamed("v", "first"), ["first"], "left").select("record", F.coalesce("root", "first").alias("root"))
     placed = staged(placed, "placed")
     smallest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("record").alias("group_id"))
-    return placed.join(smallest, "root", "left").select("record", F.coalesce("group_id", "record").alias("group_id"))
+    return join_unique(placed, smallest, ["root"], "left").select("record", F.coalesce("group_id", "record").alias("group_id"))
 
 
 def assign_splits(groups: DataFrame, shares: Mapping[str, float], seed: int = 17) -> DataFrame:
@@ -102,4 +105,4 @@ def assign_splits(groups: DataFrame, shares: Mapping[str, float], seed: int = 17
     if split:
         kind = sizes.schema["group_id"].dataType.simpleString()
         chosen = chosen.unionByName(groups.sparkSession.createDataFrame(list(split.items()), f"group_id {kind}, split string"))
-    return groups.join(chosen, "group_id").select("record", "group_id", "split")
+    return join_unique(groups, chosen, ["group_id"]).select("record", "group_id", "split")
