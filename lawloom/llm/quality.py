@@ -16,8 +16,20 @@ COMMON_WORDS = (
     "le les des du une et un en dans pour que qui sur par avec est ne sont aux apres avant doit peut"
 ).split()
 
-# Rules as published for web corpora (symbol and bullet shares, line ends, repeated words, word lengths), with thresholds
-# for short legal texts. Each holds or fails alone; the first that fails, in this order, is the reason.
+# Rules published for web corpora, with their thresholds (lowest and highest value that passes). They tell
+# documents fit for training from others, not prose from lists, tables and junk: here, short sound articles fail the
+# word count, and many tables pass them all. So they are recorded for every document, and the kind is decided below.
+PUBLISHED = {
+    "word_count": ("n_words", 50, 100_000),
+    "mean_word_length": ("mean_word_length", 3, 10),
+    "symbol_to_word": ("hash_ellipsis_share", None, 0.1),
+    "bullet_lines": ("bullet_line_share", None, 0.9),
+    "ellipsis_lines": ("ellipsis_line_share", None, 0.3),
+    "alphabetic_words": ("alphabetic_word_share", 0.8, None),
+    "stop_words": ("stop_words", 2, None),
+}
+# Rules of the same statistics that decide the kind. Their thresholds are our own, set on the texts of sf0.1 for the reasons
+# given; each holds or fails alone, and the first that fails, in the order of classified(), decides.
 THRESHOLDS = {
     "replacement_share": 0.01,
     "mojibake_share": 0.1,
@@ -105,8 +117,8 @@ def _computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(F.inline(F.array(F.struct(*kept, *[c.alias(n) for n, c in columns.items()]))))
 
 
-def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of documents: key, counts and shares of its whole text.
+def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text", published: bool = False) -> DataFrame:
+    """One row per row of documents: key, counts and shares of its whole text; published: with the statistics of PUBLISHED too.
 
     Null, empty and blank texts have counts and shares of 0. Characters are code points; letters count their combining
     marks. All statistics are built-in expressions over one scan of two columns, without a shuffle unless the
@@ -145,9 +157,30 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
         "cell_char_share": _share(F.aggregate(F.arrays_zip("lines", "cells"), F.lit(0), lambda a, x: a + F.when(x["cells"] > 1, F.length(x["lines"])).otherwise(0)), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))),
         "wrapped_share": _wrapped(c("lines"), c("widest"), c("fill"), c("most")),
     }
+    if published:
+        words = F.filter(F.split("t", r"(?U)\s+"), lambda x: x != "")
+        statistics |= {
+            "hash_ellipsis_share": _share(_count(c("t"), r"#|…|\.\.\."), c("words")),
+            "ellipsis_line_share": _where_share(c("lines"), lambda x: F.rtrim(x).rlike(r"(?:…|\.\.\.)$")),
+            "alphabetic_word_share": _where_share(words, lambda x: x.rlike(r"\p{L}")),
+            "stop_words": F.size(F.array_distinct(F.filter("bare", lambda x: x.isin(COMMON_WORDS)))),
+        }
     return _computed(rows, statistics).select(c("k").alias(key), *statistics)
 
 
+def failures(statistics: DataFrame) -> Column:
+    """All rules that a document fails, as an array of (rule, value): those of PUBLISHED, where their statistics are there, then those that may decide its kind."""
+    found = []
+    if "stop_words" in statistics.columns:
+        for rule, (name, low, high) in PUBLISHED.items():
+            value = F.col(name).cast("double")
+            bad = F.lit(False) if low is None else value < low
+            found.append((rule, bad if high is None else bad | (value > high), value))
+    found += [(f"{kind}:{rule}", fails, F.col(rule).cast("double") if rule in statistics.columns else F.lit(None).cast("double")) for kind, rule, fails in _rules()]
+    listed = F.array(*[F.when(fails, F.struct(F.lit(rule).alias("rule"), value.alias("value"))) for rule, fails, value in found])
+    return F.filter(listed, lambda x: x.isNotNull())
+
+
 _BULLET = r"^\s*(?:[-–—*+•◦▪●○→‣·>]|\[[ xX]?\]|\(?\p{Alnum}{1,3}[.)]|[ivxIVX]+[.)])\s"
 _MOJIBAKE = r"á[º»]|Ã[\u0080-¿ƒ‚-›]|Æ[°¡]|Ä[\u0080-¿‘’‘]|Â[ -¿]|â€"
 _MOJIBAKE_LEADS = ["áº", "á»", "Ã", "Æ", "Ä", "Â", "â€"]
@@ -178,15 +211,15 @@ def _wrapped(lines: Column, widest: Column, fill: Column, most: Column) -> Colum
     return F.greatest(by_width, by_words)
 
 
-def classified(statistics: DataFrame) -> DataFrame:
-    """statistics with kind (prose, list, table, junk, or blank for texts of nothing but white space) and reason (the rule that failed)."""
+def _rules() -> list[tuple[str, str, Column]]:
+    """(kind, rule, whether a document fails it), in the order in which they decide."""
     c, t = F.col, THRESHOLDS
     ragged = (c("some_cells_share") >= t["some_cells_share"]) & (c("common_share") < t["entry_common_share"])
     table = (c("n_lines") >= 3) & (c("cell_char_share") >= t["cell_char_share"]) & ((c("cell_line_share") >= t["cell_line_share"]) | ragged)
     full = (c("words_per_line") >= t["full_line_words"]) & (c("bullet_line_share") < 0.3)  # ragged line ends, yet no entries
     wrapped = ((c("wrapped_share") >= t["wrapped_share"]) | full) & (c("ended_line_share") < 0.5) & (c("common_share") >= t["entry_common_share"])
     short = (c("n_lines") >= 3) & (c("short_line_share") >= t["short_line_share"]) & (c("words_per_line") < 9)
-    rules = [
+    return [
         ("blank", "no_text", c("n_words") == 0),
         ("junk", "replacement_share", c("replacement_share") >= t["replacement_share"]),
         ("junk", "mojibake_share", c("mojibake_share") >= t["mojibake_share"]),
@@ -200,8 +233,12 @@ def classified(statistics: DataFrame) -> DataFrame:
         ("list", "short_line_share", short & ~wrapped),
         ("junk", "common_share", (c("common_share") < t["common_share"]) & (c("n_words") >= 12)),
     ]
+
+
+def classified(statistics: DataFrame) -> DataFrame:
+    """statistics with kind (prose, list, table, junk, or blank for texts of nothing but white space), reason (the rule that decided it), and failed (all rules that the document fails, with their values)."""
     kind = reason = None
-    for name, rule, fails in rules:
+    for name, rule, fails in _rules():
         kind = F.when(fails, name) if kind is None else kind.when(fails, name)
         reason = F.when(fails, rule) if reason is None else reason.when(fails, rule)
-    return statistics.withColumn("kind", kind.otherwise("prose")).withColumn("reason", reason)
+    return statistics.withColumn("kind", kind.otherwise("prose")).withColumn("reason", reason).withColumn("failed", failures(statistics))

@@ -19,6 +19,7 @@ from lawloom.llm.overlaps import split_overlaps
 from lawloom.llm.quality import classified, text_statistics
 from lawloom.llm.sql import ORACLE
 from lawloom.llm.topn import top_n_per_group
+from lawloom.plans import join_unique, staged
 
 TOKENIZER = os.environ.get("LAWLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -57,7 +58,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that share a law, directly or through others, by group; groups of one aren't listed."""
     groups = _question_groups(spark, sf_dir)
     shared = groups.groupBy("group_id").count().where(F.col("count") > 1).select("group_id")
-    return groups.join(shared, "group_id").select(F.col("record").alias("question_id"), "group_id")
+    return join_unique(groups, shared, ["group_id"]).select(F.col("record").alias("question_id"), "group_id")
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,16 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(_question_groups(spark, sf_dir), SHARES).select(F.col("record").alias("question_id"), "group_id", "split")
 
 
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each split, whether its records come as near to its share as the largest group allows, and how many of its groups are divided."""
+    splits = staged(assign_splits(_question_groups(spark, sf_dir), SHARES), "splits")
+    groups = splits.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("in_splits"))
+    all_of = groups.agg(F.sum("n").alias("total"), F.max("n").alias("largest"), F.sum((F.col("in_splits") > 1).cast("long")).alias("divided_groups"))
+    share = F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv])[F.col("split")]
+    near = F.abs(F.col("count") - share * F.col("total")) <= F.col("largest") + 1
+    return splits.groupBy("split").count().join(F.broadcast(all_of)).select("split", near.alias("near_share"), "divided_groups")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similarity 0.8 or more of which either is among the other's ten most similar."""
     near = similar_vectors(_table(spark, sf_dir, "embedding_list"), "vec_id", "embedding", least=0.8, options=IndexOptions(probe_share=0.0))
@@ -143,14 +154,27 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_article_texts(spark, sf_dir), PLACE, "text").where(F.col("piece_no") == 0).select(*PLACE).distinct()
 
 
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each oversized text by its length: whether its pieces keep to the limits and give the text again."""
+    articles = staged(_article_texts(spark, sf_dir).where(F.length("text") > 1200).distinct(), "oversized")
+    pieces = split_oversized(articles.withColumn("n", F.length("text")).withColumn("h", F.md5("text")), [*PLACE, "n", "h"], "text")
+    listed = pieces.groupBy(*PLACE, "n", "h").agg(F.sort_array(F.collect_list(F.struct("piece_no", "piece_start", "piece"))).alias("p"))  # the pieces of one text
+    ends = F.transform("p", lambda x: x["piece_start"] + F.length(x["piece"]))
+    overlap = F.transform("p", lambda x, i: F.when(i == 0, 125).otherwise(F.get(F.col("ends"), i - 1) - x["piece_start"]))
+    whole = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], F.get(F.col("overlaps"), i).cast("int") + 1, F.lit(1 << 20)))), "")
+    kept = listed.withColumn("ends", ends).withColumn("overlaps", overlap)
+    sizes = F.forall("p", lambda x: F.length(x["piece"]) <= 1200)
+    return kept.select(*PLACE, "n", sizes.alias("within_size"), F.forall("overlaps", lambda o: o.between(100, 150)).alias("within_overlap"), (F.md5(whole) == F.col("h")).alias("same_text")).distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode_corpus(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's counts and shares, its kind, and the rule that decided."""
-    return classified(text_statistics(_table(spark, sf_dir, "documents"))).distinct()
+    """Every document's counts and shares, its kind, the rule that decided, and all rules that it fails."""
+    return classified(text_statistics(_table(spark, sf_dir, "documents"), published=True)).distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +182,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(text_statistics(_table(spark, sf_dir, "documents"))).where(~F.col("kind").isin("prose", "blank")).select("doc_id", "kind").distinct()
 
 
+def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters and lines of every document."""
+    return text_statistics(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_lines").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
     "p1_hot": p1_hot,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p2_shares": p2_shares,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
@@ -171,11 +201,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
+    "p7_rules": p7_rules,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
+    "p10_counts": p10_counts,
 }
 
 
