@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lawloom.config import EngineConfig
 from lawloom.functions.text import SPACE, collapse, relevance_prompt, tokens, verdict_word
 from lawloom.operators import corpus, metrics, sampling
+from lawloom.operators.ranking import ranked
 from lawloom.operators.voting import vote
 from lawloom.plans.retrieval import KEYS, PREDICTED, best_first, gold, predictions
 from lawloom.plans.stage import join_unique
@@ -78,7 +79,7 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def four_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations with the content of the last article of their law, chapter, section and article."""
     keys = ["law_id", "chapter", "section", "article"]
-    last = corpus.first_by(_tree(spark, sf_dir).where("content is not null"), keys, [F.col(c).desc() for c in ("chapter_no", "section_no", "article_no", "content")])
+    last = corpus.first_by(_tree(spark, sf_dir), keys, [F.col(c).desc_nulls_last() for c in ("chapter_no", "section_no", "article_no", "content")])
     return _cited(spark, sf_dir).join(last.select(*keys, "content"), keys, "left").select("question_id", *keys, "content")
 
 
@@ -152,6 +153,16 @@ def law_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.foreign_negatives(_cited(spark, sf_dir), items, ["law_id", "chapter", "section", "article"], 2, N, SEED).withColumnRenamed("cited", "cited_law")
 
 
+def enriched_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations with their content, N articles of other laws (soft) and up to four others of the same law (hard)."""
+    place = lambda *c: F.concat_ws("#", *[F.coalesce(F.col(x).cast("string"), F.lit("?")) for x in c])
+    few = lambda df, by, name, *c: df.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(place(*c))), " ").alias(name))  # noqa: E731  at most N, or four
+    soft = few(law_negatives(spark, sf_dir).withColumnRenamed("law_id", "other").withColumnRenamed("cited_law", "law_id"), ["question_id", "law_id"], "soft", "other", "chapter", "section", "article")
+    hard = few(same_law_negatives(spark, sf_dir), ["question_id", "law_id"], "hard", "chapter", "section", "article")
+    cited = four_key_lookup(spark, sf_dir)
+    return join_unique(join_unique(cited, soft, ["question_id", "law_id"], "left"), hard, ["question_id", "law_id"], "left")
+
+
 def balance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = gold(spark, sf_dir).distinct().withColumn("__l", F.lit(1))
     pairs = join_unique(predictions(spark, sf_dir), labels, ["question_id", *KEYS], "left").select("question_id", *KEYS, "score", F.coalesce("__l", F.lit(0)).alias("label"))
@@ -260,10 +271,9 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All questions with their place in a fixed random order, kept in four ranges of places."""
-    q = _t(spark, sf_dir, "question_main").select("question_id").distinct()
-    order = sampling.hash_order(SEED, F.col("question_id"))
-    return q.select("question_id", order.alias("place_key"), F.substring(order, 1, 1).isin(*"0123").alias("first_quarter"))
+    """All questions with their place in a fixed random order."""
+    q = _t(spark, sf_dir, "question_main").where("question_id is not null").select("question_id").distinct()
+    return ranked(q, [], [sampling.hash_order(SEED, F.col("question_id")), F.col("question_id")], "place")
 
 
 def union_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +286,7 @@ def union_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        flatten_tree, titles_short, titles_long, attach_children, enrich_first, match_counts, lookup_with_sentinel, gold_context, four_key_lookup, in_corpus_only, void_on_missing, none_partition, short_content_guard,
+        flatten_tree, titles_short, titles_long, attach_children, enrich_first, match_counts, lookup_with_sentinel, gold_context, four_key_lookup, enriched_citations, in_corpus_only, void_on_missing, none_partition, short_content_guard,
         membership_score, hard_negatives, soft_negatives, mixed_negatives, replacement_negatives, same_law_negatives, hierarchical_negatives, law_negatives, balance_pairs, train_pairs, train_pairs_soft, corpus_negatives, pair_frame, split_rule, split_by_id, keyed_first, positional_zip,
         vote_ensemble, accuracy, shuffled_rows, union_frames,
     )
@@ -317,7 +327,7 @@ ORACLE = {
     "match_counts": "select (select count(*) from law_tree) as tree_rows, (select count(*) from law_flat) as flat_rows, (select count(*) from law_flat where id in (select id from law_tree where id is not null)) as matched",
     "lookup_with_sentinel": f"with {PREDICTED}, {_FLAT}, {_FIRST} select distinct question_id, law_serial_number as law_id, article_number as article, coalesce(content, '-1') as content from gold left join f1 on law_serial_number = law_id and article_number = article",
     "gold_context": f"with {_FLAT}, {_FIRST}, l as (select distinct question_id, i, relevant_articles[i].law_id as law_id, relevant_articles[i].article_id as article from (select question_id, relevant_articles, unnest(range(1, least(3, len(relevant_articles)) + 1)) as i from question_competition)), c as (select question_id, string_agg(content, ' ' order by i, content) as context from l left join f1 using (law_id, article) group by question_id) select distinct question_id, coalesce(context, '') as context from question_competition left join c using (question_id)",
-    "four_key_lookup": f"with {_TREE}, {_CITED}, l as (select * from (select *, row_number() over (partition by law_id, chapter, section, article order by chapter_no desc, section_no desc, article_no desc, content desc) as n from tree where content is not null) where n = 1) select question_id, law_id, chapter, section, article, content from cited left join l using (law_id, chapter, section, article)",
+    "four_key_lookup": f"with {_TREE}, {_CITED}, l as (select * from (select *, row_number() over (partition by law_id, chapter, section, article order by chapter_no desc, section_no desc, article_no desc, content desc nulls last) as n from tree) where n = 1) select question_id, law_id, chapter, section, article, content from cited left join l using (law_id, chapter, section, article)",
     "in_corpus_only": f"with {_CITED} select distinct question_id from question_legacy where question_id not in (select question_id from cited where law_id is null or law_id not in (select id from law_tree where id is not null))",
     "void_on_missing": f"with {_CITED}, e as (select id as law_id, unnest([law_name, scope]) as entry from law_tree where id is not null), bad as (select question_id from cited where law_id is null or law_id not in (select law_id from e)) select distinct question_id, lower(entry) as entry from cited join e using (law_id) where question_id not in (select question_id from bad) and length(entry) > 15",
     "none_partition": "select distinct question_id, coalesce(len(list_filter(relevant_laws, lambda x: x.id_Article = 'None')) > 0, false) as has_none from question_legacy",
@@ -361,6 +371,10 @@ ORACLE = {
     "positional_zip": f"with {_TREE}, {_FLAT}, a as (select *, row_number() over (partition by law_id, chapter_no, section_no, article_no order by article nulls last, content nulls last) as n from tree where law_id is not null), l as (select law_id, row_number() over (partition by law_id order by chapter_no, section_no, article_no) - 1 as pos, article as tree_article from a where n = 1), r as (select law_id, article_no as pos, article as flat_article from (select *, row_number() over (partition by law_id, article_no order by article nulls last, content nulls last) as n from flat where law_id is not null) where n = 1) select law_id, pos::int as pos, tree_article, flat_article from l join r using (law_id, pos)",
     "vote_ensemble": f"{_THREE} select question_id, {_VOTE} as voted from m",
     "accuracy": f"{_THREE}, v as (select gold, lower({_VOTE}) as voted, case when contains(question_id, 'TL') then 'essay' when contains(question_id, 'DS') then 'verdict' else 'choice' end as kind from m) select kind, count(*) as rows, count(*) filter (where voted = gold) as correct, round(count(*) filter (where voted = gold) * 100.0::double / count(*), 6) as accuracy from v group by kind",
-    "shuffled_rows": "select distinct question_id, md5('42-' || question_id) as place_key, substr(md5('42-' || question_id), 1, 1) in ('0', '1', '2', '3') as first_quarter from question_main",
+    "shuffled_rows": "select question_id, (row_number() over (order by md5('42-' || question_id), question_id))::int as place from (select distinct question_id from question_main where question_id is not null)",
     "union_frames": "select question_id, text, split_name, null::varchar as source, 1 as label from question_main union all select question_id, question, null, source, null from question_legacy",
 }
+_PLACES = "coalesce(chapter, '?') || '#' || coalesce(section, '?') || '#' || coalesce(article, '?')"
+ORACLE["enriched_citations"] = f"""select f.*, s.soft, h.hard from ({ORACLE['four_key_lookup']}) f
+    left join (select question_id, cited_law, string_agg(p, ' ' order by p) as soft from (select question_id, cited_law, coalesce(law_id, '?') || '#' || {_PLACES} as p from ({ORACLE['law_negatives']})) group by all) s on f.question_id = s.question_id and f.law_id = s.cited_law
+    left join (select question_id, law_id, string_agg(p, ' ' order by p) as hard from (select question_id, law_id, {_PLACES} as p from ({ORACLE['same_law_negatives']})) group by all) h on f.question_id = h.question_id and f.law_id = h.law_id"""

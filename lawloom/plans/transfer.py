@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawloom.operators import tokenise
 from lawloom.operators.ranking import ranked
 from lawloom.operators.scorers import answer, encode, score_pairs
 from lawloom.plans.stage import new_folder, staged
 from lawloom.sources import io, schemas
 from lawloom.streaming.resume import process_new
 
+VOCABULARY = os.environ.get("LAWLOOM_PAIR_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -116,7 +121,13 @@ def offline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("question_id", F.round(checked, 6).alias("score"), "score_predict")
 
 
-QUERIES = {f.__name__: f for f in (json_roundtrip, csv_roundtrip, json_arrays, case_folder, row_range, dev_rows, answer_slot, training_shards, resume_append, split_copies, streamed_questions, offline_scores)}
+def tokenised_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with each label's content as token ids of a public vocabulary, as a model is trained on them."""
+    pairs = _t(spark, sf_dir, "question_main").select("question_id", "text", F.explode("relevant_articles").alias("x")).select("question_id", "text", F.col("x.article_content").alias("content"))
+    return tokenise.tokenised_pairs(pairs.distinct(), "text", "content", VOCABULARY).select("question_id", "input_ids", "token_types", "cut")
+
+
+QUERIES = {f.__name__: f for f in (json_roundtrip, csv_roundtrip, json_arrays, case_folder, row_range, dev_rows, answer_slot, training_shards, resume_append, split_copies, streamed_questions, offline_scores, tokenised_pairs)}
 
 ORACLE = {
     "json_roundtrip": "select id, coalesce(len(articles), -1)::int as n, array_to_string(list_transform(articles, lambda a: coalesce(a.id, '?')), '|') as article_ids, array_to_string(list_transform(articles, lambda a: coalesce(a.text, '?')), '|') as texts from law_flat",

@@ -445,6 +445,24 @@ def test_csv_keeps_every_text(spark, tmp_path):
     assert values(io.read_csv(spark, f"file://{tmp_path}/w", table.schema), "k", "t") == values(table, "k", "t")
 
 
+def test_tokenised_pairs(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    from lawloom.operators.tokenise import tokenised_pairs
+    from lawloom.plans.transfer import VOCABULARY
+
+    try:
+        public = tokenizers.Tokenizer.from_file(VOCABULARY)
+    except Exception:
+        pytest.skip("no vocabulary here")
+    ids = lambda t: public.encode(t, add_special_tokens=False).ids
+    long, short = "the permit expires " * 30, "the owner"
+    df = spark.createDataFrame([(1, short, long), (2, long, long), (3, None, short), (4, "", None)], "k int, a string, b string")
+    got = {r.k: r for r in tokenised_pairs(df, "a", "b", VOCABULARY, 20).collect()}
+    assert got[1].input_ids == ids(short) + ids(long)[: 20 - len(ids(short))] and got[1].cut
+    assert got[2].input_ids == ids(long)[:10] + ids(long)[:10] and got[2].token_types == [0] * 10 + [1] * 10
+    assert (got[3].input_ids, got[3].cut) == (ids(short), False) and got[4].input_ids == []
+
+
 def test_scorers(spark):
     df = spark.createDataFrame([("a b", "b c"), ("", "x"), (None, None)], "q string, t string")
     assert values(score_pairs(df, "q", "t"), "score", "score_predict") == [(0.0, 0), (0.0, 0), (0.5, 0)]
