@@ -92,18 +92,16 @@ def cut(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
     w = _BALANCE / even**2
     goal, slope = at - even, -2 * w * starts
     own = w * starts.astype(np.float64) ** 2
-    best, came = np.full(len(at), np.inf), np.full(len(at), -1)
-    best[0] = 0.0
-    reached = np.full(len(at), np.inf)  # best + own
-    reached[0] = own[0]
-    for j in range(1, len(at)):
-        low, high = first[j], last[j]
+    reached = np.full(len(at), np.inf)  # the best sum of an end, and its own part as a predecessor
+    reached[0], came = own[0], [-1] * len(at)
+    bounds = zip(first[1:].tolist(), last[1:].tolist(), goal[1:].tolist(), (w * goal[1:] ** 2 + price[1:] + own[1:]).tolist(), strict=True)
+    for j, (low, high, aim, fixed) in enumerate(bounds, 1):
         if low < high:
-            total = reached[low:high] + goal[j] * slope[low:high]
+            total = slope[low:high] * aim
+            total += reached[low:high]
             k = int(total.argmin())
-            best[j] = total[k] + w * goal[j] ** 2 + (price[j] if at[j] < n else 0.0)
-            came[j], reached[j] = low + k, best[j] + own[j]
-    if not np.isfinite(best[-1]):
+            came[j], reached[j] = low + k, total[k] + fixed
+    if not np.isfinite(reached[-1]):
         raise ValueError("no pieces within the limits")
     out, j = [], len(at) - 1
     while j > 0:
