@@ -100,7 +100,8 @@ def drawn_places(count: int, taken: Column, n: int, seed: int, *keys: Column) ->
 
 def numbered(ids: DataFrame, key: str) -> DataFrame:
     """(key, place) of the distinct ids that aren't null, from 0 in order."""
-    return ids.where(F.col(key).isNotNull()).select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
+    distinct = ids.where(F.col(key).isNotNull()).select(key).distinct()
+    return staged(ranked(distinct, [], [F.col(key)], "place").select(key, (F.col("place") - 1).cast("bigint").alias("place")), "numbered")
 
 
 def foreign_negatives(labels: DataFrame, items: DataFrame, levels: Sequence[str], each: int, n: int, seed: int) -> DataFrame:
@@ -150,7 +151,8 @@ def split_by_size(questions: DataFrame, share: float, seed: int, most: int = 2)
     total = questions.count()
     test = int(total * (1 - share))
     order = hash_order(seed, F.col("question_id"))
-    tested = questions.where(F.col("n_labels") <= most).orderBy(order, "question_id").limit(test).select("question_id", F.lit("test").alias("split"))
+    placed = ranked(questions.where(F.col("n_labels") <= most), [], [order, F.col("question_id")], "__place")
+    tested = placed.where(F.col("__place") <= test).select("question_id", F.lit("test").alias("split"))
     return questions.join(tested, "question_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
