@@ -16,7 +16,7 @@ from lawloom.plans import new_folder, staged
 from lawloom.plans.stored import StoredTable
 
 #: Words of an index shard, training texts of a task, and words of the texts searched at once: bounds of memory that change no result.
-SHARD_WORDS, TASK_TEXTS, AT_ONCE = 1_500_000, 20_000, 200_000
+SHARD_WORDS, TASK_TEXTS, AT_ONCE = 500_000, 20_000, 200_000
 
 
 def edits(size_a: int | np.ndarray, size_b: int | np.ndarray, percent: int) -> np.ndarray:
