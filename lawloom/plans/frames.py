@@ -18,8 +18,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """law_flat in the form of a leveled corpus, with the titles and scopes of the tree laws of its id."""
-    tree = _t(spark, sf_dir, "law_tree").where("id is not null").groupBy("id").agg(F.array_sort(F.collect_set("title")).alias("title"), F.array_sort(F.collect_set("scope")).alias("scope"))
+    """law_flat in the form of a leveled corpus, with the titles and scopes of the tree laws of its id; laws of which none has a title or scope have a null there."""
+    listed = lambda name: F.when(F.count(name) > 0, F.array_sort(F.collect_set(name))).alias(name)
+    tree = _t(spark, sf_dir, "law_tree").where("id is not null").groupBy("id").agg(listed("title"), listed("scope"))
     numbered = F.transform("articles", lambda a, i: F.struct(F.concat(F.lit("d"), i.cast("string")).alias("id"), F.concat(F.lit("v"), i.cast("string")).alias("vbpl_id"), a["id"].alias("section_number"), a["text"].alias("section_content")))
     titles = F.transform("articles", lambda a: F.substring(a["text"], 1, 40))
     laws = join_unique(_t(spark, sf_dir, "law_flat").where("id is not null").distinct(), tree, ["id"], "left")

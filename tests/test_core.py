@@ -470,3 +470,11 @@ def test_scorers(spark):
     assert values(score_pairs(df, "q", "t"), "score", "score_predict") == [(0.0, 0), (0.0, 0), (0.5, 0)]
     assert all(len(r.embedding) == 64 for r in encode(df, "q").collect())
     assert values(answer(df.where("q is not null"), "q", "t", lambda prompts: [p.upper() for p in prompts]), "q", "answer") == [("", "X"), ("a b", "B C")]
+
+
+def test_a_law_without_scopes_has_no_entry_for_them(spark, tmp_path):
+    from lawloom.plans import frames
+
+    spark.createDataFrame([("1", "T", None), ("1", "T", None), ("2", None, ""), ("3", None, None)], "id string, title string, scope string").write.parquet(f"{tmp_path}/law_tree.parquet")
+    spark.createDataFrame([("1", [("x", "A-b")]), ("2", None), ("3", []), ("4", None)], schemas.LAW_FLAT).write.parquet(f"{tmp_path}/law_flat.parquet")
+    assert values(frames.lex_titles(spark, str(tmp_path)), "id", "entry") == [("1", "ab"), ("1", "t"), ("2", "")]
