@@ -81,7 +81,7 @@ def answer_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs written as shards of a bounded number of rows for a data loader, and how they come back."""
     path = _folder(spark)
-    pairs = _t(spark, sf_dir, "question_main").where("question_id is not null and text is not null").select("question_id", "text", F.size("relevant_articles").alias("label")).distinct()
+    pairs = _t(spark, sf_dir, "question_main").where("question_id is not null and text is not null").select("question_id", "text", F.coalesce(F.size("relevant_articles"), F.lit(-1)).alias("label")).distinct()
     io.write_shards(pairs, path, rows_per_shard=1000)
     shards = spark.read.parquet(path).withColumn("shard", F.col("_metadata.file_name")).groupBy("shard").count()
     most = shards.agg(F.max("count").alias("most"))

@@ -478,3 +478,11 @@ def test_a_law_without_scopes_has_no_entry_for_them(spark, tmp_path):
     spark.createDataFrame([("1", "T", None), ("1", "T", None), ("2", None, ""), ("3", None, None)], "id string, title string, scope string").write.parquet(f"{tmp_path}/law_tree.parquet")
     spark.createDataFrame([("1", [("x", "A-b")]), ("2", None), ("3", []), ("4", None)], schemas.LAW_FLAT).write.parquet(f"{tmp_path}/law_flat.parquet")
     assert values(frames.lex_titles(spark, str(tmp_path)), "id", "entry") == [("1", "ab"), ("1", "t"), ("2", "")]
+
+
+def test_training_shards_label_null_lists(spark, tmp_path):
+    from lawloom.plans import transfer
+
+    rows = [(1, "a", None), (2, "b", []), (3, "c", ["x", None]), (None, "d", None), (4, None, None)]
+    spark.createDataFrame(rows, "question_id long, text string, relevant_articles array<string>").write.parquet(f"{tmp_path}/question_main.parquet")
+    assert values(transfer.training_shards(spark, str(tmp_path)), "question_id", "label", "bounded") == [(1, -1, True), (2, 0, True), (3, 2, True)]
