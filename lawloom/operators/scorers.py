@@ -6,6 +6,7 @@ need none, and their figures say nothing about real models.
 
 from __future__ import annotations
 
+import re
 import time
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -21,11 +22,15 @@ Encoder = Callable[[pd.Series], list[np.ndarray]]
 Answerer = Callable[[list], Sequence[str]]
 
 
+#: White space of a regular expression in SQL: a no-break space and the like are part of a word.
+_GAP = re.compile(r"[\t\n\f\r ]+")
+
+
 def overlap_score(questions: pd.Series, texts: pd.Series) -> pd.Series:
-    """The share of a question's distinct words that its text has."""
+    """The share of a question's distinct words that its text has; words end at white space as a regular expression in SQL has it."""
     out = []
     for q, t in zip(questions, texts, strict=True):
-        a, b = set((q or "").split()), set((t or "").split())
+        a, b = (set(_GAP.split(x or "")) - {""} for x in (q, t))
         out.append(len(a & b) / len(a) if a else 0.0)
     return pd.Series(out, dtype="float64")
 

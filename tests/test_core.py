@@ -486,3 +486,13 @@ def test_training_shards_label_null_lists(spark, tmp_path):
     rows = [(1, "a", None), (2, "b", []), (3, "c", ["x", None]), (None, "d", None), (4, None, None)]
     spark.createDataFrame(rows, "question_id long, text string, relevant_articles array<string>").write.parquet(f"{tmp_path}/question_main.parquet")
     assert values(transfer.training_shards(spark, str(tmp_path)), "question_id", "label", "bounded") == [(1, -1, True), (2, 0, True), (3, 2, True)]
+
+
+def test_overlap_score_splits_as_its_sql(spark):
+    spaces = ["\t", "\n", "\x0b", "\f", "\r", "\x1c", "\x85", "\xa0", "\u2009", "\u2028", "\u3000", " "]
+    df = spark.createDataFrame([(f"{s}a{s}b c", "a c") for s in spaces], "q string, t string")
+    duckdb = pytest.importorskip("duckdb")
+    words = lambda x: f"list_distinct(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+    sql = f"select round(len(list_intersect({words('q')}, {words('t')})) / len({words('q')}), 6) from (select unnest($1) as q, 'a c' as t)"
+    wanted = duckdb.execute(sql, [[f"{s}a{s}b c" for s in spaces]]).fetchall()
+    assert [(round(r.score, 6),) for r in score_pairs(df.coalesce(1), "q", "t").collect()] == wanted
