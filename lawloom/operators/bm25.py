@@ -15,8 +15,10 @@ from lawloom.functions.text import collapse, tokens
 from lawloom.plans.stage import new_folder, spread_out, staged
 from lawloom.plans.stored import StoredTable
 
-#: Query terms of a block, and scores computed at once: bounds of memory that change no result.
-BLOCK_TERMS, CELLS = 500_000, 4_000_000
+#: Query terms of a block, scores computed at once, and rows given on at once: bounds of memory that change no result.
+BLOCK_TERMS, CELLS, ROWS = 100_000, 4_000_000, 50_000
+#: The share of scores that a term takes part in, above which a matrix product is cheaper than single sums.
+DENSE = 0.005
 
 
 def _text(normalise: bool):
@@ -52,53 +54,74 @@ class _Block:
         self.terms = {t: i for i, t in enumerate(sorted({t for _, t, _ in rows}))}
         term = np.fromiter((self.terms[t] for _, t, _ in rows), np.int64, len(rows))
         order = np.argsort(term, kind="stable")
+        self.term = term[order]
         self.query = np.fromiter((number[q] for q, _, _ in rows), np.int64, len(rows))[order]
         self.weight = np.fromiter((w for _, _, w in rows), np.float64, len(rows))[order]
-        self.starts = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.starts = np.searchsorted(self.term, np.arange(len(self.terms) + 1))
+        self.positive = bool((self.weight > 0).all())
 
     def scores(self, texts: list[list[str]], mean: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
-        """documents x queries: the scores, and whether they share a term."""
+        """documents x queries: the scores, and whether they share a term.
+
+        Terms that many documents and queries have are multiplied as matrices, the others summed one by one. Where a
+        weight isn't positive, a score doesn't tell whether a term is shared, so all are summed and counted.
+        """
         find, size = self.terms.get, np.fromiter(map(len, texts), np.int64, len(texts))
         code = np.fromiter((find(w, -1) for words in texts for w in words), np.int64, int(size.sum()))
         doc = np.repeat(np.arange(len(texts)), size)[code >= 0]
         both, tf = np.unique(doc * len(self.terms) + code[code >= 0], return_counts=True)
         doc, code = both // max(1, len(self.terms)), both % max(1, len(self.terms))
         part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
+        shape, cells = (len(texts), len(self.queries)), len(texts) * len(self.queries)
+        common = (np.bincount(code, minlength=len(self.terms)) * np.diff(self.starts) > DENSE * cells) & self.positive
+        dense = common[code]
+        column, own = np.cumsum(common) - 1, common[self.term]
+        left, right = np.zeros((len(texts), int(common.sum()))), np.zeros((int(common.sum()), len(self.queries)))
+        left[doc[dense], column[code[dense]]] = part[dense]
+        right[column[self.term[own]], self.query[own]] = self.weight[own]
+        doc, code, part = doc[~dense], code[~dense], part[~dense]
         first, many = self.starts[code], self.starts[code + 1] - self.starts[code]
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
         cell = np.repeat(doc, many) * len(self.queries) + self.query[at]
-        shape, cells = (len(texts), len(self.queries)), len(texts) * len(self.queries)
-        return np.bincount(cell, weights=np.repeat(part, many) * self.weight[at], minlength=cells).reshape(shape), np.bincount(cell, minlength=cells).reshape(shape) > 0
+        total = np.bincount(cell, weights=np.repeat(part, many) * self.weight[at], minlength=cells).reshape(shape).astype(np.float64, copy=False)  # without a cell, they are integers
+        if self.positive:
+            total += left @ right
+            return total, total > 0
+        return total, np.bincount(cell, minlength=cells).reshape(shape) > 0
 
 
 class _Best:
     """The k best of each query so far; equal scores, to nine decimals, by the larger document."""
 
     def __init__(self, queries: int, k: int) -> None:
-        self.k, self.floor, self.held = k, np.full(queries, -np.inf), 0
+        self.k, self.floor, self.held, self.limit = k, np.full(queries, -np.inf), 0, 2 * k * queries + 100_000
         self.kept: list[pd.DataFrame] = []
         self.n, self.low, self.high = np.zeros(queries, np.int64), np.full(queries, np.inf), np.full(queries, -np.inf)
 
     def add(self, documents: pd.Series, scores: np.ndarray, matched: np.ndarray) -> None:
-        self.n += matched.sum(axis=0)
-        self.low = np.minimum(self.low, np.where(matched, scores, np.inf).min(axis=0))
-        scores = np.where(matched, scores, -np.inf)
-        self.high = np.maximum(self.high, scores.max(axis=0))
-        rounded = np.round(scores, 9)
+        self.n += np.count_nonzero(matched, axis=0)
+        self.low = np.minimum(self.low, np.min(scores, axis=0, initial=np.inf, where=matched))
+        self.high = np.maximum(self.high, np.max(scores, axis=0, initial=-np.inf, where=matched))
         floor = self.floor
-        if len(scores) > self.k:
-            floor = np.maximum(floor, np.partition(rounded, len(scores) - self.k, axis=0)[len(scores) - self.k])
-        d, q = np.nonzero(matched & (rounded >= floor))
-        self.kept.append(pd.DataFrame({"q": q, "r": rounded[d, q], "doc": documents.to_numpy()[d], "score": scores[d, q]}))
+        if len(scores) > self.k and np.isneginf(floor).any():
+            held = np.where(matched, scores, -np.inf)
+            floor = np.maximum(floor, np.partition(held, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        d, q = np.nonzero(matched & (scores >= floor - 2e-9))  # floors are rounded, and so are scores when they are compared
+        score = scores[d, q]
+        self.kept.append(pd.DataFrame({"q": q.astype(np.int32), "r": np.round(score, 9), "doc": documents.to_numpy()[d], "score": score}))
         self.held += len(d)
-        if self.held > 8 * self.k * len(self.n) + 100_000:
+        if self.held > self.limit:
             self.prune()
 
     def prune(self) -> pd.DataFrame:
-        every = pd.concat(self.kept).sort_values(["q", "r", "doc"], ascending=[True, False, False]).groupby("q").head(self.k)
-        count = every.groupby("q")["r"].agg(["size", "min"])
-        full = count[count["size"] == self.k]
-        self.floor[full.index.to_numpy(np.int64)] = full["min"].to_numpy()
+        every = pd.concat(self.kept, ignore_index=True)
+        doc = every["doc"].to_numpy() if every["doc"].dtype.kind in "iu" else pd.factorize(every["doc"], sort=True)[0]
+        order = np.lexsort((-doc.astype(np.int64), -every["r"].to_numpy(), every["q"].to_numpy()))
+        q = every["q"].to_numpy()[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        every = every.iloc[order[place < self.k]].reset_index(drop=True)
+        last, r = place[place < self.k] == self.k - 1, every["r"].to_numpy()
+        self.floor[every["q"].to_numpy()[last]] = r[last]
         self.kept, self.held = [every], len(every)
         return every
 
@@ -111,47 +134,74 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, config: EngineConfi
 
     Query terms are written to the shared folder in blocks of about block_terms. One scan of the documents, without a
     shuffle, scores each batch against the blocks one after another; a task gives on k rows for each query, so neither a
-    stop word nor the number of documents makes pairs that travel.
+    stop word nor the number of documents makes pairs that travel. Where there are more blocks than cores, the documents are
+    stored too, and a task takes one block through all of them, so that it holds the best of that block only.
     """
     total, mean = corpus_size(docs, normalise)
     asked = queries.where(collapse(F.col("text")) != "").select("query_id", F.explode(tokens(collapse(F.col("text")))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     statistics = term_statistics(staged(document_frequencies(docs, normalise), "frequencies"), total, config)
     weights = staged(asked.join(statistics, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), "weights")
-    blocks = weights.count() // block_terms + 1
+    blocks, cores = weights.count() // block_terms + 1, docs.sparkSession.sparkContext.defaultParallelism
+    by_block = blocks > cores
+    blocks = max(blocks, 4 * cores) if by_block else blocks
     path = new_folder(docs.sparkSession, "query-terms")
-    weights.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).write.parquet(path)
+    dealt = weights.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    (dealt.repartition("part").sortWithinPartitions("part") if by_block else dealt).write.parquet(path)
     stored, k1, b = StoredTable(path), config.bm25_k1, config.bm25_b
     narrow = docs.where(F.col("text").isNotNull()).select("doc_id", _text(normalise).alias("text"))
     kinds = [queries.schema["query_id"].dataType, docs.schema["doc_id"].dataType, T.DoubleType(), T.LongType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "doc_id", "score", "n", "low", "high"), kinds, strict=True)])
 
+    def load(part: int) -> _Block:
+        return _Block(list(stored.part(part, "query_id", "term", "weight")))
+
+    def score(block: _Block, top: _Best, batch: pd.DataFrame, texts: list[list[str]]) -> None:
+        step = max(1, CELLS // len(block.queries))
+        for begin in range(0, len(texts), step):
+            top.add(batch["doc_id"].iloc[begin : begin + step], *block.scores(texts[begin : begin + step], mean or 1.0, k1, b))
+
+    def given(block: _Block, top: _Best) -> Iterator[pd.DataFrame]:
+        ids = np.array(block.queries, dtype=object)
+        every = top.prune()
+        for begin in range(0, len(every), ROWS):
+            part = every.iloc[begin : begin + ROWS]
+            none = pd.Series([None] * len(part), dtype=object)
+            yield pd.DataFrame({"query_id": ids[part["q"].to_numpy(np.int64)], "doc_id": part["doc"].to_numpy(), "score": part["score"].to_numpy(), "n": none, "low": none, "high": none})
+        some = np.flatnonzero(top.n)
+        none = pd.Series([None] * len(some), dtype=object)
+        yield pd.DataFrame({"query_id": ids[some], "doc_id": none, "score": none, "n": top.n[some], "low": top.low[some], "high": top.high[some]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, _Block] = {}
         found: dict[int, _Best] = {}
         for batch in batches:
             texts = [t.split(" ") for t in batch["text"]]
             for part in range(blocks):
-                block = known.get(part) or _Block(list(stored.part(part, "query_id", "term", "weight")))
+                block = known.get(part) or load(part)
                 if blocks == 1:
                     known[part] = block
-                if not block.queries:
-                    continue
-                top = found.setdefault(part, _Best(len(block.queries), k))
-                step = max(1, CELLS // len(block.queries))
-                for begin in range(0, len(texts), step):
-                    top.add(batch["doc_id"].iloc[begin : begin + step], *block.scores(texts[begin : begin + step], mean or 1.0, k1, b))
+                if block.queries:
+                    score(block, found.setdefault(part, _Best(len(block.queries), k)), batch, texts)
         for part, top in found.items():
-            block = known.get(part) or _Block(list(stored.part(part, "query_id", "term", "weight")))
-            every = top.prune()
-            ids = np.array(block.queries, dtype=object)
-            none = pd.Series([None] * len(every), dtype=object)
-            yield pd.DataFrame({"query_id": ids[every["q"].to_numpy(np.int64)], "doc_id": every["doc"].to_numpy(), "score": every["score"].to_numpy(), "n": none, "low": none, "high": none})
-            some = np.flatnonzero(top.n)
-            none = pd.Series([None] * len(some), dtype=object)
-            yield pd.DataFrame({"query_id": ids[some], "doc_id": none, "score": none, "n": top.n[some], "low": top.low[some], "high": top.high[some]})
-
-    found = staged(spread_out(narrow).mapInPandas(run, schema), "scores")
+            yield from given(known.get(part) or load(part), top)
+
+    def run_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in [int(p) for batch in batches for p in batch["id"]]:
+            block, some = load(part), False
+            top = _Best(len(block.queries), k)
+            for batch in documents.batches("doc_id", "text") if block.queries else ():
+                score(block, top, batch, [t.split(" ") for t in batch["text"]])
+                some = True
+            if some:
+                yield from given(block, top)
+
+    if by_block:
+        documents = StoredTable(new_folder(docs.sparkSession, "documents"))
+        narrow.write.parquet(documents.path)
+        found = staged(docs.sparkSession.range(0, blocks, 1, blocks).mapInPandas(run_block, schema), "scores")
+    else:
+        found = staged(spread_out(narrow).mapInPandas(run, schema), "scores")
     best = top_k(found.where("n is null").select("query_id", "doc_id", "score"), k).drop("rank")
     return best, found.where("n is not null").groupBy("query_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lawloom.functions import text
 from lawloom.functions.text import SPACE
 from lawloom.operators import bm25, corpus, sampling
-from lawloom.plans.stage import join_unique, staged
+from lawloom.operators.ranking import ranked
+from lawloom.plans.stage import BROADCAST_ROWS, join_unique, staged
 
 CANDIDATES = 50
+#: Characters of the texts that are broadcast at most, about 100 MB of Vietnamese.
+BROADCAST_CHARACTERS = 64_000_000
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,15 +56,24 @@ def law_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.exploded_vectors(nested, "law_id", "vectors").select("law_id", "par_no", F.size("v").alias("n"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question_id, text, law_id, article, content, score, rank): the articles that match a question with its choices best, parsed from their strings."""
+def _strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place, doc_id, law_id, article, content): the distinct strings of all articles, numbered in their order, with what is parsed from them."""
     articles = corpus.flat_articles(_t(spark, sf_dir, "law_flat")).where("law_id is not null and article is not null and content is not null")
-    strings = staged(articles.select(text.article_prefix(F.col("article"), F.col("law_id"), F.col("content")).alias("doc_id")).distinct(), "strings")
-    asked = _asked(spark, sf_dir)
-    best, _ = bm25.bm25_search(strings.withColumn("text", F.col("doc_id")), asked.withColumnRenamed("question_id", "query_id"), CANDIDATES)
+    strings = articles.select(text.article_prefix(F.col("article"), F.col("law_id"), F.col("content")).alias("doc_id")).distinct()
     parts = text.split_article_prefix(F.col("doc_id"))
-    named = bm25.top_k(best, CANDIDATES).select(F.col("query_id").alias("question_id"), parts["law"].alias("law_id"), parts["article"].alias("article"), parts["body"].alias("content"), "score", "rank")
-    return staged(join_unique(named, asked, ["question_id"]), "candidates")
+    return staged(ranked(strings, [], [F.col("doc_id")], "place").select("place", "doc_id", parts["law"].alias("law_id"), parts["article"].alias("article"), parts["body"].alias("content")), "strings")
+
+
+def _candidates(strings: DataFrame, asked: DataFrame) -> DataFrame:
+    """(question_id, place, score, rank): the strings that match a question with its choices best. Only their numbers travel; texts are joined where they are wanted."""
+    best, _ = bm25.bm25_search(strings.select(F.col("place").alias("doc_id"), F.col("doc_id").alias("text")), asked.withColumnRenamed("question_id", "query_id"), CANDIDATES)
+    return staged(bm25.top_k(best, CANDIDATES).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("place"), "score", "rank"), "candidates")
+
+
+def _with_text(rows: DataFrame, texts: DataFrame, key: str, column: str) -> DataFrame:
+    """rows joined to the texts of their key; broadcast if all texts together are short enough."""
+    size = texts.agg(F.sum(F.length(column))).first()[0] or 0
+    return join_unique(rows, texts, [key], small_rows=BROADCAST_ROWS if size <= BROADCAST_CHARACTERS else 0)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +90,9 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved candidates as training rows: all labels among them, and as many of the others, best first; all others where there's no label."""
     labels = _cited(spark, sf_dir).withColumn("__l", F.lit(1))
-    pairs = join_unique(_candidates(spark, sf_dir), labels, ["question_id", "law_id", "article"], "left").withColumn("label", F.coalesce("__l", F.lit(0))).drop("__l")
+    strings = _strings(spark, sf_dir)
+    found = join_unique(_candidates(strings, _asked(spark, sf_dir)), strings.select("place", "law_id", "article"), ["place"])
+    pairs = join_unique(found, labels, ["question_id", "law_id", "article"], "left").withColumn("label", F.coalesce("__l", F.lit(0))).drop("__l")
     return sampling.balanced(pairs, 1).select("question_id", "law_id", "article", F.round("score", 6).alias("score"), "label")
 
 
@@ -89,7 +103,10 @@ def first_label_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = corpus.flat_articles(_t(spark, sf_dir, "law_flat")).where("law_id is not null and article is not null")
     positives = join_unique(corpus.lookup_content(first, contents, ["law_id", "article"], None).where("content is not null"), _asked(spark, sf_dir), ["question_id"])
     rows = positives.select("question_id", text.collapse(F.col("text")).alias("query"), text.collapse(F.col("content")).alias("article"), F.lit(1).alias("label"))
-    others = _candidates(spark, sf_dir).select("question_id", F.col("text").alias("query"), text.article_prefix(F.col("article"), F.col("law_id"), F.col("content")).alias("article"), F.lit(0).alias("label"))
+    strings, asked = _strings(spark, sf_dir), staged(_asked(spark, sf_dir), "asked")
+    articles = strings.select("place", text.article_prefix(F.col("article"), F.col("law_id"), F.col("content")).alias("article"))
+    found = _with_text(_candidates(strings, asked).select("question_id", "place"), articles, "place", "article")
+    others = _with_text(found, asked, "question_id", "text").select("question_id", F.col("text").alias("query"), "article", F.lit(0).alias("label"))
     return rows.unionByName(others)
 
 

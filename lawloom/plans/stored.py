@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas
 import pyarrow.fs
 import pyarrow.parquet
 
@@ -14,11 +15,22 @@ class StoredTable:
     def __init__(self, path: str) -> None:
         self.path = path
 
+    def _files(self) -> tuple[pyarrow.fs.FileSystem, list[str]]:
+        system, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        return system, sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet"))
+
     def part(self, part: int, *columns: str) -> Iterator:
         """The values of the columns in the rows of a part, a tuple each (or the bare value of one column)."""
-        system, root = pyarrow.fs.FileSystem.from_uri(self.path)
-        files = sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet"))
+        system, files = self._files()
         for name in files:
             table = pyarrow.parquet.read_table(name, columns=["part", *columns], filters=[("part", "=", part)], filesystem=system)
             values = [table.column(c).to_pylist() for c in columns]
             yield from values[0] if len(columns) == 1 else zip(*values, strict=True)
+
+    def batches(self, *columns: str, rows: int = 5_000) -> Iterator[pandas.DataFrame]:
+        """The columns of all rows, some at a time."""
+        system, files = self._files()
+        for name in files:
+            with system.open_input_file(name) as source:
+                for batch in pyarrow.parquet.ParquetFile(source).iter_batches(batch_size=rows, columns=list(columns)):
+                    yield batch.to_pandas()

@@ -496,3 +496,39 @@ def test_overlap_score_splits_as_its_sql(spark):
     sql = f"select round(len(list_intersect({words('q')}, {words('t')})) / len({words('q')}), 6) from (select unnest($1) as q, 'a c' as t)"
     wanted = duckdb.execute(sql, [[f"{s}a{s}b c" for s in spaces]]).fetchall()
     assert [(round(r.score, 6),) for r in score_pairs(df.coalesce(1), "q", "t").collect()] == wanted
+
+
+def test_bm25_blocks_and_matrix_products_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [*"abcdefgh", *[f"w{i}" for i in range(60)]]
+    docs = spark.createDataFrame([(n, " ".join(rng.choices(words, [9] * 8 + [1] * 60, k=rng.randint(1, 20)))) for n in range(300)], "doc_id int, text string")
+    asked = spark.createDataFrame([(n, " ".join(rng.choices(words, k=6))) for n in range(120)], "query_id int, text string")
+    rows = lambda found: {(r.query_id, r.doc_id): round(r.score, 9) for r in found[0].collect()}
+    one, many = rows(bm25.bm25_search(docs, asked, 7)), rows(bm25.bm25_search(docs, asked, 7, block_terms=20))
+    monkeypatch.setattr(bm25, "DENSE", 2.0)  # nothing is dense
+    block = bm25._Block([(1, "a", 0.5), (1, "b", 2.0), (2, "a", 1.0), (3, "z", 1.0)])
+    texts = [["a", "a", "b"], ["c"], ["b"]]
+    sparse = block.scores(texts, 2.0, 1.5, 0.75)
+    monkeypatch.setattr(bm25, "DENSE", 0.0)
+    dense = block.scores(texts, 2.0, 1.5, 0.75)
+    assert abs(sparse[0] - dense[0]).max() < 1e-12 and (sparse[1] == dense[1]).all() and dense[1].tolist() == [[True, True, False], [False] * 3, [True, False, False]]
+    block.positive = False
+    assert (block.scores(texts, 2.0, 1.5, 0.75)[1] == dense[1]).all()
+    assert one == many and len(one) > 800
+
+
+def test_candidates_carry_no_texts(spark, small):
+    from lawloom.plans import frames
+
+    strings = frames._strings(spark, small)
+    found = frames._candidates(strings, frames._asked(spark, small))
+    assert found.columns == ["question_id", "place", "score", "rank"] and found.count() > 0
+    texts = [r[0] for r in strings.orderBy("place").select("doc_id").collect()]
+    assert texts == sorted(set(texts))
+    few = frames._with_text(found, strings.select("place", "content"), "place", "content")
+    frames.BROADCAST_CHARACTERS, before = 0, frames.BROADCAST_CHARACTERS
+    try:
+        same = frames._with_text(found, strings.select("place", "content"), "place", "content")
+        assert values(same, "question_id", "place", "content") == values(few, "question_id", "place", "content")
+    finally:
+        frames.BROADCAST_CHARACTERS = before
