@@ -532,3 +532,11 @@ def test_candidates_carry_no_texts(spark, small):
         assert values(same, "question_id", "place", "content") == values(few, "question_id", "place", "content")
     finally:
         frames.BROADCAST_CHARACTERS = before
+
+
+def test_train_frame_balances_rows_without_texts(spark, small, monkeypatch):
+    from lawloom.plans import frames
+
+    seen, balanced = [], sampling.balanced
+    monkeypatch.setattr(sampling, "balanced", lambda pairs, *a, **k: seen.append(set(pairs.columns)) or balanced(pairs, *a, **k))
+    assert frames.train_frame(spark, small).count() > 0 and seen and not seen[0] & {"text", "content", "doc_id"}
