@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,16 @@ def edit_distance(a: Sequence[int], b: Sequence[int]) -> int:
     return score
 
 
+def common_words(bag: Mapping[int, int], other: Sequence[int]) -> int:
+    """The words of other that a text with this many of each has too, repeated ones as often as both have them."""
+    left, common = dict(bag), 0
+    for w in other:
+        if left.get(w):
+            left[w] -= 1
+            common += 1
+    return common
+
+
 def _gram_size(n: int, percent: int) -> int:
     """The longest grams, of 3 words at most, of which a near text keeps at least one for certain; 0 if not even words do."""
     longest = n * 100 // (100 - percent)
@@ -83,8 +94,9 @@ class EvalShard:
         Every word of the training texts is extended backwards until nothing matches any more. A text that falls into
         more maximal matches than edits allow is near no evaluation text. For the others, the matches of q words and more
         are located and counted by pair: an edit spoils q grams at most, so pairs with fewer than n - q + 1 - kq common
-        ones can't be near. The few that remain are compared word by word, and their matches merged into spans of the
-        training text (first word, word after the last).
+        ones can't be near, nor can those with fewer common words, in whatever order, than the longer has without its
+        edits. The few that remain are compared word by word, and their matches merged into spans of the training text
+        (first word, word after the last).
         """
         begin = 0
         while begin < len(texts):
@@ -108,29 +120,40 @@ class EvalShard:
             if not factors_bound(length[first[text] : first[text + 1]], n * 100 // (100 - percent) * percent // 100 + 1):
                 low[first[text] : first[text + 1]] = high[first[text] : first[text + 1]] = 0
                 q[text] = -1
+        windows: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
         postings = {g: self._postings(low, high, np.repeat(q, sizes) == g) for g in (1, 2, 3)}
         for text, (known, n, gram) in enumerate(zip(numbers, sizes.tolist(), q.tolist(), strict=True)):
-            begin = int(np.searchsorted(self.sizes, -(-n * (100 - percent) // 100), side="left"))
-            end = int(np.searchsorted(self.sizes, n * 100 // (100 - percent), side="right"))
+            if n not in windows:
+                windows[n] = self._window(n, percent)
+            begin, end, allowed, least = windows[n]
             if begin >= end or gram < 0:
                 continue
-            allowed = edits(n, self.sizes[begin:end], percent)
             if gram:
                 which, offsets, held = postings[gram]
                 mine = which[first[text] : first[text + 1]]
                 mine = mine[mine >= 0]
                 at, _ = spread(offsets[mine], offsets[mine + 1])
                 counts = np.bincount(held[at], minlength=len(self.sizes))[begin:end]
-                close = np.flatnonzero(counts >= n - gram + 1 - allowed * gram)
+                close = np.flatnonzero(counts >= least)
             else:
                 close = np.arange(end - begin)
             own = known.tolist()
+            bag = Counter(own) if len(close) else {}
             for c in close.tolist():
                 other = self.numbers[begin + c]
+                if max(n, len(other)) - common_words(bag, other) > allowed[c]:
+                    continue
                 apart = edit_distance(own, other)
                 if apart <= allowed[c]:
                     yield text, self.keys[begin + c], apart, matched(own, other, max(1, gram))
 
+    def _window(self, n: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """The texts (first, after the last) whose sizes are near n words, the edits allowed for each, and the common grams needed."""
+        begin = int(np.searchsorted(self.sizes, -(-n * (100 - percent) // 100), side="left"))
+        end = int(np.searchsorted(self.sizes, n * 100 // (100 - percent), side="right"))
+        allowed, gram = edits(n, self.sizes[begin:end], percent), _gram_size(n, percent)
+        return begin, end, allowed, n - gram + 1 - allowed * gram
+
     def _postings(self, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the positions asked for: the number of each one's match (-1 for none), and by number where its texts begin and which they are."""
         which = np.full(len(low), -1, np.int64)

@@ -1,6 +1,7 @@
 """The algorithms against brute force, without Spark."""
 
 import random
+from collections import Counter
 from itertools import pairwise
 
 import numpy as np
@@ -15,7 +16,7 @@ from lawloom.llm.crf import Field, Positions, train
 from lawloom.llm.fmindex import FMIndex, spread, suffix_array
 from lawloom.llm.lawid import canonical_law
 from lawloom.llm.leaks import matched_spans
-from lawloom.llm.overlaps import EvalShard, edit_distance, factors_bound
+from lawloom.llm.overlaps import EvalShard, common_words, edit_distance, factors_bound
 from lawloom.llm.words import canonical_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -110,6 +111,24 @@ def test_few_edits_leave_few_matches(text, changes):
         assert factors_bound(length, k + 1)
 
 
+@given(st.lists(st.sampled_from([-1, 1, 2, 3]), max_size=12), st.lists(st.sampled_from([1, 2, 3, 4]), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_common_words_bound_the_edits(a, b):
+    common = common_words(Counter(a), b)
+    assert common == sum((Counter(a) & Counter(b)).values()) and edit_distance(a, b) >= max(len(a), len(b)) - common
+
+
+def test_only_texts_of_enough_common_words_are_compared(monkeypatch):
+    from lawloom.llm import overlaps
+
+    compared = []
+    monkeypatch.setattr(overlaps, "edit_distance", lambda a, b: compared.append(1) or edit_distance(a, b))
+    fill = lambda n: [f"form{i}" for i in range(22)] + [f"w{n}-{i}" for i in range(18)]
+    texts = [fill(n) for n in range(20)]
+    found = list(EvalShard(range(20), texts).near([fill(3), [*fill(3)[:-1], "x"], fill(99)], 20))
+    assert [(t, k, e) for t, k, e, _ in found] == [(0, 3, 0), (1, 3, 1)] and len(compared) == 2
+
+
 def test_spans_merge():
     item = [f"w{i}" for i in range(30)]
     texts = [["x", *item[:20], "y", *item[10:24]], item[3:15], ["q"] * 40, item]
