@@ -58,9 +58,12 @@ def replacement_negatives(predicted: DataFrame, labels: DataFrame, keys: Sequenc
     return draws.withColumn("place", pick).join(numbered.select("question_id", "place", *keys), ["question_id", "place"]).select("question_id", "draw", *keys)
 
 
-def balanced(pairs: DataFrame, rate: float = 1.0, cap_when_no_positive: bool = False, order: Order = ("rank",)) -> DataFrame:
-    """All positives of a question and its first rate * positives negatives in order; with none, or a fractional number, all negatives stay unless capped."""
-    pairs = staged(pairs, "pairs")
+def balanced(pairs: DataFrame, rate: float = 1.0, cap_when_no_positive: bool = False, order: Order = ("rank",), stage: bool = True) -> DataFrame:
+    """All positives of a question and its first rate * positives negatives in order; with none, or a fractional number, all negatives stay unless capped.
+
+    pairs are read more than once; stage=False leaves out their copy on disk, where reading them is cheap.
+    """
+    pairs = staged(pairs, "pairs") if stage else pairs
     quota = pairs.groupBy("question_id").agg((F.sum("label") * F.lit(float(rate))).alias("__q"))
     quota = staged(quota.withColumn("__all", F.lit(False) if cap_when_no_positive else (F.col("__q") == 0) | (F.col("__q") != F.floor("__q"))), "quota")
     most = int(quota.where(~F.col("__all")).agg(F.max("__q")).first()[0] or 0)

@@ -66,8 +66,8 @@ def _strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(strings: DataFrame, asked: DataFrame) -> DataFrame:
     """(question_id, place, score, rank): the strings that match a question with its choices best. Only their numbers travel; texts are joined where they are wanted."""
-    best, _ = bm25.bm25_search(strings.select(F.col("place").alias("doc_id"), F.col("doc_id").alias("text")), asked.withColumnRenamed("question_id", "query_id"), CANDIDATES)
-    return staged(bm25.top_k(best, CANDIDATES).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("place"), "score", "rank"), "candidates")
+    found = bm25.bm25_ranked(strings.select(F.col("place").alias("doc_id"), F.col("doc_id").alias("text")), asked.withColumnRenamed("question_id", "query_id"), CANDIDATES)
+    return found.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("place"), "score", "rank")
 
 
 def _with_text(rows: DataFrame, texts: DataFrame, key: str, column: str) -> DataFrame:
@@ -88,12 +88,18 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieved candidates as training rows: all labels among them, and as many of the others, best first; all others where there's no label."""
-    labels = _cited(spark, sf_dir).withColumn("__l", F.lit(1))
+    """Retrieved candidates as training rows: all labels among them, and as many of the others, best first; all others where there's no label.
+
+    Candidates are stored once, as they are found, and balanced as numbers and scores; an article goes by the smallest place of its strings.
+    """
     strings = _strings(spark, sf_dir)
-    found = join_unique(_candidates(strings, _asked(spark, sf_dir)), strings.select("place", "law_id", "article"), ["place"])
-    pairs = join_unique(found, labels, ["question_id", "law_id", "article"], "left").withColumn("label", F.coalesce("__l", F.lit(0))).drop("__l")
-    return sampling.balanced(pairs, 1).select("question_id", "law_id", "article", F.round("score", 6).alias("score"), "label")
+    first = staged(strings.groupBy("law_id", "article").agg(F.min("place").alias("first")), "first")
+    names = staged(join_unique(strings.select("place", "law_id", "article"), first, ["law_id", "article"], "left"), "names")
+    labels = staged(join_unique(_cited(spark, sf_dir), first, ["law_id", "article"]).select("question_id", "first", F.lit(1).alias("__l")), "labels")
+    found = join_unique(_candidates(strings, _asked(spark, sf_dir)), names.select("place", "first"), ["place"])
+    pairs = join_unique(found, labels, ["question_id", "first"], "left").withColumn("label", F.coalesce("__l", F.lit(0))).drop("__l", "first")
+    rows = join_unique(sampling.balanced(pairs, 1, stage=False), names.drop("first"), ["place"])
+    return rows.select("question_id", "law_id", "article", F.round("score", 6).alias("score"), "label")
 
 
 def first_label_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -540,3 +540,19 @@ def test_train_frame_balances_rows_without_texts(spark, small, monkeypatch):
     seen, balanced = [], sampling.balanced
     monkeypatch.setattr(sampling, "balanced", lambda pairs, *a, **k: seen.append(set(pairs.columns)) or balanced(pairs, *a, **k))
     assert frames.train_frame(spark, small).count() > 0 and seen and not seen[0] & {"text", "content", "doc_id"}
+
+
+def test_train_frame_balances_numbers_from_blocks(spark, small, monkeypatch):
+    from functools import partial
+
+    from lawloom.plans import frames
+
+    rows = lambda: values(frames.train_frame(spark, small), "question_id", "law_id", "article", "score", "label")
+    seen, balanced, wanted, ranked = [], sampling.balanced, rows(), bm25.bm25_ranked
+    monkeypatch.setattr(sampling, "balanced", lambda pairs, *a, **k: seen.append(set(pairs.columns)) or balanced(pairs, *a, **k))
+    monkeypatch.setattr(bm25, "bm25_ranked", partial(ranked, block_terms=100))  # more blocks than cores
+    monkeypatch.setattr(bm25, "top_k", None)  # ranks of blocks are final
+    monkeypatch.setattr(bm25, "SUMS", 10)
+    assert rows() == wanted and seen == [{"question_id", "place", "score", "rank", "label"}]
+    monkeypatch.setattr(bm25, "VOCABULARY", 0)  # documents stored as texts
+    assert rows() == wanted
